@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import saved, small_batches
-from tidemark.llm.wordpiece import WordTokenizer
+from tidemark.llm.wordpiece import word_tokenizer
 
 #: Sequence length in tokens, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
@@ -33,26 +34,32 @@ ITERATIONS, PROGRAMS = 150, 12
 #: Pieces in one ranking bucket, about.
 BUCKET_PIECES = 200_000
 #: Distinct pre-tokens a worker remembers, and the longest it remembers (characters). Only memory depends on them.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
 
 # ---- pieces ---------------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=4)
+def packed_ids(tokenizer_path: str) -> dict[str, bytes]:
+    """Pre-token -> its ids as little-endian words; one for each file and worker process, kept from task to task."""
+    return {}
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: key, piece, start, length, ids_crc32 and, if asked for, the ids as packed bytes."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
-        memo: dict[str, bytes] = {}
+        tokenizer, memo = word_tokenizer(tokenizer_path), packed_ids(tokenizer_path)
         for batch in batches:
             split = [tokenizer.pretokens(v.as_py() or "") for v in batch.column(1)]
-            new = list({t for tokens in split for t in tokens if t not in memo})
+            here = set().union(*split)
+            new = list(here.difference(memo))
             long: dict[str, bytes] = {}
             if len(memo) + len(new) > CACHE_ENTRIES:
                 memo.clear()
-                new = list({t for tokens in split for t in tokens})
+                new = list(here)
             for token, ids in zip(new, tokenizer.ids(new), strict=True):
                 (memo if len(token) <= CACHE_CHARS else long)[token] = struct.pack(f"<{len(ids)}I", *ids)
             at, number, start, length, crc, packed = [], [], [], [], [], []

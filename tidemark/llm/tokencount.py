@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved, small_batches
-from tidemark.llm.wordpiece import WordTokenizer
+from tidemark.llm.wordpiece import word_tokenizer
 
 #: Bound of the broadcast vocabulary: entries, and characters of each.
 HOT_ENTRIES, HOT_CHARS = 65_536, 64
@@ -32,7 +32,7 @@ def vocabulary(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Data
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, seen = WordTokenizer(tokenizer_path), Counter()
+        tokenizer, seen = word_tokenizer(tokenizer_path), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["pretoken", "n"])
@@ -47,7 +47,7 @@ def vocabulary(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Data
         yield flush()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
             n = [len(ids) for ids in tokenizer.ids(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["pretoken", "n", "pieces"])
@@ -67,7 +67,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with what the broadcast part gives, and one for each other pre-token of it."""
-        tokenizer, known = WordTokenizer(tokenizer_path), hot.value
+        tokenizer, known = word_tokenizer(tokenizer_path), hot.value
         for batch in batches:
             rows, sizes, sums, tokens, counts = [], [], [], [], []
             for i, value in enumerate(batch.column(2)):
