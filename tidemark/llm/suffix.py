@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, small_batches
+from tidemark.llm.common import release, saved, small_batches, stored
 
 #: Repeated strings have this many bytes; grams that anchors are chosen from.
 LENGTH, GRAM = 200, 100
@@ -240,9 +240,11 @@ def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     """docs (id, mark, text) -> id, mark, a, b: spans (may overlap) whose union is all that repeats."""
     id_type = dict(docs.dtypes)["id"]
     found = anchors(docs, length, gram)
-    often = found.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hits = saved(found.join(often, "h"))
-    kinds = hits.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("loc").alias("loc"))
+    # Saved on its own, so that the join below has two plain exchanges and Spark can split the rows of a hot gram.
+    often = saved(found.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    hits = stored(found.join(often, "h"))
+    # Saved for the same reason: a context that very many texts share is split in the semi-join below.
+    kinds = stored(hits.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("loc").alias("loc")))
     per_gram = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
     place = (F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF))).cast("long")
     mark = F.shiftright("loc", 32)
@@ -272,6 +274,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     keyed = docs.withColumn("__mark", F.hash(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long"))
     plain = keyed.select(F.col(key).alias("id"), F.col("__mark").alias("mark"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     spans = find_spans(plain, length, gram)
+    release(docs.sparkSession)
     merged = spans.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("__found"))  # bounded by the text's length
     joined = keyed.join(merged, keyed[key].eqNullSafe(merged["id"]) & (keyed["__mark"] == merged["mark"]), "left").drop("id", "mark", "__mark")
     return joined
