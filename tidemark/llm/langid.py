@@ -103,7 +103,7 @@ class LanguageFilters:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         data = [(t or "").encode() for t in texts]
         names, scores = [UNKNOWN] * len(data), [0.0] * len(data)
-        for start, part in _chunks(data):
+        for start, part in _chunks(data) if self.languages else ():
             joined = np.frombuffer(b"    ".join(part) + b"    ", np.uint8)
             starts = np.cumsum([0, *(len(p) + 4 for p in part)])[:-1]
             codes, valid = _grams(joined)

@@ -44,12 +44,12 @@ def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float
 def drop_boilerplate(pages: DataFrame, host: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of pages with the boilerplate lines cut from text, and __n_lines, __n_dropped."""
     host = F.col("source") if host is None else host
-    marks = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("__host"), "marks", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__part"))
+    marks = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("__host"), F.col("marks").alias("__marks"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__part"))
     salted = pages.withColumn("__part", F.pmod(F.xxhash64(text), F.lit(SALT)).cast("int"))
     joined = salted.join(marks, host.eqNullSafe(F.col("__host")) & (salted["__part"] == marks["__part"]), "left")
     lines = _lines(F.col(text))
-    stay = F.filter(lines, lambda x: ~F.array_contains(F.col("marks"), F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
-    cut = F.col("marks").isNotNull()
+    stay = F.filter(lines, lambda x: ~F.array_contains(F.col("__marks"), F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
+    cut = F.col("__marks").isNotNull()
     return joined.select(
         *[F.when(cut, F.array_join(stay, "\n")).otherwise(F.col(text)).alias(text) if c == text else pages[c] for c in pages.columns],
         F.size(lines).alias("__n_lines"),
