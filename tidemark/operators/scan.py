@@ -100,11 +100,11 @@ def _chain(name: str):
     return step
 
 
-def _ema_input(column: str, n: int) -> tuple[str, float, float, int]:
+def ema_input(column: str, n: int) -> tuple[str, float, float, int]:
     return column, 1 - 2 / (n + 1), 2 / (n + 1), 1
 
 
-def _wilder_input(column: str, n: int) -> tuple[str, float, float, int]:
+def wilder_input(column: str, n: int) -> tuple[str, float, float, int]:
     return column, 1 - 1 / n, 1 / n, n
 
 
@@ -116,43 +116,61 @@ def warm(bars: DataFrame, name: str, column: str, n: int) -> DataFrame:
 
 def ema(bars: DataFrame, names: dict[str, tuple[str, int]], chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """names: output -> (input column, n)."""
-    out = affine_scan(bars, {k: _ema_input(c, n) for k, (c, n) in names.items()}, chunk_days)
+    out = affine_scan(bars, {k: ema_input(c, n) for k, (c, n) in names.items()}, chunk_days)
     for k, (c, n) in names.items():
         out = warm(out, k, c, n)
     return out
 
 
 def wilder(bars: DataFrame, names: dict[str, tuple[str, int]], chunk_days: int = CHUNK_DAYS) -> DataFrame:
-    return affine_scan(bars, {k: _wilder_input(c, n) for k, (c, n) in names.items()}, chunk_days)
+    return affine_scan(bars, {k: wilder_input(c, n) for k, (c, n) in names.items()}, chunk_days)
 
 
 def atr(bars: DataFrame, n: int = 14, name: str = "atr", chunk_days: int = CHUNK_DAYS) -> DataFrame:
     return wilder(bars.withColumn("__tr", true_range()), {name: ("__tr", n)}, chunk_days).drop("__tr")
 
 
-def rsi(bars: DataFrame, n: int = 14, name: str = "rsi", chunk_days: int = CHUNK_DAYS) -> DataFrame:
+def with_gains(bars: DataFrame) -> DataFrame:
+    """__gain and __loss of the close; null on the first bar."""
     change = F.col("close") - F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
-    moved = bars.withColumn("__d", change).withColumns({"__gain": F.when(F.col("__d").isNotNull(), F.greatest("__d", F.lit(0.0))), "__loss": F.when(F.col("__d").isNotNull(), F.greatest(-F.col("__d"), F.lit(0.0)))})
-    out = wilder(moved, {"__g": ("__gain", n), "__l": ("__loss", n)}, chunk_days)
-    g, lo = F.col("__g"), F.col("__l")
-    value = F.when(g.isNull(), None).when((g == 0) & (lo == 0), 50.0).when(lo == 0, 100.0).when(g == 0, 0.0).otherwise(100 - 100 / (1 + g / F.when(lo != 0, lo)))
-    return out.withColumn(name, value).drop("__d", "__gain", "__loss", "__g", "__l")
+    moved = bars.withColumn("__d", change)
+    known = F.col("__d").isNotNull()
+    return moved.withColumns({"__gain": F.when(known, F.greatest("__d", F.lit(0.0))), "__loss": F.when(known, F.greatest(-F.col("__d"), F.lit(0.0)))}).drop("__d")
 
 
-def adx(bars: DataFrame, n: int = 14, chunk_days: int = CHUNK_DAYS) -> DataFrame:
-    """adx, plus_di, minus_di."""
+def rsi_of(gain: str, loss: str) -> Column:
+    g, lo = F.col(gain), F.col(loss)
+    return F.when(g.isNull(), None).when((g == 0) & (lo == 0), 50.0).when(lo == 0, 100.0).when(g == 0, 0.0).otherwise(100 - 100 / (1 + g / F.when(lo != 0, lo)))
+
+
+def rsi(bars: DataFrame, n: int = 14, name: str = "rsi", chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    out = wilder(with_gains(bars), {"__g": ("__gain", n), "__l": ("__loss", n)}, chunk_days)
+    return out.withColumn(name, rsi_of("__g", "__l")).drop("__gain", "__loss", "__g", "__l")
+
+
+def with_moves(bars: DataFrame) -> DataFrame:
+    """__tr, and __plus and __minus: directional moves, null on the first bar."""
     order = Window.partitionBy("symbol").orderBy("ts")
     up, down = F.col("high") - F.lag("high").over(order), F.lag("low").over(order) - F.col("low")
     moved = bars.withColumns({"__tr": true_range(), "__up": up, "__down": down})
-    moved = moved.withColumns({
-        "__plus": F.when(F.col("__up").isNotNull(), F.when((F.col("__up") > F.col("__down")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0)),
-        "__minus": F.when(F.col("__up").isNotNull(), F.when((F.col("__down") > F.col("__up")) & (F.col("__down") > 0), F.col("__down")).otherwise(0.0)),
-    })
-    out = wilder(moved, {"__a": ("__tr", n), "__p": ("__plus", n), "__m": ("__minus", n)}, chunk_days)
-    out = out.withColumns({"plus_di": F.try_divide(100 * F.col("__p"), F.col("__a")), "minus_di": F.try_divide(100 * F.col("__m"), F.col("__a"))})
-    total = F.col("plus_di") + F.col("minus_di")
-    out = out.withColumn("__dx", F.try_divide(100 * F.abs(F.col("plus_di") - F.col("minus_di")), total))
-    return wilder(out, {"adx": ("__dx", n)}, chunk_days).drop("__tr", "__up", "__down", "__plus", "__minus", "__a", "__p", "__m", "__dx")
+    known = F.col("__up").isNotNull()
+    return moved.withColumns({
+        "__plus": F.when(known, F.when((F.col("__up") > F.col("__down")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0)),
+        "__minus": F.when(known, F.when((F.col("__down") > F.col("__up")) & (F.col("__down") > 0), F.col("__down")).otherwise(0.0)),
+    }).drop("__up", "__down")
+
+
+def with_dx(bars: DataFrame, tr: str, plus: str, minus: str) -> DataFrame:
+    """plus_di, minus_di and __dx of smoothed ranges and moves."""
+    out = bars.withColumns({"plus_di": F.try_divide(100 * F.col(plus), F.col(tr)), "minus_di": F.try_divide(100 * F.col(minus), F.col(tr))})
+    return out.withColumn("__dx", F.try_divide(100 * F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
+
+
+def adx(bars: DataFrame, n: int = 14, chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    """adx, plus_di, minus_di."""
+    out = wilder(with_moves(bars), {"__a": ("__tr", n), "__p": ("__plus", n), "__m": ("__minus", n)}, chunk_days)
+    out = wilder(with_dx(out, "__a", "__p", "__m"), {"adx": ("__dx", n)}, chunk_days)
+    return out.drop("__tr", "__plus", "__minus", "__a", "__p", "__m", "__dx")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, chunk_days: int = CHUNK_DAYS) -> DataFrame:

@@ -1 +1,89 @@
-"""Queries."""
+"""Queries that run a stream to its end over the given tables and return what it wrote.
+
+The stream reads the Parquet table, with a far watermark, and writes to Parquet in the shared checkpoint folder; what it
+emits equals the batch result except for windows that the end of the input leaves open.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.registry import query
+from tidemark.sources import views
+from tidemark.streaming import jobs
+
+_LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
+
+
+def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name}*")
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("mid"))
+
+
+def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Rows of a stream that reads all there is and stops."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _naive(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else f.name for f in df.schema.fields])
+
+
+@query("str01_stream_bars", views.with_views("ticks", "H1") + f"SELECT * FROM bars_h1 WHERE ts + INTERVAL 60 MINUTE <= {_LAST}")
+def stream_bars(spark, d):
+    return _naive(_finished(spark, jobs.bars(_ticks(spark, d), 60)))
+
+
+@query(
+    "str02_sliding_stats",
+    views.with_views("ticks")
+    + f"""SELECT symbol, start, round(avg(mid), 6) AS mean, round(stddev_samp(mid), 6) AS spread, count(*) AS n FROM (SELECT symbol, mid, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM ticks)
+    WHERE start + INTERVAL 60 MINUTE <= {_LAST} GROUP BY 1, 2""",
+)
+def sliding(spark, d):
+    return _naive(_finished(spark, jobs.sliding_stats(_ticks(spark, d), 60, 30))).withColumns({"mean": F.round("mean", 6), "spread": F.round("spread", 6)})
+
+
+@query(
+    "str03_activity_sessions",
+    views.with_views("ticks")
+    + f""", g AS (SELECT symbol, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts)), s AS (SELECT *, sum(cut) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY symbol, k HAVING max(ts) + INTERVAL 30 MINUTE <= {_LAST}""",
+)
+def sessions(spark, d):
+    return _naive(_finished(spark, jobs.activity_sessions(_ticks(spark, d), 30)))
+
+
+@query("str05_fresh_signals", "SELECT DISTINCT event_type AS symbol, ts, CAST(user_id % 2 AS INT) AS direction, 'tick' AS type FROM events")
+def fresh(spark, d):
+    events = _stream(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.pmod("user_id", F.lit(2)).cast("int").alias("direction"), F.lit("tick").alias("type"))
+    doubled = events.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
+    return _naive(_finished(spark, jobs.fresh_signals(doubled)))
+
+
+@query(
+    "str06_stream_blackout",
+    views.with_views("ticks", "calendar") + "SELECT symbol, event_id, EXISTS (SELECT 1 FROM calendar c WHERE c.impact = 'High' AND t.ts BETWEEN c.time_utc - INTERVAL 15 MINUTE AND c.time_utc + INTERVAL 10 MINUTE) AS blackout FROM ticks t",
+)
+def stream_blackout(spark, d):
+    calendar = views.calendar(spark, d).where("impact = 'High'").select(F.col("time_utc").cast("timestamp").alias("time_utc"))
+    return _finished(spark, jobs.with_blackout(_ticks(spark, d).select("symbol", "event_id", "ts"), calendar)).select("symbol", "event_id", "blackout")
+
+
+@query("str09_day_loss", f"WITH ticks AS (SELECT ts FROM events) SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS day, round(sum(value - 130), 4) AS net, count(*) AS n, round(sum(value - 130), 4) <= -1000 AS breached FROM events GROUP BY 1 HAVING date_trunc('day', CAST(max(ts) AS TIMESTAMP)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM ticks)")
+def stream_day_loss(spark, d):
+    deals = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") - 130).alias("profit"))
+    return _naive(_finished(spark, jobs.day_loss(deals, 1000.0))).withColumn("net", F.round("net", 4))
