@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import time as clock
 from tidemark.functions import trade
-from tidemark.operators import aggregates, bars as bar_ops, joins, quality
+from tidemark.operators import aggregates, joins, oplogs, quality
+from tidemark.operators import bars as bar_ops
 from tidemark.registry import query
-from tidemark.sources import views
+from tidemark.sources import files, views
 from tidemark.sources.views import TRADE_ORDER, with_views
 
 
@@ -523,3 +524,130 @@ def props_json(spark, d):
 @query("sca14_range_pips", with_views("ticks", "H1") + "SELECT symbol, ts, round((high - low) / 0.1, 4) AS range_pips FROM bars_h1")
 def range_pips(spark, d):
     return views.bars(spark, d).select("symbol", "ts", F.round(trade.pips(F.col("high") - F.col("low"), 0.1), 4).alias("range_pips"))
+
+
+# ---- files, logs, parameters ----------------------------------------------------------------------------------------
+
+_LINES = """lines AS (SELECT event_id, ts, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || ' [' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || '] ' ||
+  CASE event_id % 3 WHEN 0 THEN 'heartbeat equity=' || printf('%.2f', value) WHEN 1 THEN 'no entry ' || event_type || ': spread' ELSE 'tick ' || event_type END AS value FROM events)"""
+
+
+def _log_lines(spark, d) -> DataFrame:
+    e = views.table(spark, d, "events")
+    k = F.pmod("event_id", F.lit(3))
+    text = F.when(k == 0, F.concat(F.lit("heartbeat equity="), F.format_string("%.2f", "value"))).when(k == 1, F.concat(F.lit("no entry "), "event_type", F.lit(": spread"))).otherwise(F.concat(F.lit("tick "), "event_type"))
+    head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(","), F.lpad(F.pmod("event_id", F.lit(1000)).cast("string"), 3, "0"), F.lit(" ["), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"), F.lit("] "))
+    return e.select(F.concat(head, text).alias("value"), "event_id", "event_type")
+
+
+_LOG_TS = "date_trunc('second', ts) + to_milliseconds(event_id % 1000)"
+
+
+@query("src10_read_text_log", f"WITH {_LINES} SELECT {_LOG_TS} AS ts, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, substr(value, strpos(value, '] ') + 2) AS msg FROM lines")
+def text_log(spark, d):
+    return files.text_log(_log_lines(spark, d))
+
+
+@query("sca12_log_regex", f"WITH {_LINES} SELECT {_LOG_TS} AS ts, event_type, CASE WHEN event_id % 3 = 0 THEN CAST(regexp_extract(value, 'equity=([0-9.]+)', 1) AS DOUBLE) END AS equity, CASE WHEN event_id % 3 = 1 THEN 'spread' END AS reason FROM lines")
+def log_regex(spark, d):
+    lines = _log_lines(spark, d)
+    parsed = lines.select("event_type", *[F.regexp_extract("value", r"^([\d-]+ [\d:]+),(\d{3}) \[\w+\] (.*)$", i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "msg"))])
+    return parsed.select(F.concat_ws(".", "a", "b").cast("timestamp_ntz").alias("ts"), "event_type", oplogs.heartbeat_equity(F.col("msg")).alias("equity"), oplogs.no_entry_reason(F.col("msg")).alias("reason"))
+
+
+@query(
+    "jon09_trade_log_window",
+    f"""WITH {_LINES}, tr AS (SELECT event_id AS ticket, event_type AS symbol, ts AS entry_time, ts + INTERVAL 2 HOUR AS exit_time FROM events WHERE event_id % 97 = 0)
+    SELECT ticket, symbol, {_LOG_TS.replace("ts)", "l.ts)").replace("event_id", "l.event_id")} AS ts, substr(value, strpos(value, '] ') + 2) AS msg FROM tr JOIN lines l ON {_LOG_TS.replace("ts)", "l.ts)").replace("event_id", "l.event_id")} BETWEEN entry_time - INTERVAL 15 MINUTE AND exit_time AND contains(substr(value, strpos(value, '] ') + 2), symbol)""",
+)
+def trade_log(spark, d):
+    e = views.table(spark, d, "events").where(F.col("event_id") % 97 == 0)
+    at = F.col("ts").cast("timestamp_ntz")
+    trades = e.select(F.col("event_id").alias("ticket"), F.col("event_type").alias("symbol"), at.alias("entry_time"), (at + F.expr("INTERVAL 2 HOURS")).alias("exit_time"))
+    return oplogs.lines_of_trades(trades, files.text_log(_log_lines(spark, d))).select("ticket", "symbol", "ts", "msg")
+
+
+@query("src03_parse_m1_lines", "SELECT date_trunc('second', ts) + INTERVAL 5 HOUR AS ts, value AS open, value + 1 AS high, value - 1 AS low, value AS close, 3.0 AS tick_volume FROM events")
+def m1_lines(spark, d):
+    v = F.col("value")
+    line = F.concat_ws(";", F.date_format("ts", "yyyyMMdd HHmmss"), v.cast("string"), (v + 1).cast("string"), (v - 1).cast("string"), v.cast("string"), F.lit("3"))
+    return files.parse_m1_lines(views.table(spark, d, "events").select(line.alias("value")))
+
+
+@query(
+    "src06_calendar_xml",
+    with_views("ticks", "calendar") + """SELECT CASE WHEN hour(time_utc) <> 3 THEN date_trunc('minute', time_utc) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' END AS time_utc, currency, impact, title FROM calendar WHERE minute(time_utc) <> 7""",
+)
+def calendar_xml(spark, d):
+    at = F.col("time_utc")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    clock_text = F.when(F.hour(at) == 3, F.lit("All Day")).otherwise(F.lower(F.date_format(at, "h:mma")))
+    title = F.when(F.minute(at) == 7, F.lit("")).otherwise(F.col("title"))
+    event = tag("event", F.concat(tag("title", title), tag("country", F.lower("currency")), tag("date", F.date_format(at, "MM-dd-yyyy")), tag("time", clock_text), tag("impact", F.col("impact"))))
+    documents = views.calendar(spark, d).groupBy(F.to_date("time_utc").alias("day")).agg(F.concat(F.lit("<weeklyevents>"), F.array_join(F.collect_list(event), ""), F.lit("</weeklyevents>")).alias("xml"))
+    return files.calendar_events(documents)
+
+
+@query("src07_read_decisions", "SELECT date_trunc('minute', ts) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS decision_ts FROM events WHERE event_id % 10 <> 0")
+def decision_lines(spark, d):
+    line = F.when(F.col("event_id") % 10 == 0, F.lit("# comment")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(", "), F.date_format("ts", "HH:mm")))
+    return files.decisions(views.table(spark, d, "events").select(line.alias("value")))
+
+
+@query("src09_read_event_log", "SELECT date_trunc('second', ts) AS ts, event_type AS event FROM events WHERE event_id % 11 <> 0")
+def json_log(spark, d):
+    good = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("event"), "value"))
+    lines = views.table(spark, d, "events").select(F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).otherwise(good).alias("value"))
+    return files.event_log(lines).select("ts", "event")
+
+
+@query(
+    "src11_run_reports",
+    with_views("trades") + """, m AS (SELECT symbol AS run, count(*) AS n, avg(r_multiple) AS mean_r FROM trades GROUP BY 1) SELECT run, gate, passed, round(value, 6) AS value FROM (SELECT run, 'n' AS gate, n >= 200 AS passed, CAST(n AS DOUBLE) AS value FROM m UNION ALL SELECT run, 'mean_r', mean_r > 0, mean_r FROM m)""",
+)
+def reports(spark, d):
+    m = views.trades(spark, d).groupBy(F.col("symbol").alias("run")).agg(F.count("*").cast("double").alias("n"), F.avg("r_multiple").alias("mean_r"))
+    checks = F.array(F.struct(F.lit("n").alias("gate"), (F.col("n") >= 200).alias("passed")), F.struct(F.lit("mean_r").alias("gate"), (F.col("mean_r") > 0).alias("passed")))
+    report = F.to_json(F.struct("run", F.create_map(F.lit("n"), F.col("n"), F.lit("mean_r"), F.col("mean_r")).alias("metrics"), checks.alias("checks")))
+    return files.run_reports(m.select(report.alias("value"))).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "top05_catalog_order",
+    with_views("trades") + """, r AS (SELECT run_id AS key, symbol, count(*) FILTER (WHERE pnl > 0) // 400 AS passed FROM trades GROUP BY 1, 2) SELECT key, symbol, nullif(passed, 0) AS passed FROM r ORDER BY nullif(passed, 0) DESC NULLS LAST, key, symbol LIMIT 20""",
+)
+def catalog_order(spark, d):
+    results = views.trades(spark, d).groupBy(F.col("run_id").alias("key"), "symbol").agg(F.nullif(F.floor(F.count_if(F.col("pnl") > 0) / 400), F.lit(0)).alias("passed"))
+    return oplogs.catalog_order(results).limit(20)
+
+
+@query("top04_latest_diagnostic", f"WITH {_LINES} SELECT event_type AS symbol, arg_max(substr(value, strpos(value, '] ') + 2), (ts, event_id)) AS msg, max(ts) AS ts FROM lines GROUP BY 1")
+def latest_diagnostic(spark, d):
+    e = views.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    lines = _log_lines(spark, d).withColumn("msg", F.regexp_extract("value", r"\] (.*)$", 1)).join(e, "event_id")
+    return oplogs.latest_by(lines.withColumnRenamed("event_type", "symbol"), "symbol", "ts", "msg", "event_id")
+
+
+@query("sca07_fill_price", with_views("ticks", "H1") + "SELECT symbol, ts, round(close + 0.01 * (20 * 2.0 / 2 + 3), 6) AS buy, round(close - 0.01 * (20 * 2.0 / 2 + 3), 6) AS sell FROM bars_h1")
+def fill_price(spark, d):
+    price = lambda side: F.round(trade.fill_price(F.col("close"), F.lit(side), F.lit(20), F.lit(0.01), 2.0, 3.0), 6)
+    return views.bars(spark, d).select("symbol", "ts", price(1).alias("buy"), price(-1).alias("sell"))
+
+
+@query("sca09_param_maps", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k' || CAST(event_id % 7 AS VARCHAR) ELSE 'base' END AS a, 'b1' AS b, CAST(1 + CAST(event_id % 2 = 0 AS INT) + 1 AS INT) AS n FROM events")
+def param_maps(spark, d):
+    base = F.create_map(F.lit("vp.enabled"), F.lit("base"), F.lit("stop.mult"), F.lit("b1"))
+    over = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("vp.enabled"), F.concat(F.lit("k"), F.pmod("event_id", F.lit(7)).cast("string")), F.lit("x"), F.lit("y"))).otherwise(F.create_map(F.lit("vp.enabled"), F.lit("base")))
+    merged = trade.merged_params(base, over)
+    return views.table(spark, d, "events").select("event_id", F.try_element_at(merged, F.lit("vp.enabled")).alias("a"), F.try_element_at(merged, F.lit("stop.mult")).alias("b"), F.size(merged).alias("n"))
+
+
+@query("sca10_as_flag", "SELECT event_id, event_id % 4 < 2 AS flag FROM events")
+def as_flag(spark, d):
+    text = F.element_at(F.array(*map(F.lit, (" ON", "true ", "off", "0"))), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    return views.table(spark, d, "events").select("event_id", trade.as_flag(text).alias("flag"))
+
+
+@query("sca11_rule_key", "SELECT event_id, event_type AS key FROM events")
+def rule_key(spark, d):
+    return views.table(spark, d, "events").select("event_id", trade.rule_key(F.concat(F.lit("rules.live."), "event_type")).alias("key"))
