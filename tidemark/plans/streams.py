@@ -12,8 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans import sqltext
 from tidemark.registry import query
 from tidemark.sources import views
+from tidemark.sources.views import bars_sql
 from tidemark.streaming import jobs
 
 _LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
@@ -87,3 +89,30 @@ def stream_blackout(spark, d):
 def stream_day_loss(spark, d):
     deals = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") - 130).alias("profit"))
     return _naive(_finished(spark, jobs.day_loss(deals, 1000.0))).withColumn("net", F.round("net", 4))
+
+
+@query(
+    "str04_running_indicators",
+    sqltext.with_bars(sqltext.rsi(14)).replace(bars_sql("H1", "b"), "b AS (SELECT symbol, ts, mid AS high, mid AS low, mid AS close, 1.0 + event_id % 7 AS tick_volume FROM ticks)")
+    + "SELECT b.symbol, b.ts, round(sum(close * tick_volume) OVER w / sum(tick_volume) OVER w, 6) AS vwap, round(r.y, 6) AS rsi FROM b LEFT JOIN rsi r USING (symbol, ts) WINDOW w AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING)",
+)
+def running(spark, d):
+    ticks = _ticks(spark, d).select("symbol", "ts", F.col("mid").alias("high"), F.col("mid").alias("low"), F.col("mid").alias("close"), (1.0 + F.pmod("event_id", F.lit(7))).alias("tick_volume"))
+    return _naive(_finished(spark, jobs.running_indicators(ticks))).select("symbol", "ts", F.round("vwap", 6).alias("vwap"), F.round("rsi", 6).alias("rsi"))
+
+
+@query(
+    "str07_open_close_pairing",
+    """SELECT o_orderkey AS ticket, CAST(o_orderdate AS TIMESTAMP) AS open_time, CAST(l_shipdate AS TIMESTAMP) AS close_time, CAST(l_extendedprice AS DOUBLE) AS profit
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND CAST(l_shipdate AS TIMESTAMP) >= CAST(o_orderdate AS TIMESTAMP) AND CAST(l_shipdate AS TIMESTAMP) <= CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY""",
+)
+def pairing(spark, d):
+    opens = _stream(spark, d, "orders").select(F.col("o_orderkey").alias("ticket"), F.col("o_orderdate").cast("timestamp").alias("open_time"))
+    closes = _stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("ticket"), F.col("l_shipdate").cast("timestamp").alias("close_time"), F.col("l_extendedprice").cast("double").alias("profit"))
+    return _naive(_finished(spark, jobs.paired(opens, closes, late="4000 days"))).where("close_time IS NOT NULL")
+
+
+@query("str08_trailing_stops")
+def stops(spark, d):
+    prices = _stream(spark, d, "events").select(F.col("user_id").cast("long").alias("ticket"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("direction"), F.col("value").alias("price"))
+    return _naive(_finished(spark, jobs.trailing_stops(prices, 50.0)))
