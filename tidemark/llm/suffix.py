@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -274,12 +275,33 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     keyed = docs.withColumn("__mark", F.hash(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long"))
     plain = keyed.select(F.col(key).alias("id"), F.col("__mark").alias("mark"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     spans = find_spans(plain, length, gram)
+    found = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("__found"))  # bounded by the text's length
+    id_type = dict(plain.dtypes)["id"]
+    # Written before the texts are shuffled again, so that what it took is off the disks by then.
+    merged = stored(found.mapInArrow(_merge_runs, f"id {id_type}, mark long, __found array<struct<a:bigint,b:bigint>>"))
     release(docs.sparkSession)
-    merged = spans.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("__found"))  # bounded by the text's length
     joined = keyed.join(merged, keyed[key].eqNullSafe(merged["id"]) & (keyed["__mark"] == merged["mark"]), "left").drop("id", "mark", "__mark")
     return joined
 
 
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Third column: lists of spans -> lists of disjoint runs in order."""
+    far = np.int64(1) << 40  # beyond any text; sets the rows of a batch apart
+    for batch in batches:
+        lists = batch.column(2)
+        spans = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        a, b = (spans.field(i).to_numpy(zero_copy_only=False) + row * far for i in (0, 1))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order]) if len(order) else b
+        first = np.flatnonzero(np.r_[True, a[1:] > b[:-1]]) if len(a) else np.zeros(0, np.int64)
+        last = np.r_[first[1:] - 1, len(a) - 1] if len(a) else first
+        owner = a[first] // far
+        offsets = np.searchsorted(owner, np.arange(len(lists) + 1))
+        runs = pa.StructArray.from_arrays([pa.array(a[first] % far), pa.array(b[last] - owner * far)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)], names=["id", "mark", "__found"])
+
+
 def merge_spans(found: list[dict], size: int) -> list[tuple[int, int]]:
     """Disjoint runs in order, cut to the text."""
     out: list[list[int]] = []
