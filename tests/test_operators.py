@@ -11,7 +11,7 @@ from tidemark.functions import time as clock
 from tidemark.functions import trade
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import indicators as ind
-from tidemark.operators import ledger, outcomes, profile, quality, scan, validation
+from tidemark.operators import chunks, ledger, outcomes, profile, quality, scan, validation
 from tidemark.sources import files, views
 
 T0 = dt.datetime(2024, 1, 2, 9)
@@ -56,7 +56,7 @@ def test_scan_does_not_depend_on_chunks(spark, days):
 
 def test_scan_keeps_state_over_nulls(spark):
     df = closes(spark, [1, 2, 3, 4]).withColumn("x", F.when(F.col("close") != 3, F.col("close")))
-    assert [r.e for r in scan.affine_scan(df, {"e": scan.ema_input("x", 3)}).orderBy("ts").collect()] == [1.0, 1.5, None, 2.75]
+    assert [r.e for r in scan.affine_scan(df, {"e": scan.Recurrence("x", 0.5, 0.5)}).orderBy("ts").collect()] == [1.0, 1.5, None, 2.75]
 
 
 def test_values_of_a_prefix_do_not_change(spark, sf):
@@ -219,3 +219,18 @@ def test_sessions_wrap_midnight(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 2, h),) for h in range(24)], "ts timestamp_ntz")
     hours = lambda a, b: {r.ts.hour for r in df.where(clock.in_session(F.col("ts"), a * 60, b * 60)).collect()}
     assert hours(22, 2) == {22, 23, 0, 1} and hours(7, 9) == {7, 8} and hours(5, 5) == set(range(24))
+
+
+@pytest.mark.parametrize("rows_per_chunk", [7, 50, 100_000])
+def test_chunked_windows_equal_plain_ones(spark, rows_per_chunk):
+    rng = np.random.default_rng(2)
+    df = closes(spark, 100 + np.cumsum(rng.normal(size=400)), minutes=240).unionByName(closes(spark, rng.normal(size=90), minutes=60, symbol="Y"))
+
+    def table(bars):
+        return ind.swings(bars.withColumns({"sma": F.round(ind.sma(F.col("close"), 10), 8), "rank": ind.rolling_rank("close", 30), "top": ind.donchian(20)[0]}), 3, 3)
+
+    plain = sorted(map(tuple, table(df).select("symbol", "ts", "sma", "rank", "top", "swing_high", "confirmed_at").collect()), key=str)
+    cut = chunks.chunked(df, table, before=29, after=3, chunk_rows=rows_per_chunk, slice_days=4)
+    assert sorted(map(tuple, cut.select("symbol", "ts", "sma", "rank", "top", "swing_high", "confirmed_at").collect()), key=str) == plain
+    numbers = {(r.symbol, r.ts): r.k for r in chunks.row_numbers(df, slice_days=3).collect()}
+    assert all(sorted(k for (s, _), k in numbers.items() if s == name) == list(range(1, n + 1)) for name, n in (("X", 400), ("Y", 90)))

@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunks import row_numbers
 from tidemark.operators.indicators import order
 
 
 def numbered(bars: DataFrame) -> DataFrame:
     """bars with `k`, the row number per symbol."""
-    return bars.withColumn("k", F.row_number().over(order()))
+    return row_numbers(bars)
 
 
 def _paths(signals: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as ind
 from tidemark.operators import scan
-from tidemark.operators.indicators import lag, order
+from tidemark.operators.chunks import row_numbers
+from tidemark.operators.indicators import lag
 
 
 @dataclass(frozen=True)
@@ -32,15 +33,7 @@ class Rule:
 def features(bars: DataFrame) -> DataFrame:
     """Everything that the rules read, from (symbol, ts, open, high, low, close, tick_volume)."""
     out = ind.session_vwap(bars.select("symbol", "ts", "open", "high", "low", "close", "tick_volume"), "America/New_York")
-    out = scan.with_moves(scan.with_gains(out.withColumn("k", F.row_number().over(order()))))
-    # One scan for all recurrences on bar columns, a second one for the recurrence on their result.
-    averages = {f"ema{n}": scan.ema_input("close", n) for n in (20, 50, 200)}
-    smoothed = {"atr": "__tr", "__g": "__gain", "__l": "__loss", "__p": "__plus", "__m": "__minus"}
-    out = scan.affine_scan(out, averages | {name: scan.wilder_input(column, 14) for name, column in smoothed.items()})
-    for n in (20, 50, 200):
-        out = scan.warm(out, f"ema{n}", "close", n)
-    out = scan.with_dx(out.withColumn("rsi", scan.rsi_of("__g", "__l")), "atr", "__p", "__m")
-    out = scan.wilder(out.drop("__gain", "__loss", "__g", "__l", "__plus", "__minus", "__p", "__m", "__tr"), {"adx": ("__dx", 14)}).drop("__dx")
+    out = scan.trend(row_numbers(out), {f"ema{n}": ("close", n) for n in (20, 50, 200)})
     upper, lower = ind.donchian(20)
     out = out.withColumns({
         "upper": upper, "lower": lower, "vol_ratio": ind.ratio_to_mean("tick_volume", 20), "mom": ind.momentum(24), "rsi_before": lag("rsi"), "close_before": lag("close"),

@@ -10,6 +10,8 @@ the mean of the first n valid ones (Wilder).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,104 +24,103 @@ from tidemark.operators.indicators import true_range
 CHUNK_DAYS = 30
 
 
+class Recurrence(NamedTuple):
+    """y = a y + b x over the valid values of a column, started by the mean of the first `seed`, shown from the `warm`-th on."""
+
+    column: str
+    a: float
+    b: float
+    seed: int = 1
+    warm: int = 1
+
+
+def ema_input(column: str, n: int) -> Recurrence:
+    return Recurrence(column, 1 - 2 / (n + 1), 2 / (n + 1), 1, n)
+
+
+def wilder_input(column: str, n: int) -> Recurrence:
+    return Recurrence(column, 1 - 1 / n, 1 / n, n, n)
+
+
 def _chunk(days: int) -> Column:
     return F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / (86_400 * days)).cast("long")
 
 
-def _run(x: np.ndarray, a: float, b: float, state: float) -> tuple[np.ndarray, float]:
-    """States after each valid input; nan where the input is nan or there is no state yet."""
+def _run(x: np.ndarray, rule: Recurrence, seen: int, total: float, state: float) -> tuple[np.ndarray, float]:
+    """States after each of the valid values x, with `seen` values that sum to `total` before them; nan before the seed."""
     out = np.full(len(x), np.nan)
-    for i in np.flatnonzero(~np.isnan(x)):
-        state = x[i] if np.isnan(state) else a * state + b * x[i]
-        out[i] = state
+    for i, value in enumerate(x.tolist()):
+        seen += 1
+        if seen > rule.seed:
+            state = rule.a * state + rule.b * value
+        else:
+            total += value
+            if seen == rule.seed:
+                state = total / rule.seed
+        if seen >= rule.seed:
+            out[i] = state
     return out, state
 
 
-def affine_scan(bars: DataFrame, inputs: dict[str, tuple[str, float, float, int]], chunk_days: int = CHUNK_DAYS) -> DataFrame:
-    """bars with a column per entry name -> (input column, a, b, seed rows).
-
-    Seed rows n: the state starts at the n-th valid value as the mean of the first n (1: the value itself).
-    """
-    out = bars.withColumn("__chunk", _chunk(chunk_days))
-    order = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    counted = {}
-    for name, (column, _, _, n) in inputs.items():
-        if n > 1:  # nth valid value so far; the running sum is only read at the seed row
-            counted[f"__k_{name}"] = F.count(column).over(order)
-            counted[f"__s_{name}"] = F.sum(column).over(order)
-    out = out.withColumns(counted) if counted else out
-    feeds = {}
-    for name, (column, _, _, n) in inputs.items():
-        if n > 1:
-            value = F.when(F.col(f"__k_{name}") == n, F.col(f"__s_{name}") / n).when(F.col(f"__k_{name}") > n, F.col(column))
-            feeds[f"__x_{name}"] = F.when(F.col(column).isNotNull(), value)
-        else:
-            feeds[f"__x_{name}"] = F.col(column)
-    out = out.withColumns(feeds).drop(*counted)
-    names = list(inputs)
+def _chain(name: str):
+    def step(y, c):
+        return F.when(y.isNull(), F.when(~F.isnan(c[f"F_{name}"]), c[f"F_{name}"])).otherwise(c[f"A_{name}"] * y + c[f"B_{name}"])
+
+    return step
+
+
+def affine_scan(bars: DataFrame, rules: dict[str, Recurrence], chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    """bars with a column for each recurrence."""
+    cut = bars.withColumn("__chunk", _chunk(chunk_days))
+    names, columns = list(rules), bars.columns
+    # What precedes each chunk: valid values and their sum. These tables have a row per chunk, not per bar.
+    stats = cut.groupBy("symbol", "__chunk").agg(*[F.count(r.column).alias(f"__n_{k}") for k, r in rules.items()], *[F.sum(r.column).alias(f"__s_{k}") for k, r in rules.items()])
+    earlier = Window.partitionBy("symbol").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = stats.select("symbol", "__chunk", *[F.coalesce(F.sum(f"__{x}_{k}").over(earlier), F.lit(0)).cast("double").alias(f"__{x}_{k}") for k in names for x in ("n", "s")])
+    used = list(dict.fromkeys(r.column for r in rules.values()))
+    slim = cut.select("symbol", "ts", "__chunk", *used).join(before, ["symbol", "__chunk"])
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")  # one chunk of one series
         row = {"symbol": pdf["symbol"].iloc[0], "__chunk": pdf["__chunk"].iloc[0]}
-        for name in names:
-            _, a, b, _ = inputs[name]
-            x = pdf[f"__x_{name}"].to_numpy(float)
+        for name, rule in rules.items():
+            x = pdf[rule.column].to_numpy(float)
             x = x[~np.isnan(x)]
-            row[f"A_{name}"] = a ** len(x) if len(x) else 1.0
-            row[f"B_{name}"] = _run(x, a, b, 0.0)[1] if len(x) else 0.0
-            row[f"F_{name}"] = _run(x, a, b, np.nan)[1] if len(x) else np.nan
+            seen, total = int(pdf[f"__n_{name}"].iloc[0]), float(pdf[f"__s_{name}"].iloc[0])
+            started = seen >= rule.seed
+            row[f"A_{name}"] = rule.a ** len(x) if started else 1.0
+            row[f"B_{name}"] = _run(x, rule, seen, total, 0.0)[1] if started else 0.0
+            row[f"F_{name}"] = np.nan if started else _run(x, rule, seen, total, np.nan)[1]
         return pd.DataFrame([row])
 
     fields = "symbol string, __chunk long" + "".join(f", A_{n} double, B_{n} double, F_{n} double" for n in names)
-    slim = out.select("symbol", "ts", "__chunk", *feeds)
     parts = slim.groupBy("symbol", "__chunk").applyInPandas(summarise, fields)
-    chained = parts.select("symbol", F.array_sort(F.collect_list(F.struct("__chunk", *[c for c in parts.columns if c not in ("symbol", "__chunk")])).over(Window.partitionBy("symbol"))).alias("list"), "__chunk")
-    starts = {}
-    for name in names:
-        starts[f"__y_{name}"] = F.aggregate(F.filter("list", lambda c: c["__chunk"] < F.col("__chunk")), F.lit(None).cast("double"), _chain(name))
-    starts_df = chained.select("symbol", "__chunk", *[v.alias(k) for k, v in starts.items()])
-
-    columns = bars.columns
+    rest = [c for c in parts.columns if c not in ("symbol", "__chunk")]
+    listed = F.array_sort(F.collect_list(F.struct("__chunk", *rest)).over(Window.partitionBy("symbol")))  # a row a chunk
+    chained = parts.select("symbol", "__chunk", listed.alias("list"))
+    past = F.filter("list", lambda c: c["__chunk"] < F.col("__chunk"))
+    starts = chained.select("symbol", "__chunk", *[F.aggregate(past, F.lit(None).cast("double"), _chain(n)).alias(f"__y_{n}") for n in names])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        for name in names:
-            _, a, b, _ = inputs[name]
-            pdf[name] = _run(pdf[f"__x_{name}"].to_numpy(float), a, b, float(pdf[f"__y_{name}"].iloc[0]) if pd.notna(pdf[f"__y_{name}"].iloc[0]) else np.nan)[0]
+        for name, rule in rules.items():
+            x = pdf[rule.column].to_numpy(float)
+            valid = ~np.isnan(x)
+            seen, start = int(pdf[f"__n_{name}"].iloc[0]), pdf[f"__y_{name}"].iloc[0]
+            y = np.full(len(x), np.nan)
+            y[valid] = _run(x[valid], rule, seen, float(pdf[f"__s_{name}"].iloc[0]), float("nan") if start is None else float(start))[0]
+            y[valid] = np.where(seen + 1 + np.arange(valid.sum()) >= rule.warm, y[valid], np.nan)
+            pdf[name] = y
         return pdf[[*columns, *names]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields) + "".join(f", `{n}` double" for n in names)
-    done = out.join(starts_df, ["symbol", "__chunk"]).groupBy("symbol", "__chunk").applyInPandas(finish, schema)
+    done = cut.join(before, ["symbol", "__chunk"]).join(starts, ["symbol", "__chunk"]).groupBy("symbol", "__chunk").applyInPandas(finish, schema)
     return done.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 
-def _chain(name: str):
-    def step(y, c):
-        return F.when(y.isNull(), F.when(~F.isnan(c[f"F_{name}"]), c[f"F_{name}"])).otherwise(c[f"A_{name}"] * y + c[f"B_{name}"])
-
-    return step
-
-
-def ema_input(column: str, n: int) -> tuple[str, float, float, int]:
-    return column, 1 - 2 / (n + 1), 2 / (n + 1), 1
-
-
-def wilder_input(column: str, n: int) -> tuple[str, float, float, int]:
-    return column, 1 - 1 / n, 1 / n, n
-
-
-def warm(bars: DataFrame, name: str, column: str, n: int) -> DataFrame:
-    """Null for the first n - 1 valid rows."""
-    valid = F.count(column).over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return bars.withColumn(name, F.when(valid >= n, F.col(name)))
-
-
 def ema(bars: DataFrame, names: dict[str, tuple[str, int]], chunk_days: int = CHUNK_DAYS) -> DataFrame:
-    """names: output -> (input column, n)."""
-    out = affine_scan(bars, {k: ema_input(c, n) for k, (c, n) in names.items()}, chunk_days)
-    for k, (c, n) in names.items():
-        out = warm(out, k, c, n)
-    return out
+    """names: output -> (input column, n). Null for the first n - 1 valid rows."""
+    return affine_scan(bars, {k: ema_input(c, n) for k, (c, n) in names.items()}, chunk_days)
 
 
 def wilder(bars: DataFrame, names: dict[str, tuple[str, int]], chunk_days: int = CHUNK_DAYS) -> DataFrame:
@@ -173,6 +174,16 @@ def adx(bars: DataFrame, n: int = 14, chunk_days: int = CHUNK_DAYS) -> DataFrame
     return out.drop("__tr", "__plus", "__minus", "__a", "__p", "__m", "__dx")
 
 
+def trend(bars: DataFrame, emas: dict[str, tuple[str, int]], n: int = 14, chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    """EMAs, atr, rsi, plus_di, minus_di and adx in two scans: one over bar columns, one over the directional index."""
+    smoothed = {"atr": "__tr", "__g": "__gain", "__l": "__loss", "__p": "__plus", "__m": "__minus"}
+    rules = {k: ema_input(c, m) for k, (c, m) in emas.items()} | {k: wilder_input(c, n) for k, c in smoothed.items()}
+    out = affine_scan(with_moves(with_gains(bars)), rules, chunk_days)
+    out = with_dx(out.withColumn("rsi", rsi_of("__g", "__l")), "atr", "__p", "__m")
+    out = out.drop("__gain", "__loss", "__g", "__l", "__plus", "__minus", "__p", "__m", "__tr")
+    return wilder(out, {"adx": ("__dx", n)}, chunk_days).drop("__dx")
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """macd, macd_signal, macd_hist."""
     out = ema(bars, {"__f": ("close", fast), "__s": ("close", slow)}, chunk_days).withColumn("macd", F.col("__f") - F.col("__s")).drop("__f", "__s")

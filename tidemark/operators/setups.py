@@ -25,7 +25,7 @@ def _only(df: DataFrame) -> DataFrame:
 
 def trend_pullback(days: DataFrame) -> DataFrame:
     """Daily trend (close to SMA 200, DI order, ADX of 20 or more), touch of EMA 20 within half an ATR, close beyond the bar before."""
-    out = scan.ema(scan.adx(scan.atr(days)), {"ema20": ("close", 20)}).withColumn("sma200", ind.sma(F.col("close"), 200))
+    out = scan.trend(days, {"ema20": ("close", 20)}, chunk_days=1000).withColumn("sma200", ind.sma(F.col("close"), 200))
     out = out.withColumns({"__h": lag("high"), "__l": lag("low")})
     band = 0.5 * F.col("atr")
     long = (F.col("close") > F.col("sma200")) & (F.col("plus_di") > F.col("minus_di")) & (F.col("low") <= F.col("ema20") + band) & (F.col("close") > F.col("__h"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as ind
 from tidemark.operators import profile, scan, structure
+from tidemark.operators.chunks import chunked
 from tidemark.plans import sqltext
 from tidemark.plans.sqltext import with_bars
 from tidemark.registry import query
@@ -28,7 +29,7 @@ def _frame(n: int, shift: int = 0) -> str:
 
 @query("ind01_sma", with_bars() + f"SELECT symbol, ts, round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END, 6) AS sma FROM b WINDOW w AS {_frame(20)}")
 def sma(spark, d):
-    return _out(views.bars(spark, d).withColumn("sma", ind.sma(F.col("close"), 20)), "sma")
+    return _out(chunked(views.bars(spark, d), lambda b: b.withColumn("sma", ind.sma(F.col("close"), 20)), before=19), "sma")
 
 
 @query("ind02_ema", with_bars(sqltext.ema("e", "b", "close", 20)) + "SELECT symbol, ts, round(y, 6) AS ema FROM e")
@@ -95,8 +96,11 @@ def vwap_bands(spark, d):
 
 @query("ind11_donchian", with_bars() + f"SELECT symbol, ts, CASE WHEN count(*) OVER w = 20 THEN max(high) OVER w END AS upper, CASE WHEN count(*) OVER w = 20 THEN min(low) OVER w END AS lower FROM b WINDOW w AS {_frame(20, 1)}")
 def donchian(spark, d):
-    upper, lower = ind.donchian(20)
-    return views.bars(spark, d).select("symbol", "ts", upper.alias("upper"), lower.alias("lower"))
+    def channel(bars):
+        upper, lower = ind.donchian(20)
+        return bars.withColumns({"upper": upper, "lower": lower})
+
+    return chunked(views.bars(spark, d), channel, before=20).select("symbol", "ts", "upper", "lower")
 
 
 def _swing_sql(op: str) -> str:
@@ -106,7 +110,7 @@ def _swing_sql(op: str) -> str:
 
 
 def _swings(spark, d, strict):
-    found = ind.swings(views.bars(spark, d), 3, 3, strict=strict)
+    found = chunked(views.bars(spark, d), lambda b: ind.swings(b, 3, 3, strict=strict), before=3, after=3)
     return found.select("symbol", "ts", F.coalesce("swing_high", F.lit(False)).alias("swing_high"), F.coalesce("swing_low", F.lit(False)).alias("swing_low"), "confirmed_at")
 
 
@@ -139,7 +143,7 @@ def fib_zone(spark, d):
 
 @query("ind14_rolling_percentile", with_bars() + f"SELECT symbol, ts, round(CASE WHEN count(*) OVER w = 50 THEN 100.0 * len(list_filter(list(close) OVER w, lambda v: v <= close)) / 50 END, 6) AS rank FROM b WINDOW w AS {_frame(50)}")
 def rolling_percentile(spark, d):
-    return _out(views.bars(spark, d).withColumn("rank", ind.rolling_rank("close", 50)), "rank")
+    return _out(chunked(views.bars(spark, d), lambda b: b.withColumn("rank", ind.rolling_rank("close", 50)), before=49), "rank")
 
 
 @query("ind15_minmax_position", with_bars() + f"SELECT symbol, ts, round(CASE WHEN count(*) OVER w = 50 AND max(close) OVER w > min(close) OVER w THEN (close - min(close) OVER w) / (max(close) OVER w - min(close) OVER w) ELSE 0.5 END, 6) AS position FROM b WINDOW w AS {_frame(50)}")
