@@ -5,8 +5,9 @@ of the host's pages; lines above a ratio are boilerplate of that host and go fro
 trimmed; blank lines are never dropped. A page counts once however often it repeats the line.
 
 Counts combine before the shuffle and are keyed by (host, line), so a hot host spreads over its lines. A host has at
-most (mean lines of its pages) / ratio boilerplate lines, so their list fits a row; pages meet it in a join whose hot
-hosts are salted.
+most (mean lines of its pages) / ratio boilerplate lines, so their list fits a row. All lists together are broadcast if
+their counted size is within a bound, and no page is shuffled then; beyond it pages are joined by host and part, each
+host dealt to as many parts as there are shuffle partitions.
 
 Edge cases: null text stays null; rows with a null host form one host; a page that loses all lines keeps an empty text;
 lines at exactly the ratio stay; hosts with fewer than min_pages pages containing a line never lose it.
@@ -17,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import n_tasks, saved
+
 #: Largest share of a host's pages that an ordinary line is on, and the fewest pages that make a line boilerplate.
 RATIO, MIN_PAGES = 0.1, 5
-#: Parts that a host's pages are dealt to.
-SALT = 16
+#: Boilerplate lines (hashes of 8 bytes) of all hosts together that may be broadcast.
+MAX_BROADCAST = 1_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -41,12 +44,17 @@ def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float
     return often.groupBy(counted["host"]).agg(F.array_sort(F.collect_list("mark")).alias("marks"))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """All columns of pages with the boilerplate lines cut from text, and __n_lines, __n_dropped."""
     host = F.col("source") if host is None else host
-    marks = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("__host"), F.col("marks").alias("__marks"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__part"))
-    salted = pages.withColumn("__part", F.pmod(F.xxhash64(text), F.lit(SALT)).cast("int"))
-    joined = salted.join(marks, host.eqNullSafe(F.col("__host")) & (salted["__part"] == marks["__part"]), "left")
+    marks = saved(boilerplate(pages, host, text, ratio, min_pages)).select(F.col("host").alias("__host"), F.col("marks").alias("__marks"))
+    if (marks.agg(F.sum(F.size("__marks"))).first()[0] or 0) <= max_broadcast:
+        joined = pages.join(F.broadcast(marks), host.eqNullSafe(F.col("__host")), "left")
+    else:
+        parts = n_tasks(pages.sparkSession)
+        dealt = marks.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        salted = pages.withColumn("__part", F.pmod(F.xxhash64(text), F.lit(parts)).cast("int"))
+        joined = salted.join(dealt, host.eqNullSafe(F.col("__host")) & (salted["__part"] == dealt["__part"]), "left")
     lines = _lines(F.col(text))
     stay = F.filter(lines, lambda x: ~F.array_contains(F.col("__marks"), F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
     cut = F.col("__marks").isNotNull()
