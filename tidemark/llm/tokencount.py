@@ -61,7 +61,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
     spark = docs.sparkSession
     small_batches(spark)
     vocab = saved(vocabulary(docs, tokenizer_path, text))
-    hot_rows = vocab.where(F.length("pretoken") <= HOT_CHARS).orderBy(F.desc("n"), "pretoken").limit(HOT_ENTRIES).select("pretoken", "pieces").collect()
+    # Entries by size class (a few dozen classes per doubling of n): the largest classes that fit the bound are hot.
+    size_class = F.floor(F.log2("n") * 32)
+    short = vocab.where(F.length("pretoken") <= HOT_CHARS)
+    classes = sorted(((r.k, r.m) for r in short.groupBy(size_class.alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True)  # at most 32 x 64
+    least, total = None, 0
+    for k, m in classes:
+        total += m
+        if total > HOT_ENTRIES:
+            break
+        least = k
+    hot_rows = short.where(size_class >= least).select("pretoken", "pieces").collect() if least is not None else []  # at most HOT_ENTRIES
     hot = spark.sparkContext.broadcast({r.pretoken: r.pieces for r in hot_rows})
     key_type = dict(docs.dtypes)[key]
 
