@@ -33,17 +33,29 @@ CAPACITY, END_ID = 2048, 0
 ITERATIONS, PROGRAMS = 150, 12
 #: Pieces in one ranking bucket, about.
 BUCKET_PIECES = 200_000
-#: Distinct pre-tokens a worker remembers, and the longest it remembers (characters). Only memory depends on them.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Distinct pre-tokens in each of the two generations a worker remembers, and the longest it remembers (characters).
+#: Only memory depends on them.
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 
 
 # ---- pieces ---------------------------------------------------------------------------------------------------
 
 
 @lru_cache(maxsize=4)
-def packed_ids(tokenizer_path: str) -> dict[str, bytes]:
-    """Pre-token -> its ids as little-endian words; one for each file and worker process, kept from task to task."""
-    return {}
+def packed_ids(tokenizer_path: str) -> list[dict[str, bytes]]:
+    """Pre-token -> its ids as little-endian words, in a young and an old generation; one pair for each file and worker
+    process, kept from task to task."""
+    return [{}, {}]
+
+
+def _nulls(values: list) -> Iterator[int]:
+    at = -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            yield at
+    except ValueError:
+        return
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -52,20 +64,32 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, memo = word_tokenizer(tokenizer_path), packed_ids(tokenizer_path)
+        word = [struct.pack("<I", i) for i in range(tokenizer.n_ids)]
         for batch in batches:
             split = [tokenizer.pretokens(v.as_py() or "") for v in batch.column(1)]
-            here = set().union(*split)
-            new = list(here.difference(memo))
-            long: dict[str, bytes] = {}
-            if len(memo) + len(new) > CACHE_ENTRIES:
-                memo.clear()
-                new = list(here)
+            young, old = memo
+            found = [list(map(young.get, tokens)) for tokens in split]
+            new: dict[str, bytes] = {}
+            holes = []
+            for tokens, values in zip(split, found, strict=True):
+                for i in _nulls(values):
+                    token = tokens[i]
+                    known = old.get(token)
+                    if known is None:
+                        new[token] = b""
+                        holes.append((values, i, token))
+                    else:
+                        values[i] = young[token] = known
             for token, ids in zip(new, tokenizer.ids(new), strict=True):
-                (memo if len(token) <= CACHE_CHARS else long)[token] = struct.pack(f"<{len(ids)}I", *ids)
+                new[token] = b"".join([word[i] for i in ids])
+            for values, i, token in holes:
+                values[i] = new[token]
+            young.update((t, v) for t, v in new.items() if len(t) <= CACHE_CHARS)
+            if len(young) > CACHE_ENTRIES:
+                memo[:] = {}, young
             at, number, start, length, crc, packed = [], [], [], [], [], []
-            for i, tokens in enumerate(split):
-                find = memo.__getitem__ if not long else lambda t: memo.get(t) or long[t]
-                data = b"".join(map(find, tokens)) + struct.pack("<I", END_ID)
+            for i, values in enumerate(found):
+                data = b"".join(values) + word[END_ID]
                 for k in range(0, len(data), 4 * capacity):
                     piece = data[k : k + 4 * capacity]
                     at.append(i)

@@ -34,6 +34,7 @@ class WordTokenizer:
         config = json.loads(self.whole.to_str())
         pretok = config["pre_tokenizer"]["pretokenizers"][0]
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
+        self.n_ids = max([*self.whole.get_vocab().values(), *self.special.values()]) + 1
         self.find_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         # The same pattern with the alphabet's letters and numbers spelt out, which the plain engine matches faster.
         self.pattern = re.compile(pretok["pattern"]["Regex"].replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"\s\p{L}\p{N}", f"\\s{_members('L')}{_members('N')}").replace(r"\p{L}", f"[{_members('L')}]").replace(r"\p{N}", f"[{_members('N')}]")).findall
