@@ -147,6 +147,8 @@ def test_simhash_awkward(spark):
     kept = simhash.keep_first(awkward(spark))
     assert kept.columns == awkward(spark).columns
     assert kept.where("doc_id = 0").count() == 1
+    nulls = spark.createDataFrame([(None, "one two three four five six"), (None, "an entirely different text of words"), (None, "one two three four five six"), (7, "seven other words that nobody else has"), (7, "again something else under that key")], "doc_id long, text string")
+    assert sorted(r.text[:5] for r in simhash.keep_first(nulls).collect()) == ["again", "an en", "one t", "seven"]
 
 
 def test_links_of_random_fingerprints(spark):
@@ -187,11 +189,12 @@ def test_large_group_pairs():
 # ---- lines ----------------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_line_dedup(spark, most):
     pages = [(i, f"own line {i}\n footer \n\nfooter" if i % 2 else f"page {i}\nfooter\nrare", "a" if i < 40 else None, 1) for i in range(60)]
     pages += [(100, None, "a", 1), (101, "", "b", 1), (102, "footer", "b", 1), (103, "footer", "b", 1)]
     docs = spark.createDataFrame(pages, "doc_id long, text string, source string, marks int")
-    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, ratio=0.5, min_pages=3).collect()}
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, ratio=0.5, min_pages=3, max_broadcast=most).collect()}
     assert got[1] == "own line 1\n" and got[0] == "page 0\nrare"
     assert got[100] is None and got[101] == "" and got[102] == "footer"
     assert len(got) == len(pages)

@@ -41,6 +41,7 @@ def test_language_awkward(spark):
     filters = langid.fit(awkward(spark))
     found = langid.predict(awkward(spark), filters).collect()
     assert len(found) == len(awkward_rows())
+    assert all(r.lang_pred in ("en", "fr") for r in found if re.search(r"[^\W\d_]", r.text or ""))
     assert {r.lang_pred for r in found if not re.search(r"[^\W\d_]", r.text or "")} == {"und"}
     assert langid.predict(empty(spark), langid.fit(empty(spark))).count() == 0
     assert {r.lang_pred for r in langid.predict(awkward(spark), langid.fit(empty(spark))).collect()} == {"und"}

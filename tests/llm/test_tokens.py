@@ -55,7 +55,7 @@ def test_queue_order_and_stale_entries():
     for entry in pushed:
         queue.push(*entry)
     got = []
-    while (entry := queue.pop()) is not None:
+    while (entry := queue.pop())[0] >= 0:
         got.append(entry)
     assert got == sorted(set(pushed))
 

@@ -11,8 +11,9 @@ more common in another language's, so stray or mislabelled documents do not blur
 The filters are fitted on a bounded sample: about SAMPLE_DOCS labelled documents of each language, picked by a hash of
 their id. Prediction never sees label, source or id.
 
-Edge cases: null text, or text without a letter, gives `und` with score 0; so does text in which no n-gram is known;
-ties go to the language that sorts first; without labelled rows every text is `und`.
+Edge cases: null text, or text without a letter, gives `und` with score 0; text with letters in which no n-gram is known
+gets the most frequent language with score 0; ties go to the language that sorts first; without labelled rows every text
+is `und`.
 """
 
 from __future__ import annotations
@@ -73,9 +74,10 @@ class LanguageFilters:
     languages: list[str]
     slots: np.ndarray
     false_rate: np.ndarray  # of each language's filter
+    default: str = UNKNOWN  # for texts without a known n-gram
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray]) -> LanguageFilters:
+    def build(cls, grams: dict[str, np.ndarray], default: str = UNKNOWN) -> LanguageFilters:
         languages = sorted(grams)
         width = next((t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.dtype(t).itemsize * 8), None)
         if width is None:
@@ -85,7 +87,7 @@ class LanguageFilters:
             for slot in cls._slots(np.asarray(grams[language], np.uint32)):
                 slots[slot] |= width(1 << bit)
         filled = np.array([((slots >> width(bit)) & width(1)).mean() for bit in range(len(languages))])
-        return cls(languages, slots, filled**HASHES)
+        return cls(languages, slots, filled**HASHES, default)
 
     @staticmethod
     def _slots(codes: np.ndarray) -> Iterator[np.ndarray]:
@@ -115,8 +117,10 @@ class LanguageFilters:
             best = corrected.argmax(axis=0)
             for i in range(len(part)):
                 top = corrected[best[i], i]
-                if top > 0 and _letter(texts[start + i]):
-                    names[start + i] = self.languages[best[i]]
+                if not texts[start + i] or not _letter(texts[start + i]):
+                    continue
+                names[start + i] = self.languages[best[i]] if top > 0 else self.default
+                if top > 0:
                     scores[start + i] = float(min(1.0, top / corrected[:, i].sum()))
         return names, scores
 
@@ -156,7 +160,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     grams: dict[str, list[int]] = {name: [] for name in per_language}
     for r in chosen.select("lang", "gram").collect():  # at most NGRAMS_PER_LANGUAGE for each language
         grams[r.lang].append(r.gram)
-    return LanguageFilters.build({k: np.array(v, np.uint32) for k, v in grams.items()})
+    return LanguageFilters.build({k: np.array(v, np.uint32) for k, v in grams.items()}, max(per_language, key=lambda k: (per_language[k], k)))
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import n_tasks, saved, small_batches
 from tidemark.llm.components import components
@@ -48,15 +49,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, fp (the 64 bits as a signed long) of every row."""
+    """key, mark (a hash of the text), fp (the 64 bits as a signed long) of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(v.as_py() or "") for v in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=[key, "fp"])
+            values = np.array([fingerprint(v.as_py() or "") for v in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=[key, "mark", "fp"])
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fp long")
+    rows = docs.select(F.col(key), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, mark long, fp long")
 
 
 def block_masks(radius: int, blocks: int = BLOCKS) -> list[int]:
@@ -184,21 +186,31 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keyed.mapInArrow(run, "u long, v long").where("u <> v")
 
 
+def _placed(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct (fp, ...) with the root fingerprint of each component."""
+    roots = components(link_edges(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """Per row: key, fp, component_id (smallest key reachable over links, itself included)."""
     marked = saved(fingerprints(docs, text, key))
-    distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = components(link_edges(distinct, radius))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _placed(marked.groupBy("fp").agg(F.min(key).alias("least")), radius)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest key stays, of equal keys one row."""
-    from pyspark.sql.window import Window
+    """docs with one row of each component: that of the smallest key (null keys last, then by a hash of the text).
 
-    firsts = near_duplicates(docs, text, key, radius).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__first")).distinct()
-    stay = docs.join(firsts, docs[key].eqNullSafe(F.col("__first")), "left_semi")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text), *[c for c in docs.columns if c != key])
-    return stay.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    Rows are told apart by key and text, so rows without a key, or with one key and different texts, are judged each on
+    its own.
+    """
+    marked = saved(fingerprints(docs, text, key))
+    rank = F.min(F.struct(F.col(key).isNull().alias("without"), F.col(key).alias("key"), "mark"))
+    placed = _placed(marked.groupBy("fp").agg(rank.alias("least")), radius)
+    winners = placed.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.key").alias("__key"), F.col("w.mark").alias("__mark"))
+    named = docs.withColumn("__text", F.xxhash64(text))
+    stay = named.join(winners, named[key].eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__mark")), "left_semi")
+    copies = Window.partitionBy(key, "__text").orderBy(key, *[c for c in docs.columns if c not in (key, text)])  # repeated rows
+    return stay.withColumn("__n", F.row_number().over(copies)).where("__n = 1").select(*docs.columns)
