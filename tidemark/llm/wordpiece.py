@@ -8,12 +8,16 @@ every other text goes through the library's objects.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
-from tokenizers import Regex, Tokenizer, pre_tokenizers
+# A task has one core; the library's own threads would only take it from other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+from tokenizers import Regex, Tokenizer, pre_tokenizers  # noqa: E402
 
 #: Characters for which lower() equals the library's lower-casing, NFC changes nothing and white space is undisputed.
 _ALPHABET = "\t\n\r -~¡-įı-ſ‐-‧"
