@@ -226,7 +226,7 @@ def candle_shape(spark, d):
     return _out(ind.candle_shape(views.bars(spark, d)), "body", "body_share", "close_position", "bull_engulf", "bear_engulf")
 
 
-@query("ind25_range_expansion", with_bars() + f"SELECT symbol, ts, round((high - low) / CASE WHEN count(*) OVER w = 20 THEN avg(high - low) OVER w END, 6) AS expansion FROM b WINDOW w AS {_frame(20, 1)}")
+@query("ind25_range_expansion", with_bars() + f"SELECT symbol, ts, round((high - low) / nullif(CASE WHEN count(*) OVER w = 20 THEN avg(high - low) OVER w END, 0), 6) AS expansion FROM b WINDOW w AS {_frame(20, 1)}")
 def range_expansion(spark, d):
     out = views.bars(spark, d).withColumn("range", F.col("high") - F.col("low"))
     return _out(out.withColumn("expansion", ind.ratio_to_mean("range", 20)), "expansion")
