@@ -210,17 +210,17 @@ def combo_correlation(spark, d):
 
 @query("val10_resample_drawdown")
 def resample(spark, d):
-    return validation.resample_drawdown(views.trades(spark, d), "run_id", 200)
+    return validation.resample_drawdown(views.trades(spark, d), "run_id")
 
 
 @query("val11_block_bootstrap")
 def bootstrap(spark, d):
-    return validation.block_bootstrap(views.trades(spark, d), "run_id", 200)
+    return validation.block_bootstrap(views.trades(spark, d), "run_id")
 
 
 @query("val12_loss_limit_resample")
 def limit_resample(spark, d):
-    return validation.loss_limit_resample(views.trades(spark, d), "run_id", 100_000.0, 0.05, 0.1, 0.1, 60, 200)
+    return validation.loss_limit_resample(views.trades(spark, d), "run_id", 100_000.0, 0.05, 0.1, 0.1, 60)
 
 
 @query(
