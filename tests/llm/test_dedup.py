@@ -151,7 +151,9 @@ def test_simhash_awkward(spark):
     assert sorted(r.text[:5] for r in simhash.keep_first(nulls).collect()) == ["again", "an en", "one t", "seven"]
 
 
-def test_links_of_random_fingerprints(spark):
+@pytest.mark.parametrize("group", [4096, 3])
+def test_links_of_random_fingerprints(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
     rnd = random.Random(4)
     values = []
     for _ in range(40):

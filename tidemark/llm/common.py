@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """First call of a task's Python code. Spark keeps worker processes, so what another operator keeps in this one
+    (forget() drops it) would add up over the stages of a pipeline; it goes, and freed memory is given back.
+    """
+    for other in [k for k in _kept if k != operator]:
+        _kept.pop(other)()
+    if forget is not None:
+        _kept[operator] = forget
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

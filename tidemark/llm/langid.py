@@ -9,11 +9,13 @@ letters turned into one separator. A language's filter gets the n-grams that are
 more common in another language's, so stray or mislabelled documents do not blur the sets.
 
 The filters are fitted on a bounded sample: about SAMPLE_DOCS labelled documents of each language, picked by a hash of
-their id. Prediction never sees label, source or id.
+their id. All n-grams of the sample that pass take part; the filter's size follows their number. Prediction never sees
+label, source or id.
 
 Edge cases: null text, or text without a letter, gives `und` with score 0; text with letters in which no n-gram is known
 gets the most frequent language with score 0; ties go to the language that sorts first; without labelled rows every text
-is `und`.
+is `und`; repeated rows are judged each on its own, alike; very long texts are read whole; an empty table gives no rows;
+input columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -29,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import begin, small_batches
 
-#: Documents of each language that the filters are fitted on, about; n-grams kept for each language at most.
-SAMPLE_DOCS, NGRAMS_PER_LANGUAGE = 4000, 32_768
+#: Documents of each language that the filters are fitted on, about.
+SAMPLE_DOCS = 4000
 NGRAM = 4
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate in any.
 RATE_SHARE = 0.3
-#: Filter: slots (a power of two) and hashes of each n-gram.
-SLOT_BITS, HASHES = 20, 4
+#: Filter: least number of slots (as a power of two), slots for each n-gram, hashes of each n-gram, languages of a word.
+SLOT_BITS, SLOTS_EACH, HASHES, WORD_LANGUAGES = 20, 10, 4, 64
 #: Bytes of text handled at once; only memory depends on it.
 CHUNK_BYTES = 2_000_000
 UNKNOWN = "und"
@@ -69,37 +71,40 @@ def _chunks(values: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 @dataclass
 class LanguageFilters:
-    """Bit-sliced Bloom filter of several languages."""
+    """Bit-sliced Bloom filter of several languages; one array of words for each WORD_LANGUAGES of them."""
 
     languages: list[str]
-    slots: np.ndarray
+    slots: list[np.ndarray]
     false_rate: np.ndarray  # of each language's filter
     default: str = UNKNOWN  # for texts without a known n-gram
 
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], default: str = UNKNOWN) -> LanguageFilters:
         languages = sorted(grams)
-        width = next((t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.dtype(t).itemsize * 8), None)
-        if width is None:
-            raise ValueError("at most 64 languages")
-        slots = np.zeros(1 << SLOT_BITS, width)
-        for bit, language in enumerate(languages):
-            for slot in cls._slots(np.asarray(grams[language], np.uint32)):
-                slots[slot] |= width(1 << bit)
-        filled = np.array([((slots >> width(bit)) & width(1)).mean() for bit in range(len(languages))])
-        return cls(languages, slots, filled**HASHES, default)
+        bits = max(SLOT_BITS, (SLOTS_EACH * max((len(g) for g in grams.values()), default=1) - 1).bit_length())
+        words, filled = [], []
+        for start in range(0, len(languages), WORD_LANGUAGES):
+            part = languages[start : start + WORD_LANGUAGES]
+            width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(part) <= np.dtype(t).itemsize * 8)
+            slots = np.zeros(1 << bits, width)
+            for bit, language in enumerate(part):
+                for slot in cls._slots(np.asarray(grams[language], np.uint32), bits):
+                    slots[slot] |= width(1 << bit)
+            words.append(slots)
+            filled += [((slots >> width(bit)) & width(1)).mean() for bit in range(len(part))]
+        return cls(languages, words, np.array(filled) ** HASHES, default)
 
     @staticmethod
-    def _slots(codes: np.ndarray) -> Iterator[np.ndarray]:
+    def _slots(codes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         for m in _MULTIPLIERS[:HASHES]:
             mixed = codes * m
-            yield (mixed ^ mixed >> np.uint32(15)) >> np.uint32(32 - SLOT_BITS)
+            yield (mixed ^ mixed >> np.uint32(15)) >> np.uint32(32 - bits)
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        """For each n-gram the bits of all languages that contain it."""
-        found = None
-        for slot in self._slots(codes):
-            found = self.slots[slot] if found is None else found & self.slots[slot]
+    def masks(self, codes: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the bits of all languages of a word that contain it."""
+        found, slots = None, self.slots[word]
+        for slot in self._slots(codes, len(slots).bit_length() - 1):
+            found = slots[slot] if found is None else found & slots[slot]
         return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -109,11 +114,15 @@ class LanguageFilters:
             joined = np.frombuffer(b"    ".join(part) + b"    ", np.uint8)
             starts = np.cumsum([0, *(len(p) + 4 for p in part)])[:-1]
             codes, valid = _grams(joined)
-            masks = self.masks(codes)
-            masks[~valid] = 0
             total = np.add.reduceat(valid, starts, dtype=np.int64)
-            counts = np.stack([np.add.reduceat((masks >> masks.dtype.type(bit)) & masks.dtype.type(1), starts, dtype=np.int64) for bit in range(len(self.languages))])
-            corrected = np.maximum(0, (counts - total * self.false_rate[:, None]) / (1 - self.false_rate[:, None]))
+            counts = []
+            for word in range(len(self.slots)):
+                masks = self.masks(codes, word)
+                masks[~valid] = 0
+                kind = masks.dtype.type
+                here = min(WORD_LANGUAGES, len(self.languages) - word * WORD_LANGUAGES)
+                counts += [np.add.reduceat((masks >> kind(bit)) & kind(1), starts, dtype=np.int64) for bit in range(here)]
+            corrected = np.maximum(0, (np.stack(counts) - total * self.false_rate[:, None]) / (1 - self.false_rate[:, None]))
             best = corrected.argmax(axis=0)
             for i in range(len(part)):
                 top = corrected[best[i], i]
@@ -136,13 +145,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     per_language = {r[lang]: r.n for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not per_language:
-        return LanguageFilters([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0))
+        return LanguageFilters([], [], np.zeros(0))
     # A hash below the language's share of the hash range keeps about SAMPLE_DOCS rows of it, without a sort.
     chance = F.coalesce(*[F.when(F.col(lang) == name, F.lit(SAMPLE_DOCS / n)) for name, n in sorted(per_language.items())])
     sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < chance * (1 << 30))
     sample = sample.select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         seen: Counter = Counter()
         for batch in batches:
             for language, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -155,25 +165,33 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     totals = counts.where("gram = -1").select("lang", F.col("n").alias("docs"))
     rated = counts.where("gram >= 0 and n >= 2").join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("docs"))  # a row a language
     rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= RATE_SHARE * F.col("top"))
-    best = Window.partitionBy("lang").orderBy(F.desc("rate"), "gram")  # of a bounded sample
-    chosen = rated.withColumn("place", F.row_number().over(best)).where(F.col("place") <= NGRAMS_PER_LANGUAGE)
-    grams: dict[str, list[int]] = {name: [] for name in per_language}
-    for r in chosen.select("lang", "gram").collect():  # at most NGRAMS_PER_LANGUAGE for each language
-        grams[r.lang].append(r.gram)
-    return LanguageFilters.build({k: np.array(v, np.uint32) for k, v in grams.items()}, max(per_language, key=lambda k: (per_language[k], k)))
+    chosen = rated.select("lang", "gram").toArrow()  # n-grams of a bounded sample
+    names, codes = np.array(chosen["lang"].to_pylist(), object), chosen["gram"].to_numpy()
+    return LanguageFilters.build({name: codes[names == name].astype(np.uint32) for name in per_language}, max(per_language, key=lambda k: (per_language[k], k)))
 
 
-def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
-    """All columns of docs, with lang_pred and score in front of them. Map-only."""
+def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs behind two more, the language and its score. Map-only."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** SLOT_BITS words of one to eight bytes
-    columns = docs.columns
-    at = columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # a word a slot; slots follow the sample, not the corpus
+    fields = [f for f in docs.schema.fields if f.name not in names]
+    columns = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns], names=["lang_pred", "score", *columns])
+            found, scores = shared.value.predict(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64()), *batch.columns[1:]], names=[*names, *columns])
 
-    schema = "lang_pred string, score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema)
+    schema = f"`{names[0]}` string, `{names[1]}` double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return docs.select(F.col(text).cast("string").alias("__text"), *columns).mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
+    """docs without the texts whose language cannot be told: no letter, or none of the learned n-grams. If nothing was
+    learned, all texts with a letter stay.
+    """
+    if not filters.languages:
+        return docs.where(F.col(text).cast("string").rlike(r"\p{L}"))
+    found = predict(docs, filters, text, ("__lang", "__score"))
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") > 0)).select(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import saved, small_batches
+from tidemark.llm.common import begin, saved, small_batches
 from tidemark.llm.wordpiece import word_tokenizer
 
 #: Sequence length in tokens, and the id that ends a document.
@@ -48,6 +48,12 @@ def packed_ids(tokenizer_path: str) -> list[dict[str, bytes]]:
     return [{}, {}]
 
 
+def forget() -> None:
+    """Drop what this worker process remembers."""
+    packed_ids.cache_clear()
+    word_tokenizer.cache_clear()
+
+
 def _nulls(values: list) -> Iterator[int]:
     at = -1
     try:
@@ -63,6 +69,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing", forget)
         tokenizer, memo = word_tokenizer(tokenizer_path), packed_ids(tokenizer_path)
         word = [struct.pack("<I", i) for i in range(tokenizer.n_ids)]
         for batch in batches:

@@ -2,13 +2,15 @@
 
 Fingerprints come from word shingles hashed with XXH64. Only distinct fingerprints are compared. Two that differ in at
 most `radius` bits agree on some choice of BLOCKS - radius of the BLOCKS bit blocks, so each fingerprint is keyed once per
-choice, and only those with an equal key meet. There they are compared bit-sliced: one plane per bit holds that bit of
+choice, and only those with an equal key meet. Under a key of more than GROUP fingerprints the bits that it leaves free are
+cut into blocks and chosen from again, so at most 2 ** 13 fingerprints (at radius 2) can ever meet in one group. They are compared bit-sliced: one plane per bit holds that bit of
 many fingerprints; a carry-save counter adds the planes of the differences for 64 fingerprints with each word operation,
 and a block is abandoned once all its lanes are beyond the radius. A task passes on one edge per fingerprint (a spanning
 star), never all pairs of a group; connected components follow on Spark.
 
 Edge cases: null or wordless text has fingerprint zero and is linked like any other; a null doc_id keeps its row, and its
-component is the smallest non-null doc_id reachable, or null; repeated rows stay.
+component is the smallest non-null doc_id reachable, or null; repeated rows stay; very long texts are hashed whole, CHUNK
+shingles at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import n_tasks, saved, small_batches
+from tidemark.llm.common import begin, n_tasks, saved, small_batches
 from tidemark.llm.components import components
 
 #: Words of a shingle, hash seed, and bits that linked fingerprints may differ in.
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Bit blocks that keys are chosen from.
 BLOCKS = 5
+#: Fingerprints under one key beyond which a second choice of bits splits them. The result does not depend on it.
+GROUP = 4096
 #: Shingles whose bits are counted at once, and 64-lane words compared at once. Only memory depends on them.
 CHUNK, LANE_WORDS = 50_000, 1024
 
@@ -53,6 +57,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for batch in batches:
             values = np.array([fingerprint(v.as_py() or "") for v in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=[key, "mark", "fp"])
@@ -68,7 +73,16 @@ def block_masks(radius: int, blocks: int = BLOCKS) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
 
 
-def _planes(values: np.ndarray) -> np.ndarray:
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """Masks that hold all of mask and radius + 2 blocks of its free bits less radius; two words within the radius that agree
+    under mask agree under at least one."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    n = radius + 2
+    parts = [sum(1 << b for b in free[len(free) * i // n : len(free) * (i + 1) // n]) for i in range(n)]
+    return [mask | sum(chosen) for chosen in combinations(parts, n - radius)]
+
+
+def planes(values: np.ndarray) -> np.ndarray:
     """[64, words]: plane b holds bit b of the values, 64 lanes a word."""
     padded = np.zeros(-(-max(1, len(values)) // 64) * 64, np.uint64)
     padded[: len(values)] = values
@@ -76,13 +90,13 @@ def _planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def _lanes(flags: np.ndarray, words: int) -> np.ndarray:
+def lanes(flags: np.ndarray, words: int) -> np.ndarray:
     padded = np.zeros(words * 64, bool)
     padded[: len(flags)] = flags
     return np.packbits(padded, bitorder="little").view(np.uint64)
 
 
-def _within(a: np.ndarray, b: np.ndarray, live: np.ndarray, radius: int) -> np.ndarray:
+def within(a: np.ndarray, b: np.ndarray, live: np.ndarray, radius: int) -> np.ndarray:
     """Lanes of `live` whose planes a and b differ in at most `radius` bits: carry-save counters, block by block."""
     out = np.zeros_like(live)
     digits = radius.bit_length()
@@ -119,8 +133,8 @@ def link_groups(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> I
         if not len(index):
             return
         here, at = values[index], keys[index]
-        planes = _planes(here)
-        words = planes.shape[1]
+        sliced = planes(here)
+        words = sliced.shape[1]
         stop = max(2, 2 * lag)
         while lag + 1 <= stop:
             lag += 1
@@ -128,11 +142,11 @@ def link_groups(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> I
             if not same.any():
                 break
             whole, shift = divmod(lag, 64)
-            later = np.zeros_like(planes)
-            later[:, : words - whole] = planes[:, whole:] >> np.uint64(shift)
+            later = np.zeros_like(sliced)
+            later[:, : words - whole] = sliced[:, whole:] >> np.uint64(shift)
             if shift and words - whole - 1 > 0:
-                later[:, : words - whole - 1] |= planes[:, whole + 1 :] << np.uint64(64 - shift)
-            near = _within(planes, later, _lanes(same, words), radius)
+                later[:, : words - whole - 1] |= sliced[:, whole + 1 :] << np.uint64(64 - shift)
+            near = within(sliced, later, lanes(same, words), radius)
             if near.any():
                 i = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
                 yield index[i], index[i + lag]
@@ -155,14 +169,31 @@ def _star(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return {x: root(x) for x in list(parent)}
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _keyed(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct (fp) -> choice, masked, fp: once for each key, those of a crowded key once for each finer key instead."""
+    masks = block_masks(radius)
+    fp = F.col("fp")
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(_signed(m))).alias("masked")) for i, m in enumerate(masks)])
+    keyed = distinct.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.masked", "fp")
+    crowded = keyed.groupBy("choice", "masked").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("choice", "masked", F.lit(True).alias("crowded"))
+    finer = [finer_masks(m, radius) for m in masks]
+    each = len(finer[0])
+    literal = F.array(*[F.lit(_signed(m)) for own in finer for m in own])
+    again = F.array(*[F.struct((len(masks) + F.col("choice") * each + k).alias("choice"), fp.bitwiseAND(F.element_at(literal, F.col("choice") * each + k + 1)).alias("masked")) for k in range(each)])
+    own = F.array(F.struct("choice", "masked"))
+    return keyed.join(crowded, ["choice", "masked"], "left").select("fp", F.explode(F.when(F.col("crowded"), again).otherwise(own)).alias("k")).select("k.choice", "k.masked", "fp")
+
+
 def link_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """distinct (fp) -> edges (u, v) that connect exactly the fingerprints linked within the radius."""
-    masks = block_masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("masked")) for i, m in enumerate(signed)])).alias("k"))
-    keyed = keyed.select("k.choice", "k.masked", "fp").repartition(n_tasks(distinct.sparkSession), "choice", "masked").sortWithinPartitions("choice", "masked")
+    keyed = _keyed(distinct, radius).repartition(n_tasks(distinct.sparkSession), "choice", "masked").sortWithinPartitions("choice", "masked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # the group that may go on in the next batch
 
         def link(choice: np.ndarray, masked: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
@@ -200,6 +231,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     return marked.join(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+def keep_winners(docs: DataFrame, placed: DataFrame, text: str, key: str) -> DataFrame:
+    """docs without the rows that lose in their group; placed has key, mark (xxhash64 of the text) and root of every row.
+
+    The row of the smallest key wins (null keys last, then the smallest mark). Only losers, and winners that occur more than
+    once, are joined to docs; of the latter one row stays, the first by the JSON text of its other columns.
+    """
+    rank = F.struct(F.col(key).isNull().alias("without"), F.col(key).alias("key"), "mark")
+    kinds = saved(placed.groupBy("root", F.col(key), "mark").agg(F.count("*").alias("n")).withColumn("rank", rank))
+    best = kinds.groupBy("root").agg(F.min("rank").alias("best"))
+    judged = kinds.join(best, "root").select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), (F.col("rank") == F.col("best")).alias("wins"), "n")
+    named = docs.withColumn("__text", F.xxhash64(text))
+    same = named[key].eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__mark"))
+    alone = named.join(judged.where("NOT wins OR n > 1").select("__key", "__mark"), same, "left_anti").select(*docs.columns)
+    others = [c for c in docs.columns if c not in (key, text)]
+    copies = Window.partitionBy(key, "__text").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    twins = named.join(judged.where("wins AND n > 1").select("__key", "__mark"), same, "left_semi").withColumn("__n", F.row_number().over(copies))
+    return alone.unionByName(twins.where("__n = 1").select(*docs.columns))
+
+
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of the smallest key (null keys last, then by a hash of the text).
 
@@ -207,10 +257,5 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius:
     its own.
     """
     marked = saved(fingerprints(docs, text, key))
-    rank = F.min(F.struct(F.col(key).isNull().alias("without"), F.col(key).alias("key"), "mark"))
-    placed = _placed(marked.groupBy("fp").agg(rank.alias("least")), radius)
-    winners = placed.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.key").alias("__key"), F.col("w.mark").alias("__mark"))
-    named = docs.withColumn("__text", F.xxhash64(text))
-    stay = named.join(winners, named[key].eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__mark")), "left_semi")
-    copies = Window.partitionBy(key, "__text").orderBy(key, *[c for c in docs.columns if c not in (key, text)])  # repeated rows
-    return stay.withColumn("__n", F.row_number().over(copies)).where("__n = 1").select(*docs.columns)
+    placed = _placed(marked.select("fp").distinct(), radius)
+    return keep_winners(docs, marked.join(placed, "fp").select(key, "mark", "root"), text, key)

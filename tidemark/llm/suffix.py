@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, saved, small_batches, stored
+from tidemark.llm.common import begin, release, saved, small_batches, stored
 
 #: Repeated strings have this many bytes; grams that anchors are chosen from.
 LENGTH, GRAM = 200, 100
@@ -111,6 +111,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffix")
         finder = AnchorFinder(length, gram)
         for batch in batches:
             texts = [v.as_py().encode() for v in batch.column(2)]
@@ -322,6 +323,7 @@ def _cut(docs: DataFrame, text: str, found: str, fields: str, make) -> DataFrame
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffix")
         kinds = {"long": pa.int64(), "string": pa.string()}
         for batch in batches:
             rows = []
