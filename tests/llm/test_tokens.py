@@ -113,18 +113,49 @@ def test_packing_is_near_the_bound(spark, sf):
     assert check_packing(rows, 2048) <= 1.01 * sum(r.length for r in rows) / 2048 + 1
 
 
-def test_program_beats_plain_best_fit():
-    counts = {700: 300, 680: 300, 668: 300, 1100: 100, 948: 100}  # 700 + 680 + 668 and 1100 + 948 fill exactly
-    plan = packing.plan_sequences(counts)
+def placed_by(plan, capacity=2048):
     placed = defaultdict(int)
     for content, times in plan:
-        assert sum(k * a for k, a in content.items()) <= 2048
+        assert times > 0 and sum(k * a for k, a in content.items()) <= capacity
         for k, a in content.items():
             placed[k] += a * times
-    assert placed == counts
+    return placed
+
+
+def test_program_beats_plain_best_fit():
+    counts = {700: 300, 680: 300, 668: 300, 1100: 100, 948: 100}  # 700 + 680 + 668 and 1100 + 948 fill exactly
+    plan = packing.plan_sequences(counts)
+    assert placed_by(plan) == counts
     assert sum(t for _, t in plan) <= 410
 
 
+@pytest.mark.parametrize("times", [1, 3, 10, 50, 300])
+def test_plan_against_best_fit_and_bound(spark, sf, times):
+    """The histogram of a table, multiplied: never above best fit, and within a sequence or two of the program's bound."""
+    pieces = packing.token_pieces(table(spark, sf.replace("0.001", "0.01"), "documents"), WORDS)
+    counts = {r.length: r["count"] * times for r in pieces.groupBy("length").count().collect()}
+    plan = packing.plan_sequences(counts)
+    assert placed_by(plan) == counts
+    total, bound = sum(t for _, t in plan), packing.solve_program(counts, 2048)[1]
+    assert total <= sum(t for _, t in packing.best_fit(counts, 2048))
+    assert sum(k * v for k, v in counts.items()) / 2048 - 1e-6 <= bound <= total <= bound + 2
+
+
+def test_program_is_used(monkeypatch):
+    """Without the program's configurations the plan is another one, on few pieces too."""
+    counts = {1000 + i: 1 for i in range(0, 300, 7)} | {300 + i: 2 for i in range(60)}
+    monkeypatch.setattr(packing, "best_fit", lambda counts, capacity: [({1: 1}, 10**9)])
+    plan = packing.plan_sequences(counts)
+    assert placed_by(plan) == counts and sum(t for _, t in plan) <= sum(k * v for k, v in counts.items()) / 2048 + 2
+    assert packing.plan_sequences({}) == [] and packing.plan_sequences({5: 1}) == [({5: 1}, 1)]
+
+
+def test_bound_is_a_bound():
+    counts = {1100: 7, 900: 2, 150: 1}
+    used, bound = packing.solve_program(counts, 2048)
+    assert bound <= sum(x for _, x in used) + 1e-9 and sum(t for _, t in packing.plan_sequences(counts)) == 7
+
+
 def test_knapsack_against_brute_force():
     import itertools
 

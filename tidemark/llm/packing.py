@@ -2,13 +2,20 @@
 
 Only the histogram of piece lengths (at most `capacity` rows, whatever the corpus) reaches the driver. A variable of
 the program is a configuration, a multiset of lengths that fits a sequence; it asks for the fewest sequences that cover
-the histogram. Multiplicative weights raise the price of lengths that are covered too little; a knapsack dynamic
-program prices the next configuration. The fractional solution is rounded down, the program is solved again for what is
-left while that makes progress, and best-fit decreasing on the histogram places the remainder. Pieces get their place
-by their rank among pieces of the same length, which Spark computes in buckets, so one hot length is spread.
+the histogram. The program is solved in rounds by multiplicative weights: a length's price is its size times its weight;
+a round covers the histogram fractionally, each time by the configuration that a knapsack dynamic program finds for the
+dearest length still uncovered; lengths whose configurations left a gap get a higher weight. Any prices give a lower bound
+(the histogram's price over the dearest configuration's, a second dynamic program), and rounds end when the cover is within
+TOLERANCE of the largest bound. Of the fractional cover the whole multiples of full configurations are kept, and what is
+left of the histogram is covered by the same step in whole numbers. This is so at every size; plain best-fit decreasing is
+only kept as a guard, and its plan is taken if it should need fewer sequences.
+
+Pieces get their place by their rank among pieces of the same length, which Spark computes in buckets, so one hot length is
+spread; a sorted array of places, at most 64 for each configuration, is looked up by binary search.
 
 Edge cases: null text is empty and still makes one piece of length 1 (the separator); an empty table gives no rows;
-repeated rows are separate pieces.
+repeated rows are separate pieces; very long texts are cut to pieces of the capacity; input columns other than key and text
+take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +36,10 @@ from tidemark.llm.wordpiece import word_tokenizer
 
 #: Sequence length in tokens, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
-#: Weight updates of one program, and programs solved at most before best fit takes the rest.
-ITERATIONS, PROGRAMS = 150, 12
+#: Rounds of weights at most, the rise of a weight for a gap of a whole sequence, and the relative gap that ends the rounds.
+ROUNDS, RATE, TOLERANCE = 8, 0.5, 1e-4
 #: Pieces in one ranking bucket, about.
-BUCKET_PIECES = 200_000
+BUCKET_PIECES = 5000
 #: Distinct pre-tokens in each of the two generations a worker remembers, and the longest it remembers (characters).
 #: Only memory depends on them.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
@@ -144,26 +151,76 @@ def price_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int)
     return out
 
 
-def solve_program(counts: dict[int, int], capacity: int, iterations: int = ITERATIONS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, so that no length is covered more often than it occurs."""
+def next_configuration(left: dict[int, float], order: list[int], capacity: int, whole: bool) -> tuple[dict[int, int], int]:
+    """The first length of `order` (by falling price) and the fullest complement from what is left, and the gap.
+
+    Knapsack by reachable totals, bit t of a word standing for total t; lengths join by falling price, and none is
+    added once the room is filled. In whole numbers no length is used more often than it is left.
+    """
+    first = order[0]
+    room = capacity - first
+    within, reach, steps = (1 << room + 1) - 1, 1, []
+    for size in order:
+        copies = room // size
+        if whole:
+            copies = min(copies, int(left[size]) - (size == first))
+        for _ in range(copies):
+            more = (reach | reach << size) & within
+            if more == reach:
+                break
+            steps.append((size, reach))
+            reach = more
+        if reach >> room & 1:
+            break
+    at = reach.bit_length() - 1
+    gap, content = room - at, {first: 1}
+    for size, before in reversed(steps):
+        if not before >> at & 1:
+            at -= size
+            content[size] = content.get(size, 0) + 1
+    return content, gap
+
+
+def cover(counts: dict[int, float], weights: dict[int, float], capacity: int, whole: bool = False) -> tuple[list[tuple[dict[int, int], float]], dict[int, int]]:
+    """Configurations and how often each is used, so that all counts are used up; and the largest gap beside each length.
+
+    Every step uses up a length (in whole numbers, up to a rest smaller than its copies), so there are about as many steps
+    as lengths, whatever the counts.
+    """
+    left, used, gaps = dict(counts), [], {}
+    order = sorted(left, key=lambda size: (-size * weights.get(size, 1.0), size))
+    while left:
+        order = [size for size in order if size in left]
+        content, gap = next_configuration(left, order, capacity, whole)
+        times = min(left[size] // a if whole else left[size] / a for size, a in content.items())
+        used.append((content, times))
+        for size, a in content.items():
+            left[size] -= times * a
+            if left[size] <= 0 if whole else left[size] <= 1e-9 * counts[size]:
+                del left[size]
+            if gap:
+                gaps[size] = max(gap, gaps.get(size, 0))
+    return used, gaps
+
+
+def solve_program(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A fractional cover by configurations, and a lower bound on any cover."""
     lengths = np.array(sorted(counts), dtype=np.int64)
     wanted = np.array([counts[int(x)] for x in lengths], dtype=float)
-    covered = np.zeros(len(lengths))
-    used: dict[tuple, float] = {}
-    rate = np.log(max(2, len(lengths)))
-    for _ in range(iterations):
-        share = covered / wanted
-        weight = np.exp(-rate * (share - share.min()))
-        # A length's price is its size, raised where it is covered less than the others.
-        chosen = price_configuration(lengths, lengths * (0.25 + weight), capacity)
-        at = np.searchsorted(lengths, list(chosen))
-        copies = np.array(list(chosen.values()), dtype=float)
-        step = 0.2 * float((wanted[at] / copies).min())
-        covered[at] += step * copies
-        name = tuple(sorted(chosen.items()))
-        used[name] = used.get(name, 0.0) + step
-    over = float((covered / wanted).max())
-    return [(dict(name), x / max(over, 1e-12)) for name, x in used.items()]
+    weights, bound, best, least = dict.fromkeys(counts, 1.0), 0.0, [], float("inf")
+    for _ in range(ROUNDS):
+        used, gaps = cover(counts, weights, capacity)
+        total = sum(x for _, x in used)
+        if total < least:
+            best, least = used, total
+        prices = lengths * np.array([weights[int(x)] for x in lengths])
+        dearest = price_configuration(lengths, prices, capacity)
+        bound = max(bound, float((prices * wanted).sum()) / sum(prices[np.searchsorted(lengths, k)] * a for k, a in dearest.items()))
+        if least <= bound * (1 + TOLERANCE) or not gaps:
+            break
+        for size, gap in gaps.items():
+            weights[size] *= 1 + RATE * gap / capacity
+    return best, bound
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -197,24 +254,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations with whole multiplicities that place each length exactly as often as it occurs."""
-    left = {k: v for k, v in counts.items() if v and k < capacity}
-    plan = [({capacity: 1}, counts[capacity])] if counts.get(capacity) else []
-    for _ in range(PROGRAMS):
-        total = sum(left.values())
-        if total <= 2 * len(left):
-            break
-        placed = 0
-        for content, x in sorted(solve_program(left, capacity), key=lambda p: -p[1]):
-            times = min([int(x + 1e-9), *(left.get(k, 0) // a for k, a in content.items())])
-            if times and sum(k * a for k, a in content.items()) >= 0.99 * capacity:
-                plan.append((content, times))
-                for k, a in content.items():
-                    left[k] -= times * a
-                    placed += times * a
-        left = {k: v for k, v in left.items() if v}
-        if placed < 0.02 * total:
-            break
-    return plan + best_fit(left, capacity)
+    left = {k: v for k, v in counts.items() if v}
+    if not left:
+        return []
+    guard = best_fit(left, capacity)
+    plan = []
+    for content, x in sorted(solve_program(left, capacity)[0], key=lambda p: -p[1]):
+        times = min([int(x + 1e-9), *(left[k] // a for k, a in content.items())])
+        if times and sum(k * a for k, a in content.items()) == capacity:
+            plan.append((content, times))
+            for k, a in content.items():
+                left[k] -= times * a
+    plan += [(content, int(times)) for content, times in cover({k: v for k, v in left.items() if v}, {}, capacity, whole=True)[0]]
+    return plan if sum(t for _, t in plan) <= sum(t for _, t in guard) else guard
 
 
 # ---- placement ------------------------------------------------------------------------------------------------
@@ -237,18 +289,27 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id"
             given[size] += times * each
             offset += size * each
         sequence += times
-    places = spark.createDataFrame(slots, "length long, lo long, hi long, base long, each long, at long")
+    places = sorted(slots)
+    size_of, low, base, each, at = (np.array([p[i] for p in places], np.int64) for i in (0, 1, 3, 4, 5))
+    shared = spark.sparkContext.broadcast((size_of * (1 << 48) + low, low, base, each, at))  # at most 64 places for each configuration
     order = Window.partitionBy("length", "bucket").orderBy(key, "piece", "ids_crc32")
     ranked = pieces.withColumn("in_bucket", F.row_number().over(order) - 1).join(before.drop("n"), ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.coalesce("first", F.lit(0)) + F.col("in_bucket"))
-    here = F.col("rank") - F.col("lo")
-    return (
-        ranked.join(F.broadcast(places), "length")  # a few places for each of at most `capacity` lengths
-        .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-        .withColumn("sequence_id", F.col("base") + F.floor(here / F.col("each")))
-        .withColumn("offset", F.col("at") + F.pmod(here, F.col("each")) * F.col("length"))
-        .drop("bucket", "in_bucket", "first", "rank", "lo", "hi", "base", "each", "at")
-    )
+    ranked = ranked.withColumn("rank", (F.coalesce("first", F.lit(0)) + F.col("in_bucket")).cast("long"))
+    kept = pieces.drop("bucket").schema
+    names = kept.fieldNames()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing", forget)
+        keys, low, base, each, at = shared.value
+        for batch in batches:
+            length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            here = np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1
+            in_place = rank - low[here]
+            columns = [pa.array(base[here] + in_place // each[here]), pa.array(at[here] + in_place % each[here] * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *columns], names=[*names, "sequence_id", "offset"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
+    return ranked.select("length", "rank", *[F.col(n).alias(f"_{n}") for n in names]).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
