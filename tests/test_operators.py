@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from tidemark.functions import time as clock
 from tidemark.functions import trade
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import indicators as ind
-from tidemark.operators import chunks, ledger, outcomes, profile, quality, scan, validation
+from tidemark.operators import chunks, ledger, outcomes, profile, quality, rules, scan, validation
 from tidemark.sources import files, views
 
 T0 = dt.datetime(2024, 1, 2, 9)
@@ -145,7 +146,39 @@ def test_overfitting_and_deflated_sharpe(spark):
 def test_plateau_avoids_the_spike(spark):
     pf = {(1, 1): 5.0, (2, 2): 2.0, (2, 1): 0.5, (1, 2): 0.5, (3, 3): 1.5, (2, 3): 1.6, (3, 2): 1.7, (1, 3): 1.2, (3, 1): 1.2}
     cells = spark.createDataFrame([(0, i, a, b, v) for i, ((a, b), v) in enumerate(pf.items())], "fold int, combo int, a int, b int, pf double")
-    assert validation.plateau(cells, 0.6).first().pf == 2.0
+    # Neighbours differ in one level: (2, 2) has two good ones of four, (3, 2) three of three.
+    assert tuple(validation.plateau(cells, 0.6).first())[1:] == (6, 1.7, 1.0)
+    assert validation.plateau(spark.createDataFrame([(0, 7, 1, 1, 3.0), (0, 8, 2, 2, float("inf")), (0, 9, 3, 3, 0.5)], cells.schema)).first().combo == 7
+
+
+def test_deflated_sharpe_by_hand(spark):
+    """Against the formula written out in plain Python."""
+    x = [0.3, -0.1, 0.4, 0.2, -0.2, 0.5, 0.1, 0.0, 0.35, -0.05]
+    n, mean = len(x), sum(x) / len(x)
+    m2, m3, m4 = (sum((v - mean) ** k for v in x) / n for k in (2, 3, 4))
+    sr = mean / math.sqrt(m2 * n / (n - 1))
+    var = (1 - m3 / m2**1.5 * sr + (m4 / m2**2 - 1) / 4 * sr * sr) / (n - 1)
+    z = lambda p: NormalDist().inv_cdf(p)
+    star = math.sqrt(var) * ((1 - 0.5772156649015329) * z(1 - 1 / 50) + 0.5772156649015329 * z(1 - 1 / (50 * math.e)))
+    want = NormalDist().cdf((sr - star) / math.sqrt(var))
+    got = validation.deflated_sharpe(spark.createDataFrame([("a", v) for v in x], "k string, x double"), "k", "x", 50).first().dsr
+    assert got == round(want, 6) and 0.1 < got < 0.9
+
+
+def test_cooldown_counts_from_the_last_accepted(spark):
+    minutes = [0, 60, 120, 180, 200, 370, 380, 1000]
+    hits = spark.createDataFrame([("r", "X", T0 + dt.timedelta(minutes=m), 1, 180) for m in minutes] + [("r", "X", T0, -1, 180)], "rule string, symbol string, ts timestamp_ntz, direction int, rest long")
+    found = sorted((round((r.ts - T0).total_seconds() / 60), r.direction) for r in rules.cooled(hits).collect())
+    assert found == [(0, 1), (180, 1), (370, 1), (1000, 1)]
+
+
+def test_mean_reversion_fires_on_leaving_the_band(spark):
+    """Down through 30 above the long mean is a long, up through 70 below it a short; not the way back."""
+    row = {"adx": 10.0, "atr": 1.0, "atr_median": 2.0, "close": 10.0, "symbol": "X", "k": 1}
+    cases = [(31.0, 29.0, 9.0), (29.0, 31.0, 9.0), (69.0, 71.0, 11.0), (71.0, 69.0, 11.0), (31.0, 29.0, 11.0)]
+    table = spark.createDataFrame([row | {"ts": T0 + dt.timedelta(hours=i), "rsi_before": a, "rsi": b, "ema200": e} for i, (a, b, e) in enumerate(cases)])
+    found = sorted((r.ts.hour - T0.hour, r.direction, r.stop, r.target) for r in rules.signals(table, [rules.RULES["sig05"]]).collect())
+    assert found == [(0, 1, 8.0, 14.0), (2, -1, 12.0, 6.0)]
 
 
 def test_profile_by_hand(spark):

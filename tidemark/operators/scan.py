@@ -174,12 +174,17 @@ def adx(bars: DataFrame, n: int = 14, chunk_days: int = CHUNK_DAYS) -> DataFrame
     return out.drop("__tr", "__plus", "__minus", "__a", "__p", "__m", "__dx")
 
 
-def trend(bars: DataFrame, emas: dict[str, tuple[str, int]], n: int = 14, chunk_days: int = CHUNK_DAYS) -> DataFrame:
-    """EMAs, atr, rsi, plus_di, minus_di and adx in two scans: one over bar columns, one over the directional index."""
+def trend(bars: DataFrame, emas: dict[str, tuple[str, int]], n: int = 14, chunk_days: int = CHUNK_DAYS, rsis: dict[str, int] | None = None) -> DataFrame:
+    """EMAs, atr, rsi (of n, and of other lengths by name), plus_di, minus_di and adx in two scans: one over bar columns, one
+    over the directional index.
+    """
+    rsis = rsis or {}
     smoothed = {"atr": "__tr", "__g": "__gain", "__l": "__loss", "__p": "__plus", "__m": "__minus"}
     rules = {k: ema_input(c, m) for k, (c, m) in emas.items()} | {k: wilder_input(c, n) for k, c in smoothed.items()}
+    rules |= {f"__{side}_{name}": wilder_input(c, m) for name, m in rsis.items() for side, c in (("g", "__gain"), ("l", "__loss"))}
     out = affine_scan(with_moves(with_gains(bars)), rules, chunk_days)
     out = with_dx(out.withColumn("rsi", rsi_of("__g", "__l")), "atr", "__p", "__m")
+    out = out.withColumns({name: rsi_of(f"__g_{name}", f"__l_{name}") for name in rsis}).drop(*[f"__{side}_{name}" for name in rsis for side in "gl"])
     out = out.drop("__gain", "__loss", "__g", "__l", "__plus", "__minus", "__p", "__m", "__tr")
     return wilder(out, {"adx": ("__dx", n)}, chunk_days).drop("__dx")
 

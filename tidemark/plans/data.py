@@ -230,7 +230,7 @@ def floors(spark, d):
 )
 def calendar_times(spark, d):
     at = F.col("time_utc")
-    texts = views.calendar(spark, d).select(F.date_format(at, "MM-dd-yyyy").alias("day"), F.when(F.hour(hole) == 3, "All Day").otherwise(F.lower(F.date_format(at, "h:mma"))).alias("clock"))
+    texts = views.calendar(spark, d).select(F.date_format(at, "MM-dd-yyyy").alias("day"), F.when(F.hour(at) == 3, "All Day").otherwise(F.lower(F.date_format(at, "h:mma"))).alias("clock"))
     return texts.select("day", "clock", clock.calendar_time(F.col("day"), F.col("clock")).alias("time_utc"))
 
 
@@ -319,12 +319,12 @@ def session_range_join(spark, d):
     "jon08_signal_state_asof",
     with_views("ticks", "H1")
     + """, s AS (SELECT symbol, ts, close, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING) AS mean FROM bars_h1),
-    e AS (SELECT symbol, ts, mid, event_id FROM ticks WHERE event_id % 7 = 0), j AS (SELECT e.symbol, e.mid, s.close, s.mean FROM e ASOF JOIN s ON e.symbol = s.symbol AND e.ts > s.ts)
+    e AS (SELECT symbol, ts, mid, event_id FROM ticks), j AS (SELECT e.symbol, e.mid, s.close, s.mean FROM e ASOF JOIN s ON e.symbol = s.symbol AND e.ts > s.ts)
     SELECT symbol, count(*) AS n, round(avg(CAST(close > mean AS DOUBLE)), 6) AS above_mean, round(avg(CAST(mid > close AS DOUBLE)), 6) AS above_close FROM j GROUP BY symbol""",
 )
 def signal_state(spark, d):
     state = views.bars(spark, d).select("symbol", "ts", "close", F.avg("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-9, 0)).alias("mean"))
-    entries = views.ticks(spark, d).where(F.col("event_id") % 7 == 0).select("symbol", "ts", "mid")
+    entries = views.ticks(spark, d).select("symbol", "ts", "mid")
     found = joins.asof(entries, state, "symbol", "ts", "ts", ["close", "mean"], strict=True).where("close IS NOT NULL")
     return found.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg((F.col("close") > F.col("mean")).cast("double")), 6).alias("above_mean"), F.round(F.avg((F.col("mid") > F.col("close")).cast("double")), 6).alias("above_close"))
 
@@ -362,11 +362,11 @@ def common_times(spark, d):
 @query(
     "jon12_catalog",
     with_views("trades")
-    + """, r AS (SELECT symbol, count(*) AS n FROM trades WHERE run_id = 'RF' GROUP BY 1), c AS (SELECT DISTINCT p_brand AS symbol, true AS live FROM part WHERE p_size > 25)
+    + """, r AS (SELECT symbol, count(*) AS n FROM trades GROUP BY 1), c AS (SELECT DISTINCT p_brand AS symbol, true AS live FROM part WHERE p_size > 25)
     SELECT symbol, coalesce(n, 0) AS n, coalesce(live, false) AS live FROM r FULL OUTER JOIN c USING (symbol)""",
 )
 def catalog(spark, d):
-    results = views.trades(spark, d).where("run_id = 'RF'").groupBy("symbol").agg(F.count("*").alias("n"))
+    results = views.trades(spark, d).groupBy("symbol").agg(F.count("*").alias("n"))
     live = views.table(spark, d, "part").where("p_size > 25").select(F.col("p_brand").alias("symbol")).distinct().withColumn("live", F.lit(True))
     return results.join(live, "symbol", "full_outer").select("symbol", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("live", F.lit(False)).alias("live"))
 
@@ -557,11 +557,11 @@ def log_regex(spark, d):
 
 @query(
     "jon09_trade_log_window",
-    f"""WITH {_LINES}, tr AS (SELECT event_id AS ticket, event_type AS symbol, ts AS entry_time, ts + INTERVAL 2 HOUR AS exit_time FROM events WHERE event_id % 97 = 0)
+    f"""WITH {_LINES}, tr AS (SELECT event_id AS ticket, event_type AS symbol, ts AS entry_time, ts + INTERVAL 2 HOUR AS exit_time FROM events)
     SELECT ticket, symbol, {_LOG_TS.replace("ts)", "l.ts)").replace("event_id", "l.event_id")} AS ts, substr(value, strpos(value, '] ') + 2) AS msg FROM tr JOIN lines l ON {_LOG_TS.replace("ts)", "l.ts)").replace("event_id", "l.event_id")} BETWEEN entry_time - INTERVAL 15 MINUTE AND exit_time AND contains(substr(value, strpos(value, '] ') + 2), symbol)""",
 )
 def trade_log(spark, d):
-    e = views.table(spark, d, "events").where(F.col("event_id") % 97 == 0)
+    e = views.table(spark, d, "events")
     at = F.col("ts").cast("timestamp_ntz")
     trades = e.select(F.col("event_id").alias("ticket"), F.col("event_type").alias("symbol"), at.alias("entry_time"), (at + F.expr("INTERVAL 2 HOURS")).alias("exit_time"))
     return oplogs.lines_of_trades(trades, files.text_log(_log_lines(spark, d))).select("ticket", "symbol", "ts", "msg")
@@ -614,11 +614,11 @@ def reports(spark, d):
 
 @query(
     "top05_catalog_order",
-    with_views("trades") + """, r AS (SELECT run_id AS key, symbol, count(*) FILTER (WHERE pnl > 0) // 400 AS passed FROM trades GROUP BY 1, 2) SELECT key, symbol, nullif(passed, 0) AS passed FROM r ORDER BY nullif(passed, 0) DESC NULLS LAST, key, symbol LIMIT 20""",
+    with_views("trades") + """, r AS (SELECT run_id AS key, symbol, count(*) FILTER (WHERE pnl > 0) // 400 AS passed FROM trades GROUP BY 1, 2) SELECT key, symbol, nullif(passed, 0) AS passed FROM r ORDER BY nullif(passed, 0) DESC NULLS LAST, key, symbol""",
 )
 def catalog_order(spark, d):
     results = views.trades(spark, d).groupBy(F.col("run_id").alias("key"), "symbol").agg(F.nullif(F.floor(F.count_if(F.col("pnl") > 0) / 400), F.lit(0)).alias("passed"))
-    return oplogs.catalog_order(results).limit(20)
+    return oplogs.catalog_order(results)
 
 
 @query("top04_latest_diagnostic", f"WITH {_LINES} SELECT event_type AS symbol, arg_max(substr(value, strpos(value, '] ') + 2), (ts, event_id)) AS msg, max(ts) AS ts FROM lines GROUP BY 1")

@@ -44,10 +44,11 @@ CHANGE = """ch AS (SELECT symbol, ts, close - lag(close) OVER (PARTITION BY symb
   gl AS (SELECT symbol, ts, greatest(d, 0.0) AS g, greatest(-d, 0.0) AS l FROM ch WHERE d IS NOT NULL)"""
 
 
-def rsi(n: int = 14) -> str:
-    """CTEs up to rsi(symbol, ts, y)."""
-    return f"""{CHANGE}, {wilder("wg", "gl", "g", n)}, {wilder("wl", "gl", "l", n)},
-    rsi AS (SELECT g.symbol, g.ts, CASE WHEN g.y = 0 AND l.y = 0 THEN 50.0 WHEN l.y = 0 THEN 100.0 WHEN g.y = 0 THEN 0.0 ELSE 100 - 100 / (1 + g.y / l.y) END AS y FROM wg g JOIN wl l USING (symbol, ts))"""
+def rsi(n: int = 14, name: str = "rsi") -> str:
+    """CTEs up to rsi(symbol, ts, y); under another name without those that all lengths share."""
+    more = "" if name == "rsi" else name
+    return f"""{"" if more else CHANGE + ","} {wilder("wg" + more, "gl", "g", n)}, {wilder("wl" + more, "gl", "l", n)},
+    {name} AS (SELECT g.symbol, g.ts, CASE WHEN g.y = 0 AND l.y = 0 THEN 50.0 WHEN l.y = 0 THEN 100.0 WHEN g.y = 0 THEN 0.0 ELSE 100 - 100 / (1 + g.y / l.y) END AS y FROM wg{more} g JOIN wl{more} l USING (symbol, ts))"""
 
 
 def adx(n: int = 14) -> str:

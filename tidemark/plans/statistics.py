@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,10 +98,10 @@ def last_lines(spark, d):
     return views.table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "ts", "event_type", "value")
 
 
-@query("set01_union_of_legs", _T + "SELECT run_id, symbol, exit_time, pnl, l_orderkey FROM trades WHERE run_id = 'RF' UNION ALL SELECT run_id, symbol, exit_time, pnl, l_orderkey FROM trades WHERE run_id = 'AF'")
+@query("set01_union_of_legs", _T + "SELECT run_id, symbol, exit_time, pnl, l_orderkey FROM trades WHERE run_id LIKE '%F' UNION ALL SELECT run_id, symbol, exit_time, pnl, l_orderkey FROM trades WHERE run_id NOT LIKE '%F'")
 def union_legs(spark, d):
     t = views.trades(spark, d).select("run_id", "symbol", "exit_time", "pnl", "l_orderkey")
-    return t.where("run_id = 'RF'").unionByName(t.where("run_id = 'AF'"))
+    return t.where("run_id LIKE '%F'").unionByName(t.where("run_id NOT LIKE '%F'")).orderBy("exit_time", "l_orderkey")
 
 
 # ---- folds and selection --------------------------------------------------------------------------------------------
@@ -146,9 +149,9 @@ def best_combo(spark, d):
 
 @query(
     "val05_plateau_select",
-    _T + _PERF + """, c AS (SELECT fold, combo, combo % 4 AS a, combo // 4 AS b, pf FROM perf), lv AS (SELECT *, dense_rank() OVER (PARTITION BY fold ORDER BY a) AS la, dense_rank() OVER (PARTITION BY fold ORDER BY b) AS lb FROM c),
-    s AS (SELECT x.fold, x.combo, x.pf, avg(CAST(y.pf > 1 AS DOUBLE)) AS score FROM lv x JOIN lv y ON x.fold = y.fold AND abs(x.la - y.la) <= 1 AND abs(x.lb - y.lb) <= 1 AND x.combo <> y.combo GROUP BY 1, 2, 3)
-    SELECT fold, combo, round(pf, 6) AS pf, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score >= 0.6 DESC, pf DESC, score DESC, combo) = 1""",
+    _T + _PERF + """, c AS (SELECT fold, combo, combo % 4 AS a, combo // 4 AS b, pf FROM perf WHERE isfinite(pf)), lv AS (SELECT *, dense_rank() OVER (PARTITION BY fold ORDER BY a) AS la, dense_rank() OVER (PARTITION BY fold ORDER BY b) AS lb FROM c),
+    s AS (SELECT x.fold, x.combo, x.a, x.b, x.pf, coalesce(avg(CAST(y.pf > 1 AS DOUBLE)), 0.0) AS score FROM lv x LEFT JOIN lv y ON x.fold = y.fold AND abs(x.la - y.la) + abs(x.lb - y.lb) = 1 GROUP BY ALL)
+    SELECT fold, combo, round(pf, 6) AS pf, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score >= 0.6 DESC, pf DESC, CASE WHEN score >= 0.6 THEN score END DESC NULLS LAST, a, b) = 1""",
 )
 def plateau_select(spark, d):
     cells = _perf(spark, d).withColumns({"a": F.col("combo") % 4, "b": F.floor(F.col("combo") / 4)})
@@ -175,9 +178,22 @@ def wfe(spark, d):
     return validation.walk_forward_efficiency(perf.withColumnRenamed("pf", "oos_pf").join(best, ["fold", "combo"]))
 
 
-@query("val08_deflated_sharpe")
+_TRIALS = 576
+_NORMAL, _EULER = NormalDist(), 0.5772156649015329
+#: Expected largest of _TRIALS standard normal values.
+_BEST = (1 - _EULER) * _NORMAL.inv_cdf(1 - 1 / _TRIALS) + _EULER * _NORMAL.inv_cdf(1 - 1 / (_TRIALS * math.e))
+
+
+@query(
+    "val08_deflated_sharpe",
+    _T + f""", m AS (SELECT symbol, count(pnl) AS t, avg(pnl) AS mean, stddev_samp(pnl) AS sd FROM trades GROUP BY 1),
+    p AS (SELECT symbol, m.t, m.mean, any_value(mean / sd) AS sr, avg((pnl - mean) ** 3) / avg((pnl - mean) ** 2) ** 1.5 AS g, avg((pnl - mean) ** 4) / avg((pnl - mean) ** 2) ** 2 AS k FROM trades JOIN m USING (symbol) GROUP BY 1, 2, 3),
+    z AS (SELECT *, sr / sqrt((1 - g * sr + (k - 1) / 4 * sr * sr) / (t - 1)) - {_BEST!r} AS z FROM p)
+    SELECT symbol, t, round(mean, 6) AS mean, round(0.5 + CASE WHEN z = 0 THEN 0 ELSE exp(-z * z / 2) / sqrt(2 * pi()) * z
+      * list_sum(list_transform(range(400), lambda i: exp(i * ln(z * z) - (i + 1) * ln(2) - lgamma(i + 1.5) + ln(pi()) / 2))) * 2 / 2 END, 6) AS dsr FROM z""",
+)  # the normal law as a series: z + z^3 / 3 + z^5 / (3 * 5) + ...
 def deflated_sharpe(spark, d):
-    return validation.deflated_sharpe(views.trades(spark, d), "symbol", "pnl", 576)
+    return validation.deflated_sharpe(views.trades(spark, d), "symbol", "pnl", _TRIALS)
 
 
 _MASKS = ", ".join(f"({i}, {b})" for i, chosen in enumerate(__import__("itertools").combinations(range(8), 4)) for b in chosen)

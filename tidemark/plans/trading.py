@@ -30,14 +30,15 @@ _FEATURES = [
     sqltext.adx(14),
     sqltext.wilder("atr", "tr", "tr", 14),
     sqltext.rsi(14),
+    sqltext.rsi(5, "rsi5"),
     sqltext.ema("e20", "b", "close", 20),
     sqltext.ema("e50", "b", "close", 50),
     sqltext.ema("e200", "b", "close", 200),
-    f"""fa AS (SELECT b.*, hour(ts) AS hour, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, a.y AS atr, r.y AS rsi, x.y AS adx, e20.y AS ema20, e50.y AS ema50, e200.y AS ema200,
-      sum((high + low + close) / 3 * tick_volume) OVER v / sum(tick_volume) OVER v AS vwap FROM b LEFT JOIN atr a USING (symbol, ts) LEFT JOIN rsi r USING (symbol, ts) LEFT JOIN adx x USING (symbol, ts)
+    f"""fa AS (SELECT b.*, hour(ts) AS hour, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, a.y AS atr, r.y AS rsi, r5.y AS rsi5, x.y AS adx, e20.y AS ema20, e50.y AS ema50, e200.y AS ema200,
+      sum((high + low + close) / 3 * tick_volume) OVER v / sum(tick_volume) OVER v AS vwap FROM b LEFT JOIN atr a USING (symbol, ts) LEFT JOIN rsi r USING (symbol, ts) LEFT JOIN rsi5 r5 USING (symbol, ts) LEFT JOIN adx x USING (symbol, ts)
       LEFT JOIN e20 USING (symbol, ts) LEFT JOIN e50 USING (symbol, ts) LEFT JOIN e200 USING (symbol, ts) WINDOW v AS (PARTITION BY symbol, {_DAY} ORDER BY ts))""",
     f"""fb AS (SELECT *, CASE WHEN count(*) OVER p = 20 THEN max(high) OVER p END AS upper, CASE WHEN count(*) OVER p = 20 THEN min(low) OVER p END AS lower, tick_volume / CASE WHEN count(*) OVER p = 20 THEN avg(tick_volume) OVER p END AS vol_ratio,
-      close / lag(close, 24) OVER w - 1 AS mom, lag(rsi) OVER w AS rsi_before, lag(close) OVER w AS close_before, lag(ema20) OVER w AS ema20_before, lag(ema50) OVER w AS ema50_before, lag(open) OVER w AS open_before, lag(high) OVER w AS high_before,
+      close / lag(close, 24) OVER w - 1 AS mom, lag(rsi) OVER w AS rsi_before, lag(rsi5) OVER w AS rsi5_before, lag(close) OVER w - lag(close, 5) OVER w AS mom_before, lag(close) OVER w AS close_before, lag(ema20) OVER w AS ema20_before, lag(ema50) OVER w AS ema50_before, lag(open) OVER w AS open_before, lag(high) OVER w AS high_before,
       lag(low) OVER w AS low_before, lag(atr) OVER w AS atr_before, CASE WHEN count(atr) OVER h = 100 THEN 100.0 * len(list_filter(list(atr) OVER h, lambda v: v <= atr)) / 100 END AS atr_rank,
       CASE WHEN count(atr) OVER p = 20 THEN quantile_cont(atr, 0.5) OVER p END AS atr_median, CASE WHEN count(atr) OVER f = 50 AND max(atr) OVER f > min(atr) OVER f THEN (atr - min(atr) OVER f) / (max(atr) OVER f - min(atr) OVER f) ELSE 0.5 END AS atr_position,
       (close - vwap) / atr AS vwap_gap FROM fa WINDOW w AS (PARTITION BY symbol ORDER BY ts), p AS {_F20}, h AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))""",
@@ -49,8 +50,13 @@ def _sql_signals(name: str) -> str:
     """CTE sg(symbol, ts, k, direction, stop, target, atr)."""
     r = _rule(name, _DUCK)
     once = " QUALIFY row_number() OVER (PARTITION BY symbol, direction, CAST(ts AS DATE) ORDER BY ts) = 1" if r.once_a_day else ""
-    return f"""hit AS (SELECT *, 1 AS direction FROM ft WHERE ({r.long}) AND atr IS NOT NULL UNION ALL SELECT *, -1 FROM ft WHERE ({r.short}) AND atr IS NOT NULL),
-    sg AS (SELECT symbol, ts, k, direction, close - direction * {r.stop_atr} * atr AS stop, close + direction * {r.stop_atr} * {r.reward} * atr AS target, atr FROM hit{once})"""
+    target = "CAST(NULL AS DOUBLE)" if r.reward is None else f"close + direction * {r.reward} * abs(close - stop)"
+    # After a hit the next one that counts is the first at least `cooldown` minutes later.
+    rest = f"""sh AS (SELECT DISTINCT symbol, ts FROM hit), nx AS (SELECT h.symbol, h.ts, min(n.ts) AS later FROM sh h LEFT JOIN sh n ON h.symbol = n.symbol AND h.ts + INTERVAL {r.cooldown} MINUTE <= n.ts GROUP BY 1, 2),
+    ac AS (SELECT symbol, min(ts) AS ts FROM sh GROUP BY 1 UNION ALL SELECT a.symbol, x.later FROM ac a JOIN nx x ON a.symbol = x.symbol AND a.ts = x.ts WHERE x.later IS NOT NULL),"""
+    kept = " SEMI JOIN ac USING (symbol, ts)" if r.cooldown else ""
+    return f"""hit AS (SELECT *, 1 AS direction, {r.stop(1)} AS stop FROM ft WHERE ({r.long}) AND atr IS NOT NULL UNION ALL SELECT *, -1, {r.stop(-1)} FROM ft WHERE ({r.short}) AND atr IS NOT NULL),
+    {rest if r.cooldown else ""} sg AS (SELECT symbol, ts, k, direction, stop, {target} AS target, atr FROM hit{kept}{once})"""
 
 
 def _signals(spark, d, *names):
