@@ -137,6 +137,66 @@ def test_extraction_tolerates_broken_markup():
     assert htmltext.extract("<!-- only -->") == htmltext.extract("") == ""
 
 
+LONG = "".join(f"<p>Paragraph {i} goes on for a while, with commas, and ends; as prose does, after some more words.</p>" for i in range(6))
+PLAIN = "\n\n".join(f"Paragraph {i} goes on for a while, with commas, and ends; as prose does, after some more words." for i in range(6))
+TABLE = "<table><thead><tr><th>Year</th></tr></thead><tbody><tr><td>1999</td></tr></tbody></table><ul><li><a href=a>Source one</a></li><li><a href=b>Source two</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # no article element, names that mean nothing
+        (f"<body><div class=q1><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div><div class=q2><h1>Head</h1>{LONG}{TABLE}</div><div class=q3><a href=3>Terms</a> <a href=4>Contact</a></div></body>", f"Head\n\n{PLAIN}\n\nYear\n\n1999\n\nSource one\n\nSource two"),
+        # a misleading name on the content, and teasers in article elements
+        (f"<body><div id=sidebar-content><h1>Head</h1>{LONG}</div><article><p>Teaser one.</p></article><article><p>Teaser two.</p></article></body>", f"Head\n\n{PLAIN}"),
+        # slugs as ids, inside the content
+        (f"<body><nav><a href=1>x</a></nav><article><h1>Head</h1><h2 id='social-impact'>Social impact</h2>{LONG}<p id='share-prices'>Share prices.</p><section id='related-work'><p>Other work.</p></section><div class='comment-list'><p>I like this, a lot, really.</p></div></article></body>", f"Head\n\nSocial impact\n\n{PLAIN}\n\nShare prices.\n\nOther work."),
+        # the text lies in body itself
+        (f"<body><header><h1>Site</h1></header><div class=m><a href=1>one</a><a href=2>two</a></div><h1>Head</h1>{LONG}<footer>About us.</footer></body>", f"Head\n\n{PLAIN}"),
+        # all children of a wrapper
+        (f"<html><body><div id=wrapper><div id=x><a href=1>a</a></div><div id=y>{LONG}</div></div></body></html>", PLAIN),
+    ],
+)
+def test_content_by_ratios(page, want, monkeypatch):
+    assert htmltext.extract(page) == want
+
+
+def test_ratios_decide(monkeypatch):
+    page = f"<body><div class=q1><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>Five.</p><p>Six.</p><p>Seven.</p><p>Eight.</p><p>Nine.</p><p>Ten.</p></div><div class=q2>{LONG}</div></body>"
+    assert htmltext.extract(page) == PLAIN
+    monkeypatch.setattr(htmltext, "path_ratios", lambda tree: dict.fromkeys(tree.path, 1.0))
+    assert htmltext.extract(page) != PLAIN
+
+
+def test_path_ratios_by_hand():
+    tree = htmltext.read_page("<div class=a><p>abcd.</p><p>ab, c.</p></div><div class=b><p><a href=x>abc</a>d</p></div><nav>zz</nav>")
+    text, marks, link = [5.5, 4.0, 2.0], [1.5, 0.0, 0.0], [0.0, 0.75, 0.0]
+    smooth = lambda r: [0.75 * r[0] + 0.25 * r[1], 0.25 * r[0] + 0.5 * r[1] + 0.25 * r[2], 0.25 * r[1] + 0.75 * r[2]]
+    want = [t * (1 + m) * (1 - k) * p for t, m, k, p in zip(smooth(text), smooth(marks), link, (1, 1, htmltext.TAG_PRIOR), strict=True)]
+    assert list(htmltext.path_ratios(tree).values()) == pytest.approx(want)
+
+
+def test_names():
+    assert all(map(htmltext.names_aside, ["ad", "ad-slot-3", "cookieNotice", "reader_comments", "related-posts", "site-footer"]))
+    assert not any(map(htmltext.names_aside, ["social-impact", "share-prices", "header2text-tool", "content", "additional", ""]))
+
+
+@pytest.mark.parametrize("page", ["<b " * 200_000 + '"', "<p '" * 100_001, "<div>" * 50_000 + "</p>" * 50_000, "<div>x" * 50_000, "<!" * 100_000, "</script" * 50_000, "<script>" + "</script" * 50_000, "<" * 200_000])
+def test_linear_time(page):
+    import time
+
+    start = time.process_time()
+    htmltext.extract(page)
+    assert time.process_time() - start < 10
+
+
+def test_pages_empty_table_and_clashing_names(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long"
+    assert htmltext.extract_pages(spark.createDataFrame([], schema)).count() == 0
+    found = htmltext.extract_pages(spark.createDataFrame([(1, "u", "<p>x</p>", "other", 9)] * 2, schema)).collect()
+    assert [(r.text, r.n_chars) for r in found] == [("x", 1)] * 2
+
+
 def test_pages_query(spark, sf):
     pages = table(spark, sf, "pages")
     found = {r.page_id: r for r in htmltext.extract_pages(pages).collect()}
