@@ -12,7 +12,7 @@ from tidemark.functions import time as clock
 from tidemark.functions import trade
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import indicators as ind
-from tidemark.operators import chunks, ledger, outcomes, profile, quality, rules, scan, validation
+from tidemark.operators import chunks, joins, ledger, outcomes, profile, quality, rules, scan, validation
 from tidemark.sources import files, views
 
 T0 = dt.datetime(2024, 1, 2, 9)
@@ -267,3 +267,15 @@ def test_chunked_windows_equal_plain_ones(spark, rows_per_chunk):
     assert sorted(map(tuple, cut.select("symbol", "ts", "sma", "rank", "top", "swing_high", "confirmed_at").collect()), key=str) == plain
     numbers = {(r.symbol, r.ts): r.k for r in chunks.row_numbers(df, slice_days=3).collect()}
     assert all(sorted(k for (s, _), k in numbers.items() if s == name) == list(range(1, n + 1)) for name, n in (("X", 400), ("Y", 90)))
+
+
+@pytest.mark.parametrize("days", [1, 7, 10_000])
+def test_asof_does_not_depend_on_slices(spark, days):
+    rng = np.random.default_rng(8)
+    at = lambda n, step: [T0 + dt.timedelta(hours=int(h)) for h in rng.choice(n * step, n, replace=False)]
+    right = [(k, t, i) for k in ("X", "Y", None) for i, t in enumerate(at(40, 30))]
+    left = [(k, t) for k in ("X", "Y", "Z", None) for t in [*at(60, 25), right[0][1]]] + [("X", None)]
+    rows = joins.asof(spark.createDataFrame(left, "k string, t timestamp_ntz"), spark.createDataFrame(right, "k string, u timestamp_ntz, v int"), "k", "t", "u", ["v"], strict=days == 7, slice_days=days)
+    before = (lambda u, t: u < t) if days == 7 else (lambda u, t: u <= t)
+    want = [(k, t, max(((u, v) for q, u, v in right if q == k and t is not None and before(u, t)), default=(None, None))[1]) for k, t in left]
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)

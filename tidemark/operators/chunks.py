@@ -27,12 +27,13 @@ def row_numbers(bars: DataFrame, name: str = "k", slice_days: int = SLICE_DAYS)
     return sliced.join(offsets, ["symbol", "__slice"]).withColumn(name, F.col("__offset") + within).drop("__slice", "__offset")
 
 
-def chunked(bars: DataFrame, function: Callable[[DataFrame], DataFrame], before: int, after: int = 0, chunk_rows: int = CHUNK_ROWS, slice_days: int = SLICE_DAYS) -> DataFrame:
+def chunked(bars: DataFrame, function: Callable[[DataFrame], DataFrame], before: int, after: int = 0, chunk_rows: int = CHUNK_ROWS, slice_days: int = SLICE_DAYS, number: str | None = None) -> DataFrame:
     """function(bars) for a function whose windows per symbol reach at most `before` rows back and `after` rows ahead.
 
     The function sees each chunk as a series of its own (its symbol is the symbol and the chunk) with the rows around it.
+    `number` names a column with the row number, if bars have one.
     """
-    numbered = row_numbers(bars, "__k", slice_days)
+    numbered = bars.withColumn("__k", F.col(number)) if number else row_numbers(bars, "__k", slice_days)
     own = F.floor((F.col("__k") - 1) / chunk_rows)
     first, last = F.floor((F.col("__k") - 1 - after) / chunk_rows), F.floor((F.col("__k") - 1 + before) / chunk_rows)
     dealt = numbered.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))

@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], strict: bool = False) -> DataFrame:
+#: Days of a slice of the as-of join. The result does not depend on it.
+SLICE_DAYS = 30
+
+
+def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], strict: bool = False, slice_days: int = SLICE_DAYS) -> DataFrame:
     """left with the values of the latest right row at or before its time (strictly before if asked), per key.
 
-    Both sides are put in one ordered stream per key and the last right row is carried forward: one shuffle, one sort,
-    and no theta join.
+    Both sides are put in one ordered stream per key and slice of time and the last right row is carried forward in it, so a
+    key that holds most rows is many tasks. What a slice starts with is the last right row of the slices before it, found
+    among one row a slice. Left rows without a time find nothing.
     """
     tag = 1 if not strict else -1
+    part = F.floor(F.unix_timestamp(F.col("__t").cast("timestamp")) / (86_400 * slice_days)).alias("__slice")
     row = F.struct(*[F.col(v) for v in values])
-    events = right.select(F.col(on), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), row.alias("__value"))
-    wide = left.select(F.col(on), F.col(left_time).alias("__t"), F.lit(tag).alias("__side"), F.lit(None).cast(events.schema["__value"].dataType).alias("__value"), F.struct(*[c for c in left.columns if c != on]).alias("__left"))
+    events = right.select(F.col(on), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), row.alias("__value")).where("__t IS NOT NULL").select("*", part)
+    kind = events.schema["__value"].dataType
+    wide = left.select(F.col(on), F.col(left_time).alias("__t"), F.lit(tag).alias("__side"), F.lit(None).cast(kind).alias("__value"), F.struct(*[c for c in left.columns if c != on]).alias("__left")).select("*", part)
     both = wide.unionByName(events.withColumn("__left", F.lit(None).cast(wide.schema["__left"].dataType)))
-    carried = F.last("__value", ignorenulls=True).over(Window.partitionBy(on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__found", carried).where(F.col("__side") == tag)
+    inside = Window.partitionBy(on, "__slice").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    ends = events.groupBy(on, "__slice").agg(F.max_by("__value", "__t").alias("__last"))
+    asked = wide.select(on, "__slice").distinct().withColumn("__last", F.lit(None).cast(kind))
+    slices = asked.unionByName(ends).groupBy(on, "__slice").agg(F.first("__last", ignorenulls=True).alias("__last"))
+    earlier = Window.partitionBy(on).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    starts = slices.select(F.col(on).alias("__on"), F.col("__slice").alias("__own"), F.last("__last", ignorenulls=True).over(earlier).alias("__start"))
+    found = both.withColumn("__found", F.last("__value", ignorenulls=True).over(inside)).where(F.col("__side") == tag)
+    out = found.join(starts, found[on].eqNullSafe(F.col("__on")) & (found["__slice"] == F.col("__own")), "left")
+    out = out.withColumn("__found", F.when(F.col("__t").isNotNull(), F.coalesce("__found", "__start")))
     return out.select(on, "__left.*", *[F.col(f"__found.{v}").alias(v) for v in values])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as ind
 from tidemark.operators import scan
-from tidemark.operators.chunks import row_numbers
+from tidemark.operators.chunks import chunked, row_numbers
 from tidemark.operators.indicators import lag
 
 
@@ -41,12 +41,21 @@ class Rule:
         return self.stops[direction < 0] if self.stops else f"close - ({direction}) * {self.stop_atr} * {self.atr}"
 
 
+#: Rows that the windows of the features reach back.
+_REACH = 101
+
+
 def features(bars: DataFrame) -> DataFrame:
     """Everything that the rules read, from (symbol, ts, open, high, low, close, tick_volume)."""
     out = ind.session_vwap(bars.select("symbol", "ts", "open", "high", "low", "close", "tick_volume"), "America/New_York")
     out = scan.trend(row_numbers(out), {f"ema{n}": ("close", n) for n in (20, 50, 200)}, rsis={"rsi5": 5})
+    return chunked(out, _windows, before=_REACH, number="k")
+
+
+def _windows(table: DataFrame) -> DataFrame:
+    """Features from the rows around each bar."""
     upper, lower = ind.donchian(20)
-    out = out.withColumns({
+    out = table.withColumns({
         "upper": upper, "lower": lower, "mom_before": lag("close") - lag("close", 5), "rsi5_before": lag("rsi5"), "vol_ratio": ind.ratio_to_mean("tick_volume", 20), "mom": ind.momentum(24), "rsi_before": lag("rsi"), "close_before": lag("close"),
         "ema20_before": lag("ema20"), "ema50_before": lag("ema50"), "open_before": lag("open"), "high_before": lag("high"), "low_before": lag("low"), "atr_before": lag("atr"), "hour": F.hour("ts"),
         "atr_rank": ind.rolling_rank("atr", 100), "atr_median": ind.rolling_median("atr", 20, 1), "atr_position": ind.minmax_position("atr", 50), "vwap_gap": F.try_divide(F.col("close") - F.col("vwap"), F.col("atr")),

@@ -44,7 +44,7 @@ def wilder(spark, d):
 
 @query("ind04_true_range", with_bars(sqltext.TR) + "SELECT symbol, ts, round(tr, 6) AS tr FROM tr")
 def true_range(spark, d):
-    return _out(views.bars(spark, d).withColumn("tr", ind.true_range()), "tr")
+    return _out(chunked(views.bars(spark, d), lambda b: b.withColumn("tr", ind.true_range()), before=1), "tr")
 
 
 @query("ind05_atr", with_bars(sqltext.atr(14)) + "SELECT b.symbol, b.ts, round(a.y, 6) AS atr FROM b LEFT JOIN atr a USING (symbol, ts)")
@@ -148,7 +148,7 @@ def rolling_percentile(spark, d):
 
 @query("ind15_minmax_position", with_bars() + f"SELECT symbol, ts, round(CASE WHEN count(*) OVER w = 50 AND max(close) OVER w > min(close) OVER w THEN (close - min(close) OVER w) / (max(close) OVER w - min(close) OVER w) ELSE 0.5 END, 6) AS position FROM b WINDOW w AS {_frame(50)}")
 def minmax(spark, d):
-    return _out(views.bars(spark, d).withColumn("position", ind.minmax_position("close", 50)), "position")
+    return _out(chunked(views.bars(spark, d), lambda b: b.withColumn("position", ind.minmax_position("close", 50)), before=49), "position")
 
 
 @query(
@@ -166,8 +166,8 @@ def median_atr(spark, d):
     with_bars(f"r AS (SELECT symbol, ts, ln(close / lag(close) OVER w) AS ret FROM b {W})") + f"SELECT symbol, ts, round(CASE WHEN count(ret) OVER v = 24 THEN stddev_samp(ret) OVER v END, 6) AS vol FROM r WINDOW v AS {_frame(24)}",
 )
 def realized_vol(spark, d):
-    out = views.bars(spark, d).withColumn("ret", ind.log_return())
-    return _out(out.withColumn("vol", ind.realized_vol("ret", 24)), "vol")
+    volatility = lambda b: b.withColumn("ret", ind.log_return()).withColumn("vol", ind.realized_vol("ret", 24))
+    return _out(chunked(views.bars(spark, d), volatility, before=25), "vol")
 
 
 @query(
@@ -182,12 +182,12 @@ def equal_levels(spark, d):
 
 @query("ind19_volume_ratio", with_bars() + f"SELECT symbol, ts, round(tick_volume / CASE WHEN count(*) OVER w = 20 THEN avg(tick_volume) OVER w END, 6) AS ratio FROM b WINDOW w AS {_frame(20, 1)}")
 def volume_ratio(spark, d):
-    return _out(views.bars(spark, d).withColumn("ratio", ind.ratio_to_mean("tick_volume", 20)), "ratio")
+    return _out(chunked(views.bars(spark, d), lambda b: b.withColumn("ratio", ind.ratio_to_mean("tick_volume", 20)), before=20), "ratio")
 
 
 @query("ind20_momentum", sqltext.with_daily() + f"SELECT symbol, ts, round(close / lag(close, 60) OVER w - 1, 6) AS momentum FROM b {W}")
 def momentum(spark, d):
-    return _out(views.daily_bars(spark, d).withColumn("momentum", ind.momentum(60)), "momentum")
+    return _out(chunked(views.daily_bars(spark, d), lambda b: b.withColumn("momentum", ind.momentum(60)), before=60), "momentum")
 
 
 @query(
@@ -204,7 +204,7 @@ def regression(spark, d):
 
 @query("ind22_micro_flow", with_bars(f"c AS (SELECT symbol, ts, CAST(sign(close - lag(close) OVER w) AS DOUBLE) AS s FROM b {W})") + f"SELECT symbol, ts, round(CASE WHEN count(s) OVER v = 12 THEN avg(s) OVER v END, 6) AS micro_flow FROM c WINDOW v AS {_frame(12)}")
 def micro_flow(spark, d):
-    return _out(ind.micro_flow(views.bars(spark, d), 12), "micro_flow")
+    return _out(chunked(views.bars(spark, d), lambda b: ind.micro_flow(b, 12), before=13), "micro_flow")
 
 
 @query(
