@@ -188,10 +188,10 @@ def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text", names
 
 
 def keep_known(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
-    """docs without the texts whose language cannot be told: no letter, or none of the learned n-grams. If nothing was
+    """docs without the texts whose language cannot be told: no letter, or none of the learned n-grams. If no n-gram was
     learned, all texts with a letter stay.
     """
-    if not filters.languages:
+    if not any(slots.any() for slots in filters.slots):
         return docs.where(F.col(text).cast("string").rlike(r"\p{L}"))
     found = predict(docs, filters, text, ("__lang", "__score"))
     return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") > 0)).select(*docs.columns)
