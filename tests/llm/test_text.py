@@ -86,8 +86,6 @@ def test_fingerprint_against_plain_python(spark, sf):
     n = docs.count()
     assert set(lexicon) == {w for w, k in seen.items() if 2 <= k <= 0.25 * n}
     groups: dict[tuple, set] = {}
-    for r in op2_fingerprints(spark, sf).collect():
-        pass
     for r, f in zip(sorted(docs.collect()), sorted(op2_fingerprints(spark, sf).collect()), strict=True):
         terms = tuple(sorted(split(r.text) & set(lexicon)))
         if terms:
