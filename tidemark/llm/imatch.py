@@ -48,19 +48,37 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
     return band.select("term", F.xxhash64("term").alias("h"), mask.cast("int").alias("mask"))
 
 
-def _in_subset(r: int):
-    return lambda t: t["mask"].bitwiseAND(F.lit(1 << r)) != 0
+def _of(ordered: Column, bits: int) -> Column:
+    """Elements of a list of (h, m) whose m has one of the bits."""
+    return F.filter(ordered, lambda t: t["m"].bitwiseAND(F.lit(bits).cast("long")) != 0)
 
 
-def _signature(ordered: Column) -> Column:
-    """Per subset the hash of its terms in the sorted list of (h, mask); null without terms."""
+def _signature(groups: dict[int, Column], shift: int) -> Column:
+    """Per subset the hash of its terms, null without terms. groups: by rate the sorted list of (h, m) that has all terms of
+    the subsets of that rate; bit shift + r of m tells the terms of subset r.
+    """
     parts = []
-    for r in range(len(RATES)):
-        chosen = F.filter(ordered, _in_subset(r))
+    for r, rate in enumerate(RATES):
+        chosen = _of(groups[rate], 1 << (shift + r))
         parts.append(F.when(F.size(chosen) > 0, F.xxhash64(F.transform(chosen, lambda t: t["h"]))))
     return F.array(*parts)
 
 
+def _signed(found: DataFrame) -> DataFrame:
+    """found (..., list of (h, m)) with the signatures `s` of a text (low bits of m) and `es` of its edited text (high bits).
+
+    Most terms are in one subset or two, so the list is first cut to the terms of each rate, and those are searched.
+    """
+    # sort_array, unlike array_sort, compares without a lambda; one step each, so nothing is sorted or cut twice
+    found = found.withColumn("found", F.sort_array("found"))
+    rates, n = sorted(set(RATES)), len(RATES)
+    held = {q: sum(1 << r for r, rate in enumerate(RATES) if rate == q) for q in rates}
+    found = found.withColumn("__rare", _of(F.col("found"), sum((b << n) | b for q, b in held.items() if q > 2)))
+    found = found.withColumns({f"__q{q}": _of(F.col("__rare"), (held[q] << n) | held[q]) for q in rates if q > 2})
+    groups = {q: F.col(f"__q{q}") if q > 2 else F.col("found") for q in rates}
+    return found.withColumns({"s": _signature(groups, 0), "es": _signature(groups, n)}).drop("found", "__rare", *[f"__q{q}" for q in rates])
+
+
 def fingerprint_text(signature: Column, whole: Column) -> Column:
     """Fingerprint as a string; without any lexicon term a hash of the whole text."""
     some = F.exists(signature, lambda x: x.isNotNull())
@@ -105,7 +123,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     that every row meets its successor. Everything after that keeps the partitioning.
     """
     docs = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    words = saved(lexicon(docs))
+    words = saved(lexicon(docs).where("mask <> 0"))  # terms of no subset change nothing
     words = words.union(words.sparkSession.createDataFrame([("", 0, 0)], words.schema))  # keeps documents without terms
     if words.count() <= MAX_BROADCAST:
         words = F.broadcast(words)
@@ -119,18 +137,21 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("following", F.lit("")), F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    tagged = F.concat(
-        F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("side"))),
-        F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("side"))),
-        F.transform(terms(F.col("edited")), lambda t: F.struct(t.alias("term"), F.lit(2).alias("side"))),
-    )
     facts = F.struct("id", "copy", n.cast("long").alias("n_chars"), F.sha2(F.encode("text", "utf-8"), 256).alias("whole"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"))
-    long = rows.select("at", "r", facts.alias("facts"), tagged.alias("tagged")).select("at", "r", "facts", F.explode("tagged").alias("t")).select("at", "r", "facts", "t.term", "t.side")
-    found = long.join(words, "term").groupBy("at", "r").agg(F.first("facts").alias("facts"), F.collect_list(F.struct("h", "mask", "side")).alias("found"))
-    side = lambda s: F.transform(F.filter("found", lambda t: t["side"] == s), lambda t: F.struct(t["h"].alias("h"), t["mask"].alias("mask")))
-    # sort_array, unlike array_sort, compares without a lambda; one step each, so nothing is sorted twice
-    sided = found.select("at", "r", "facts.*", F.sort_array(side(1)).alias("own"), F.sort_array(side(2)).alias("changed"))
-    signed = sided.withColumns({"s": _signature(F.col("own")), "es": _signature(F.col("changed"))}).drop("own", "changed")
+    rows = rows.select("at", "r", facts.alias("facts"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("changed"))
+    none = F.lit(None).cast(rows.schema["facts"].dataType)
+    tagged = lambda words, side: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(side).alias("side"), none.alias("facts")))
+    # A term of both texts travels once; only the first row of a text carries what is known of it.
+    long = F.explode(F.concat(
+        F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("side"), F.col("facts").alias("facts"))),
+        tagged(F.array_except("own", "changed"), 1), tagged(F.array_except("changed", "own"), 2), tagged(F.array_intersect("own", "changed"), 3),
+    ))
+    long = rows.select("at", "r", long.alias("t")).select("at", "r", "t.term", "t.side", "t.facts")
+    mask, both = F.col("mask").cast("long"), F.col("side")
+    m = F.when(both.bitwiseAND(1) != 0, mask).otherwise(0).bitwiseOR(F.when(both.bitwiseAND(2) != 0, F.shiftleft(mask, len(RATES))).otherwise(0))
+    found = long.join(words, "term").select("at", "r", "facts", F.struct("h", m.alias("m")).alias("t"))
+    found = found.groupBy("at", "r").agg(F.first("facts", ignorenulls=True).alias("facts"), F.collect_list("t").alias("found"))
+    signed = _signed(found.select("at", "r", "facts.*", "found"))
     signed = signed.withColumns({"fingerprint": fingerprint_text(F.col("s"), F.col("whole")), "edited_fingerprint": fingerprint_text(F.col("es"), F.col("edited_sha256"))})
     after = Window.partitionBy("at").orderBy("r")
     near = signed.withColumns({"next_s": F.lead("s").over(after), "next_fingerprint": F.lead("fingerprint").over(after)}).where("copy = 0")
