@@ -6,8 +6,9 @@ trimmed; blank lines are never dropped. A page counts once however often it repe
 
 Counts combine before the shuffle and are keyed by (host, line), so a hot host spreads over its lines. A host has at
 most (mean lines of its pages) / ratio boilerplate lines, so their list fits a row. All lists together are broadcast if
-their counted size is within a bound, and no page is shuffled then; beyond it pages are joined by host and part, each
-host dealt to as many parts as there are shuffle partitions.
+their counted size is within a bound, and no page is shuffled then; beyond it pages are joined by host and part: a host
+with more than an even share of the pages is dealt to all shuffle partitions (there are fewer such hosts than partitions),
+any other host stays in one part, so its list is not copied.
 
 Edge cases: null text stays null; rows with a null host form one host; a page that loses all lines keeps an empty text;
 lines at exactly the ratio stay; hosts with fewer than min_pages pages containing a line never lose it.
@@ -51,10 +52,12 @@ def drop_boilerplate(pages: DataFrame, host: Column | None = None, text: str = "
     if (marks.agg(F.sum(F.size("__marks"))).first()[0] or 0) <= max_broadcast:
         joined = pages.join(F.broadcast(marks), host.eqNullSafe(F.col("__host")), "left")
     else:
-        parts = n_tasks(pages.sparkSession)
-        dealt = marks.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        salted = pages.withColumn("__part", F.pmod(F.xxhash64(text), F.lit(parts)).cast("int"))
-        joined = salted.join(dealt, host.eqNullSafe(F.col("__host")) & (salted["__part"] == dealt["__part"]), "left")
+        parts, total = n_tasks(pages.sparkSession), pages.count()
+        hot = pages.groupBy(host.alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") * parts > total)
+        hot = F.broadcast(saved(hot.select("__hot", F.lit(parts).alias("__parts"))))  # fewer rows than parts
+        dealt = marks.join(hot, F.col("__host").eqNullSafe(F.col("__hot")), "left").select("__host", "__marks", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)).alias("__to"))
+        salted = pages.join(hot, host.eqNullSafe(F.col("__hot")), "left").withColumn("__part", F.pmod(F.xxhash64(pages[text]), F.coalesce("__parts", F.lit(1))).cast("int"))
+        joined = salted.join(dealt, host.eqNullSafe(F.col("__host")) & (F.col("__part") == F.col("__to")), "left")
     lines = _lines(F.col(text))
     stay = F.filter(lines, lambda x: ~F.array_contains(F.col("__marks"), F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
     cut = F.col("__marks").isNotNull()
