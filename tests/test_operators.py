@@ -279,3 +279,42 @@ def test_asof_does_not_depend_on_slices(spark, days):
     before = (lambda u, t: u < t) if days == 7 else (lambda u, t: u <= t)
     want = [(k, t, max(((u, v) for q, u, v in right if q == k and t is not None and before(u, t)), default=(None, None))[1]) for k, t in left]
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)
+
+
+def test_currencies(spark):
+    names = ["eurusd.r", "XAUUSD", "btc", "france", "AAABBB", "GBPGBP", "us30", "", None]
+    found = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, s string").select("i", trade.currencies(F.col("s")).alias("c")).orderBy("i").collect()
+    assert [r.c for r in found] == [["EUR", "USD"], ["USD"], ["USD"], ["FRA", "NCE"], ["AAA", "BBB"], ["GBP"], [], [], []]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_running_sums_do_not_depend_on_chunks(spark, rows):
+    values = [None if k % 5 == 0 else float(k) for k in range(1, 21)]
+    df = spark.createDataFrame([(s, k + 1, v) for s in "ab" for k, v in enumerate(values)], "symbol string, k long, v double")
+    got = {(r.symbol, r.k): r.v for r in chunks.running_sums(df, ["v"], rows).collect()}
+    assert all(got[s, k] == sum(v or 0 for v in values[:k]) for s in "ab" for k in range(1, 21)) and len(got) == 40
+
+
+@pytest.mark.parametrize("rows", [2, 1000])
+def test_equity_by_hand(spark, rows):
+    """A long trade from bar 2 (open 10) to bar 4 (exit 14) and a short one on bar 3 alone (12 to 13)."""
+    bars = spark.createDataFrame([("a", k, c) for k, c in enumerate((9.0, 11.0, 12.5, 14.0, 20.0), 1)], "symbol string, k long, close double")
+    bars = bars.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 20:00:00' + make_dt_interval(0, cast(k as int))"))
+    trades = spark.createDataFrame([("a", 1, 3, 1, 10.0, 14.0), ("a", 2, 1, -1, 12.0, 13.0)], "symbol string, k long, bars_held long, direction int, entry double, exit double")
+    curve = ledger.equity_curve(trades, bars, 10.0, 60, chunk_rows=rows)
+    assert [(r.balance, r.equity) for r in curve.orderBy("k").collect()] == [(10, 10), (10, 11), (9, 11.5), (13, 13), (13, 13)]
+    # closes at 22, 23 | 0, 1, 2 o'clock; the second day opens at 10
+    days = ledger.loss_limit_days(curve.withColumn("equity", F.col("equity") - F.when(F.col("k") == 3, 2.5).otherwise(0.0)), 10.0, 0.1, 0.5).orderBy("day").collect()
+    assert [(r.opening, r.daily_at and r.daily_at.hour, r.overall_at, r.breached) for r in days] == [(10, None, None, False), (10, 0, None, True)]
+
+
+def test_text_reports(spark):
+    whole = "x\n=== WFA strategies.s1_x.Y / EURUSD ===\nFolds: 3 | OOS-Trades: 12 | OOS-PF: 1.5 | WFE-Median: 0.6 | PF(2x): 1.2 | PF(3x): 1.1 | DSR: 0.9 | PBO: 0.1\n--- Gates ---\n [PASS] a b \n[FAIL] c\nArtefakte: -\nERGEBNIS: no\n"
+    short = "=== WFA s2 / GBPUSD ===\nnothing else"
+    found = {r.key: r for r in files.text_reports(spark.createDataFrame([(whole,), (short,), ("no header",), ("",), (None,)], "value string")).collect()}
+    assert set(found) == {"s1_x", "s2"}
+    r = found["s1_x"]
+    assert (r.symbol, r.folds, r.n_oos, r.pf, r.wfe_median, r.pf2x, r.pf3x, r.dsr, r.pbo) == ("EURUSD", 3, 12, 1.5, 0.6, 1.2, 1.1, 0.9, 0.1)
+    assert [tuple(g) for g in r.gates] == [("a b", True), ("c", False)] and (r.gates_passed, r.gates_total, r.verdict) == (1, 2, "no")
+    r = found["s2"]
+    assert (r.symbol, r.folds, r.pbo, r.gates, r.gates_total, r.verdict) == ("GBPUSD", None, None, [], 0, None)

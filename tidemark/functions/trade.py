@@ -48,3 +48,18 @@ def profit_factor(pnl: Column) -> Column:
     gain = F.sum(F.when(pnl > 0, pnl).otherwise(0.0))
     loss = F.sum(F.when(pnl < 0, -pnl).otherwise(0.0))
     return F.when(loss > 0, gain / F.when(loss > 0, loss)).when(gain > 0, F.lit(float("inf"))).otherwise(0.0)
+
+
+#: The currencies of known symbols.
+SYMBOL_CURRENCIES = {
+    "XAUUSD": ["USD"], "NAS100": ["USD"], "US100": ["USD"], "EURUSD": ["EUR", "USD"], "GBPUSD": ["GBP", "USD"], "USDJPY": ["USD", "JPY"], "USDCHF": ["USD", "CHF"], "AUDUSD": ["AUD", "USD"],
+    "USDCAD": ["USD", "CAD"], "NZDUSD": ["NZD", "USD"], "EURJPY": ["EUR", "JPY"], "GBPJPY": ["GBP", "JPY"], "BTC": ["USD"], "ETH": ["USD"], "BTCUSD": ["USD"], "ETHUSD": ["USD"],
+}
+
+
+def currencies(symbol: Column) -> Column:
+    """Sorted currencies of a symbol, whatever its case and suffix: the fixed ones, else the halves of six letters, else none."""
+    name = F.substring_index(F.upper(symbol), ".", 1)
+    fixed = F.create_map(*[part for s, c in SYMBOL_CURRENCIES.items() for part in (F.lit(s), F.array(*map(F.lit, c)))])
+    halves = F.when(name.rlike(r"^\p{L}{6}$"), F.array(F.substring(name, 1, 3), F.substring(name, 4, 3)))
+    return F.array_sort(F.array_distinct(F.coalesce(F.try_element_at(fixed, name), halves, F.array().cast("array<string>"))))

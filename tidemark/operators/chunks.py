@@ -40,3 +40,17 @@ def chunked(bars: DataFrame, function: Callable[[DataFrame], DataFrame], before:
     named = dealt.withColumns({"__symbol": F.col("symbol"), "__keep": F.col("__own") == F.col("__chunk"), "symbol": F.concat_ws("|", "symbol", F.col("__chunk").cast("string"))}).drop("__k", "__own", "__chunk")
     done = function(named).where("__keep")
     return done.withColumn("symbol", F.col("__symbol")).drop("__symbol", "__keep")
+
+
+def running_sums(numbered: DataFrame, names: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """numbered (symbol, k, ...) with each named column replaced by its sum up to the row; nulls count as 0.
+
+    Sums run inside chunks of rows; what a chunk starts with is the sum of the chunks before it, a row a chunk.
+    """
+    dealt = numbered.withColumn("__chunk", F.floor((F.col("k") - 1) / chunk_rows))
+    totals = dealt.groupBy("symbol", "__chunk").agg(*[F.sum(n).alias(f"__{n}") for n in names])
+    earlier = Window.partitionBy("symbol").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("symbol", "__chunk", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in names])
+    within = Window.partitionBy("symbol", "__chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({n: F.sum(F.coalesce(n, F.lit(0))).over(within) for n in names}).join(starts, ["symbol", "__chunk"])
+    return summed.withColumns({n: F.col(n) + F.col(f"__{n}") for n in names}).drop("__chunk", *[f"__{n}" for n in names])

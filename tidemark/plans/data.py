@@ -174,6 +174,21 @@ def currency_map(spark, d):
     return _symbol_currency(spark, d)
 
 
+_TICKERS = [*[f"{s.lower()}.x" for s in trade.SYMBOL_CURRENCIES], "xyzabc", "us30"]
+
+
+@query(
+    "flt05_symbol_currencies",
+    f"""WITH names AS (SELECT n_name AS symbol FROM nation UNION SELECT ({_TICKERS})[user_id % {len(_TICKERS)} + 1] FROM events), u AS (SELECT symbol, split_part(upper(symbol), '.', 1) AS name FROM names),
+    fixed AS (SELECT * FROM (VALUES {", ".join(f"('{s}', '{','.join(sorted(c))}')" for s, c in trade.SYMBOL_CURRENCIES.items())}) v(name, currencies))
+    SELECT symbol, coalesce(currencies, CASE WHEN regexp_full_match(name, '[A-Z]{{6}}') THEN array_to_string(list_sort(list_distinct([substr(name, 1, 3), substr(name, 4, 3)])), ',') END, '') AS currencies FROM u LEFT JOIN fixed USING (name)""",
+)
+def symbol_currencies(spark, d):
+    dealt = F.element_at(F.array(*map(F.lit, _TICKERS)), (F.pmod("user_id", F.lit(len(_TICKERS))) + 1).cast("int"))
+    names = views.table(spark, d, "nation").select(F.col("n_name").alias("symbol")).union(views.table(spark, d, "events").select(dealt)).distinct()
+    return names.select("symbol", F.array_join(trade.currencies(F.col("symbol")), ",").alias("currencies"))
+
+
 @query("flt06_flat_deadline", with_views("ticks", "M15") + f"SELECT symbol, ts, {_MOD(_NY)} >= CASE WHEN dayofweek({_NY}) = 5 THEN 720 ELSE 1010 END AS past FROM bars_m15")
 def flat_deadline(spark, d):
     return views.bars(spark, d, "M15").select("symbol", "ts", clock.past_deadline(F.col("ts"), 16, 50, "America/New_York", friday_hour=12).alias("past"))
@@ -612,6 +627,22 @@ def reports(spark, d):
     return files.run_reports(m.select(report.alias("value"))).withColumn("value", F.round("value", 6))
 
 
+@query(
+    "src11_text_reports",
+    with_views("trades") + """, m AS (SELECT run_id, symbol, CAST(count(DISTINCT year(exit_time)) AS INT) AS folds, CAST(count(*) AS INT) AS n_oos, round(sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)), 2) AS pf, round(avg(lots), 2) AS wfe_median FROM trades GROUP BY 1, 2)
+    SELECT CASE WHEN length(run_id) = 2 THEN 'rule_' || run_id END AS key, symbol, folds, n_oos, pf, wfe_median, CAST(n_oos >= 20 AS INT) + CAST(pf >= 1.3 AS INT) AS gates_passed, 2 AS gates_total, CASE WHEN pf >= 1.3 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m""",
+)
+def text_reports(spark, d):
+    gain, loss = F.sum(F.greatest("pnl", F.lit(0.0))), F.sum(F.greatest(-F.col("pnl"), F.lit(0.0)))
+    m = views.trades(spark, d).groupBy("run_id", "symbol").agg(F.count_distinct(F.year("exit_time")).alias("folds"), F.count("*").alias("n"), F.round(gain / loss, 2).alias("pf"), F.round(F.avg("lots"), 2).alias("wfe"))
+    state = lambda c: F.when(c, F.lit("PASS")).otherwise("FAIL")
+    text = F.format_string(
+        "log\n=== WFA strategies.rule_%s.Rule / %s ===\nFolds: %s | OOS-Trades: %s | OOS-PF: %s | WFE-Median: %s | PF(2x): 1.1 | PF(3x): 1.0 | DSR: 0.5 | PBO: 0.25\n--- Gates (least) ---\n  [%s] trades\n  [%s] profit factor \nArtefakte: none\nERGEBNIS: %s\n",
+        "run_id", "symbol", F.col("folds").cast("string"), F.col("n").cast("string"), F.col("pf").cast("string"), F.col("wfe").cast("string"), state(F.col("n") >= 20), state(F.col("pf") >= 1.3), state(F.col("pf") >= 1.3),
+    )
+    return files.text_reports(m.select(text.alias("value"))).select("key", "symbol", "folds", "n_oos", "pf", "wfe_median", "gates_passed", "gates_total", "verdict")
+
+
 @query(
     "top05_catalog_order",
     with_views("trades") + """, r AS (SELECT run_id AS key, symbol, count(*) FILTER (WHERE pnl > 0) // 400 AS passed FROM trades GROUP BY 1, 2) SELECT key, symbol, nullif(passed, 0) AS passed FROM r ORDER BY nullif(passed, 0) DESC NULLS LAST, key, symbol""",

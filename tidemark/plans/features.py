@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as ind
-from tidemark.operators import profile, scan, structure
+from tidemark.operators import profile, rules, scan, structure
 from tidemark.operators.chunks import chunked
 from tidemark.plans import sqltext
 from tidemark.plans.sqltext import with_bars
@@ -346,6 +346,23 @@ def once_per_day(spark, d):
     return structure.first_of_day(flagged.where("direction IS NOT NULL"), "UTC").select("symbol", "ts", "direction")
 
 
+_REST = 180
+
+
+@query(
+    "evt10_cooldown",
+    with_bars(f"u AS (SELECT *, CASE WHEN count(*) OVER w = 20 THEN max(high) OVER w END AS upper, CASE WHEN count(*) OVER w = 20 THEN min(low) OVER w END AS lower FROM b WINDOW w AS {_frame(20, 1)})", "s AS (SELECT symbol, ts, CASE WHEN close > upper THEN 1 WHEN close < lower THEN -1 END AS direction FROM u)",
+              "h AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM s WHERE direction IS NOT NULL)",
+              f"c AS (SELECT symbol, n, ts, direction, ts AS taken FROM h WHERE n = 1 UNION ALL SELECT h.symbol, h.n, h.ts, h.direction, CASE WHEN h.ts >= c.taken + INTERVAL {_REST} MINUTE THEN h.ts ELSE c.taken END FROM c JOIN h ON h.symbol = c.symbol AND h.n = c.n + 1)")
+    + "SELECT symbol, ts, direction FROM c WHERE ts = taken",
+)
+def cooldown(spark, d):
+    upper, lower = ind.donchian(20)
+    flagged = views.bars(spark, d).withColumns({"u": upper, "l": lower}).withColumn("direction", F.when(F.col("close") > F.col("u"), 1).when(F.col("close") < F.col("l"), -1))
+    hits = flagged.where("direction IS NOT NULL").select(F.lit("channel").alias("rule"), "symbol", "ts", "direction", F.lit(_REST).cast("long").alias("rest"))
+    return rules.cooled(hits).select("symbol", "ts", "direction")
+
+
 # ---- volume profile -------------------------------------------------------------------------------------------------
 
 _BINS = """lim AS (SELECT symbol, CAST(ts AS DATE) AS day, low, high, tick_volume FROM b),

@@ -32,12 +32,13 @@ def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("mid"))
 
 
-def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Rows of a stream that reads all there is and stops."""
+def _finished(spark: SparkSession, stream: DataFrame, sink: str = "parquet") -> DataFrame:
+    """Rows of a stream that reads all there is and stops; sink is a file format."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    more = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"} if sink == "json" else {}
     folder = f"{shared}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    stream.writeStream.format(sink).options(**more).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.format(sink).options(**more).schema(stream.schema).load(f"{folder}/out")
 
 
 def _naive(df: DataFrame) -> DataFrame:
@@ -69,11 +70,23 @@ def sessions(spark, d):
     return _naive(_finished(spark, jobs.activity_sessions(_ticks(spark, d), 30)))
 
 
-@query("str05_fresh_signals", "SELECT DISTINCT event_type AS symbol, ts, CAST(user_id % 2 AS INT) AS direction, 'tick' AS type FROM events")
-def fresh(spark, d):
+_FRESH = "SELECT DISTINCT event_type AS symbol, ts, CAST(user_id % 2 AS INT) AS direction, 'tick' AS type FROM events"
+
+
+def _fresh(spark, d):
     events = _stream(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.pmod("user_id", F.lit(2)).cast("int").alias("direction"), F.lit("tick").alias("type"))
     doubled = events.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
-    return _naive(_finished(spark, jobs.fresh_signals(doubled)))
+    return jobs.fresh_signals(doubled)
+
+
+@query("str05_fresh_signals", _FRESH)
+def fresh(spark, d):
+    return _naive(_finished(spark, _fresh(spark, d)))
+
+
+@query("str10_signals_json", _FRESH)
+def signals_json(spark, d):
+    return _naive(_finished(spark, _fresh(spark, d), "json"))
 
 
 @query(

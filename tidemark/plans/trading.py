@@ -158,6 +158,33 @@ def break_even(spark, d):
     return outcomes.trailing_exit(found, outcomes.numbered(bars), 48, 4.0, 1.0)
 
 
+_CURVE = """fp AS (SELECT n.symbol, n.bk, sum((n.close - t.entry) * t.direction) AS f FROM nb n JOIN lr t ON t.symbol = n.symbol AND n.bk BETWEEN t.k + 1 AND t.k + t.bars_held - 1 GROUP BY 1, 2),
+rz AS (SELECT symbol, k + bars_held AS bk, sum((exit - entry) * direction) AS p FROM lr GROUP BY 1, 2),
+eb AS (SELECT n.symbol, n.bk AS k, n.ts + INTERVAL 60 MINUTE AS "at", round(2000 + sum(coalesce(p, 0)) OVER (PARTITION BY n.symbol ORDER BY n.bk), 4) AS balance, coalesce(f, 0) AS f FROM nb n LEFT JOIN rz ON rz.symbol = n.symbol AND rz.bk = n.bk LEFT JOIN fp ON fp.symbol = n.symbol AND fp.bk = n.bk),
+ec AS (SELECT symbol, k, "at", balance, round(balance + f, 4) AS equity FROM eb)"""
+
+
+def _curve(spark, d):
+    return ledger.equity_curve(_labelled(spark, d), outcomes.numbered(views.bars(spark, d)), 2000.0, 60)
+
+
+@query("out11_equity_curve", with_bars(*_FEATURES, _sql_signals("sig09"), _TOUCH, _CURVE) + 'SELECT symbol, k, "at", balance, round(equity, 3) AS equity FROM ec')
+def equity_curve(spark, d):
+    return _curve(spark, d).withColumn("equity", F.round("equity", 3))
+
+
+@query(
+    "out12_loss_limit_days",
+    with_bars(*_FEATURES, _sql_signals("sig09"), _TOUCH, _CURVE,
+              'dy AS (SELECT *, CAST("at" + INTERVAL 120 MINUTE AS DATE) AS day FROM ec)', 'de AS (SELECT symbol, day, arg_max(balance, "at") AS last FROM dy GROUP BY 1, 2)',
+              "op AS (SELECT symbol, day, coalesce(lag(last) OVER (PARTITION BY symbol ORDER BY day), 2000.0) AS opening FROM de)",
+              'lh AS (SELECT symbol, day, opening, min(CASE WHEN round(opening - equity - 0.05 * opening, 6) >= 0 THEN "at" END) AS daily_at, min(CASE WHEN round(2000 - equity - 200, 6) >= 0 THEN "at" END) AS overall_at FROM dy JOIN op USING (symbol, day) GROUP BY 1, 2, 3)')
+    + "SELECT *, bool_or(daily_at IS NOT NULL OR overall_at IS NOT NULL) OVER (PARTITION BY symbol ORDER BY day) AS breached FROM lh",
+)
+def loss_limit_days(spark, d):
+    return ledger.loss_limit_days(_curve(spark, d), 2000.0, 0.05, 0.1, 120)
+
+
 _PRICED = "pr AS (SELECT *, ((exit - direction * 0.1) - (entry + direction * 0.1)) * direction - 0.035 AS pnl FROM lr)"
 
 
