@@ -3,9 +3,11 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm.helpers import awkward, awkward_rows, empty
 from tidemark.llm import htmltext, imatch, langid, quality
@@ -93,6 +95,47 @@ def test_fingerprint_against_plain_python(spark, sf):
     assert all(len(g) == 1 for g in groups.values())
 
 
+def brute_signature(words, lexicon):
+    """Hash of the terms of each subset, in the order of their signed hashes."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    terms = sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)): w for w in words & lexicon}.items())
+    parts = []
+    for r, rate in enumerate(imatch.RATES):
+        first = xxhash.xxh64_intdigest(r.to_bytes(4, "little"), 42)
+        chosen = [h for h, w in terms if xxhash.xxh64_intdigest(w.encode(), first) % (1 << rate) == 0]
+        seed = 42
+        for h in chosen:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), seed)
+        parts.append(seed if chosen else None)
+    return parts
+
+
+def test_fingerprints_against_brute_force(spark, sf):
+    """Fingerprints of both texts, and both likenesses, of every document."""
+    rows = sorted((r.doc_id, r.text or "") for r in table(spark, sf, "documents").select("doc_id", "text").collect())
+    split = lambda t: {w for w in re.split(r"[^\w]+|_+", t.lower()) if w}
+    counts = Counter(w for _, t in rows for w in split(t))
+    lexicon = {w for w, n in counts.items() if max(2, 0.001 * len(rows)) <= n <= max(2, 0.25 * len(rows))}
+
+    def printed(text):
+        parts = brute_signature(split(text), lexicon)
+        whole = "w" + hashlib.sha256(text.encode()).hexdigest()[:16]
+        return parts, ".".join("-" if x is None else f"{x >> 32:08x}" for x in parts) if any(x is not None for x in parts) else whole
+
+    def alike(a, b):
+        used = [(x, y) for x, y in zip(a[0], b[0], strict=True) if x is not None or y is not None]
+        return 1.0 if a[1] == b[1] else sum(x == y for x, y in used) / len(used) if used else 0.0
+
+    own = [printed(t) for _, t in rows]
+    want = {}
+    for i, (key, text) in enumerate(rows):
+        after, half = (i + 1) % len(rows), len(text) // 2
+        changed = printed(text[: len(text) - half] + rows[after][1][:half])
+        want[key] = (own[i][1], changed[1], alike(own[i], changed), alike(own[i], own[after]))
+    found = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in op2_fingerprints(spark, sf).collect()}
+    assert found == want and any(0 < w[2] < 1 for w in want.values())
+
+
 def test_fingerprints_awkward(spark):
     rows = [r for r in awkward_rows() if r[0] not in (0, 3)]
     docs = spark.createDataFrame(rows, awkward(spark).schema)
@@ -257,3 +300,34 @@ def test_votes_recover_planted_classes():
     share, _, posterior = quality.fit_votes(list(Counter(map(tuple, votes.tolist())).items()))
     guess = np.array([posterior[tuple(v)] >= 0.5 for v in votes.tolist()])
     assert (guess == good).mean() > 0.98 and abs(share - 0.85) < 0.05
+
+
+def test_verdict_against_plain_em(spark, sf):
+    """Posterior and verdict of every document by expectation-maximisation over documents, not over vote patterns."""
+    measures = quality.measured(table(spark, sf, "documents")).cache()
+    votes = {r.doc_id: [r[f"v_{n}"] for n in quality.RULES] for r in measures.select("doc_id", *[v.alias(f"v_{n}") for n, v in quality._rules().items()]).collect()}
+    judged = {r.doc_id: r for r in quality.judged(measures).collect()}
+    model = [v for k, v in votes.items() if not judged[k].base_failed]
+    weight = quality.PRIOR_WEIGHT * max(len(model), 1)
+    share, rates = quality.PRIOR_GOOD, [[list(quality.PRIOR_RATES[k]) for k in (0, 1)] for _ in quality.RULES]
+
+    def good(vote):
+        a, b = share, 1 - share
+        for rule, v in enumerate(vote):
+            a, b = a * rates[rule][1][v + 1], b * rates[rule][0][v + 1]
+        return a / (a + b)
+
+    for turn in range(quality.ROUNDS + 1):
+        posterior = {k: good(v) for k, v in votes.items()}
+        p = [good(v) for v in model]
+        share = (weight * quality.PRIOR_GOOD + sum(p)) / (weight + len(model))
+        for rule in range(len(quality.RULES)):
+            for k in (0, 1):
+                seen = [weight * q for q in quality.PRIOR_RATES[k]]
+                for v, x in zip(model, p, strict=True):
+                    seen[v[rule] + 1] += x if k else 1 - x
+                rates[rule][k] = [x / sum(seen) for x in seen]
+            rates[rule][1][0] = min(rates[rule][1][0], quality.MOST_FALSE)
+    assert {k: r.quality_probability for k, r in judged.items()} == pytest.approx(posterior, abs=1e-6)
+    assert {k: r.kept for k, r in judged.items()} == {k: bool(posterior[k] >= 0.5 and not r.base_failed) for k, r in judged.items()}
+    assert {r.kept for r in judged.values()} == {True, False}
