@@ -19,7 +19,7 @@ are shingled whole and are a block of their own; an empty table stays empty; ext
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,18 +104,34 @@ def similarity_to(one: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.nda
     return common / (len(one) + size - common)
 
 
-def links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+#: Made from sorted sets; called with a place and a mask of places, gives those of the mask that may be linked to it.
+Near = Callable[[int, np.ndarray], np.ndarray]
+
+
+def by_bits(sets: list[np.ndarray]) -> Near:
+    """Fingerprints within RADIUS bits, compared bit-sliced."""
+    prints = np.array([set_fingerprint(s) for s in sets], np.uint64)
+    sliced = planes(prints)
+    bit = np.arange(64, dtype=np.uint64)
+
+    def near(i: int, live: np.ndarray) -> np.ndarray:
+        own = np.where(prints[i] >> bit & np.uint64(1), ~np.uint64(0), np.uint64(0))
+        found = within(sliced, np.broadcast_to(own[:, None], sliced.shape), lanes(live, sliced.shape[1]), RADIUS)
+        return np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
+
+    return near
+
+
+def links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, sketch: Callable[[list[np.ndarray]], Near] = by_bits) -> Iterator[tuple[int, int]]:
     """Edges that connect exactly what is linked at the similarity among sorted sets.
 
     Breadth first: a node is only held against those not reached yet whose sizes, whose distances to the first node of the
-    search and whose fingerprints, compared bit-sliced, leave the limit within reach.
+    search and whose sketches leave the limit within reach.
     """
     n = len(sets)
     size, flat = np.array([len(s) for s in sets], np.int64), np.concatenate(sets) if n else np.zeros(0, np.uint64)
     start = np.r_[0, np.cumsum(size)]
-    prints = np.array([set_fingerprint(s) for s in sets], np.uint64)
-    sliced = planes(prints)
-    bit = np.arange(64, dtype=np.uint64)
+    near = sketch(sets)
     open_ = size > 0
 
     def like(i: int, others: np.ndarray) -> np.ndarray:
@@ -123,12 +139,6 @@ def links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILAR
         at = np.arange(parts[-1]) + np.repeat(start[others] - parts[:-1], size[others])
         return similarity_to(sets[i], flat[at], size[others])
 
-    def near(i: int, live: np.ndarray) -> np.ndarray:
-        """Members of live within RADIUS bits of i."""
-        own = np.where(prints[i] >> bit & np.uint64(1), ~np.uint64(0), np.uint64(0))
-        found = within(sliced, np.broadcast_to(own[:, None], sliced.shape), lanes(live, sliced.shape[1]), RADIUS)
-        return np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
-
     while open_.any():
         first = int(np.flatnonzero(open_)[0])
         open_[first] = False
@@ -159,9 +169,8 @@ def _groups(marked: DataFrame) -> DataFrame:
     return components(keyed.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v"))
 
 
-def _edges(docs: DataFrame, marked: DataFrame, text: str, similarity: float) -> DataFrame:
-    """Edges (u, v) of the verified links."""
-    groups = saved(marked.groupBy("node").agg(F.min("mark").alias("mark"), F.max("shingles").alias("shingles")).join(_groups(marked), "node"))
+def verified_edges(docs: DataFrame, groups: DataFrame, text: str, similarity: float, shingle: int = SHINGLE, sketch: Callable[[list[np.ndarray]], Near] = by_bits) -> DataFrame:
+    """Edges (u, v) of the verified links inside candidate groups (node, mark, shingles, root); groups is used many times."""
     parts = lambda df: df.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("blocks"))
     texts = docs.select(F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
     wanted = groups.join(parts(groups), "root")
@@ -169,7 +178,7 @@ def _edges(docs: DataFrame, marked: DataFrame, text: str, similarity: float) ->
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("simhash")
         for batch in batches:
-            found = [shingles(v.as_py() or "").view(np.int64) for v in batch.column(3)]
+            found = [shingles(v.as_py() or "", shingle).view(np.int64) for v in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["root", "node", "blocks", "marks"])
 
     sets = stored(texts.join(wanted, "mark").select("root", "node", "blocks", "text").mapInArrow(hashed, "root long, node long, blocks long, marks array<long>"))
@@ -196,7 +205,7 @@ def _edges(docs: DataFrame, marked: DataFrame, text: str, similarity: float) ->
 
     def verified(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.drop_duplicates("node")
-        found = list(links(one["node"].to_numpy(), [np.asarray(m).view(np.uint64) for m in one["marks"]], similarity))
+        found = list(links(one["node"].to_numpy(), [np.asarray(m).view(np.uint64) for m in one["marks"]], similarity, sketch))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return tasks.groupBy("root", "i", "j").applyInPandas(verified, "u long, v long").union(led)
@@ -205,6 +214,7 @@ def _edges(docs: DataFrame, marked: DataFrame, text: str, similarity: float) ->
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest key, chosen as in simhash.keep_first."""
     marked = saved(_sets(docs, text, key))
-    roots = components(_edges(docs, marked, text, similarity)).withColumnRenamed("node", "__node")
+    groups = saved(marked.groupBy("node").agg(F.min("mark").alias("mark"), F.max("shingles").alias("shingles")).join(_groups(marked), "node"))
+    roots = components(verified_edges(docs, groups, text, similarity)).withColumnRenamed("node", "__node")
     placed = marked.join(roots, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
     return keep_winners(docs, placed.select(key, "mark", "root"), text, key)

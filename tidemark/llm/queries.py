@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, htmltext, imatch, langid, linededup, packing, quality, simhash, suffix, tokencount
+from tidemark.llm import bpe, htmltext, imatch, importance, langid, linededup, packing, quality, repair, setsketch, simhash, suffix, tokencount
 from tidemark.llm.common import saved, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -84,8 +84,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(measures).select(*wanted)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    return repair.digest(repair.damaged(talk), talk)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    names = [op1_language_id, op2_fingerprints, op3_html_text, op4_line_dedup, op5_packing, op6_suffix_dedup, op7_byte_bpe, op8_token_counts, op9_simhash, op10_quality_rules]
+    names = [op1_language_id, op2_fingerprints, op3_html_text, op4_line_dedup, op5_packing, op6_suffix_dedup, op7_byte_bpe, op8_token_counts, op9_simhash, op10_quality_rules, op11_conversation_repair, op12_importance_resampling, op13_setsketch]
     return {f.__name__: f for f in names}
 
 
