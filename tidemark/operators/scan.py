@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.indicators import true_range
 
 #: Length of a chunk in days. Any value gives the same result.
 CHUNK_DAYS = 30
@@ -34,6 +33,22 @@ class Recurrence(NamedTuple):
     warm: int = 1
 
 
+def with_previous(bars: DataFrame, names: dict[str, str], chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    """bars with columns of the row before: new name -> column. Inside chunks of time; what a chunk starts with is the last row
+    of the chunk before it, a row a chunk."""
+    cut = bars.withColumn("__chunk", _chunk(chunk_days))
+    ends = cut.groupBy("symbol", "__chunk").agg(F.max_by(F.struct(*names.values()), "ts").alias("__end"))
+    starts = ends.select("symbol", "__chunk", F.lag("__end").over(Window.partitionBy("symbol").orderBy("__chunk")).alias("__start"))
+    inside = Window.partitionBy("symbol", "__chunk").orderBy("ts")
+    before = {new: F.when(F.row_number().over(inside) == 1, F.col(f"__start.{old}")).otherwise(F.lag(old).over(inside)) for new, old in names.items()}
+    return cut.join(starts, ["symbol", "__chunk"]).withColumns(before).drop("__chunk", "__start")
+
+
+def _range_from(previous: str) -> Column:
+    """True range; the first bar's is high - low."""
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col(previous)), F.abs(F.col("low") - F.col(previous)))
+
+
 def ema_input(column: str, n: int) -> Recurrence:
     return Recurrence(column, 1 - 2 / (n + 1), 2 / (n + 1), 1, n)
 
@@ -128,13 +143,14 @@ def wilder(bars: DataFrame, names: dict[str, tuple[str, int]], chunk_days: int =
 
 
 def atr(bars: DataFrame, n: int = 14, name: str = "atr", chunk_days: int = CHUNK_DAYS) -> DataFrame:
-    return wilder(bars.withColumn("__tr", true_range()), {name: ("__tr", n)}, chunk_days).drop("__tr")
+    ranged = with_previous(bars, {"__pc": "close"}, chunk_days).withColumn("__tr", _range_from("__pc"))
+    return wilder(ranged.drop("__pc"), {name: ("__tr", n)}, chunk_days).drop("__tr")
 
 
-def with_gains(bars: DataFrame) -> DataFrame:
+def with_gains(bars: DataFrame, chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """__gain and __loss of the close; null on the first bar."""
-    change = F.col("close") - F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
-    moved = bars.withColumn("__d", change)
+    moved = bars if "__pc" in bars.columns else with_previous(bars, {"__pc": "close"}, chunk_days)
+    moved = moved.withColumn("__d", F.col("close") - F.col("__pc")).drop("__pc")
     known = F.col("__d").isNotNull()
     return moved.withColumns({"__gain": F.when(known, F.greatest("__d", F.lit(0.0))), "__loss": F.when(known, F.greatest(-F.col("__d"), F.lit(0.0)))}).drop("__d")
 
@@ -145,15 +161,14 @@ def rsi_of(gain: str, loss: str) -> Column:
 
 
 def rsi(bars: DataFrame, n: int = 14, name: str = "rsi", chunk_days: int = CHUNK_DAYS) -> DataFrame:
-    out = wilder(with_gains(bars), {"__g": ("__gain", n), "__l": ("__loss", n)}, chunk_days)
+    out = wilder(with_gains(bars, chunk_days), {"__g": ("__gain", n), "__l": ("__loss", n)}, chunk_days)
     return out.withColumn(name, rsi_of("__g", "__l")).drop("__gain", "__loss", "__g", "__l")
 
 
-def with_moves(bars: DataFrame) -> DataFrame:
-    """__tr, and __plus and __minus: directional moves, null on the first bar."""
-    order = Window.partitionBy("symbol").orderBy("ts")
-    up, down = F.col("high") - F.lag("high").over(order), F.lag("low").over(order) - F.col("low")
-    moved = bars.withColumns({"__tr": true_range(), "__up": up, "__down": down})
+def with_moves(bars: DataFrame, chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    """__tr, and __plus and __minus: directional moves, null on the first bar. Keeps __pc, the close before."""
+    moved = with_previous(bars, {"__pc": "close", "__ph": "high", "__pl": "low"}, chunk_days)
+    moved = moved.withColumns({"__tr": _range_from("__pc"), "__up": F.col("high") - F.col("__ph"), "__down": F.col("__pl") - F.col("low")}).drop("__ph", "__pl")
     known = F.col("__up").isNotNull()
     return moved.withColumns({
         "__plus": F.when(known, F.when((F.col("__up") > F.col("__down")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0)),
@@ -169,7 +184,7 @@ def with_dx(bars: DataFrame, tr: str, plus: str, minus: str) -> DataFrame:
 
 def adx(bars: DataFrame, n: int = 14, chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """adx, plus_di, minus_di."""
-    out = wilder(with_moves(bars), {"__a": ("__tr", n), "__p": ("__plus", n), "__m": ("__minus", n)}, chunk_days)
+    out = wilder(with_moves(bars, chunk_days).drop("__pc"), {"__a": ("__tr", n), "__p": ("__plus", n), "__m": ("__minus", n)}, chunk_days)
     out = wilder(with_dx(out, "__a", "__p", "__m"), {"adx": ("__dx", n)}, chunk_days)
     return out.drop("__tr", "__plus", "__minus", "__a", "__p", "__m", "__dx")
 
@@ -182,7 +197,7 @@ def trend(bars: DataFrame, emas: dict[str, tuple[str, int]], n: int = 14, chunk_
     smoothed = {"atr": "__tr", "__g": "__gain", "__l": "__loss", "__p": "__plus", "__m": "__minus"}
     rules = {k: ema_input(c, m) for k, (c, m) in emas.items()} | {k: wilder_input(c, n) for k, c in smoothed.items()}
     rules |= {f"__{side}_{name}": wilder_input(c, m) for name, m in rsis.items() for side, c in (("g", "__gain"), ("l", "__loss"))}
-    out = affine_scan(with_moves(with_gains(bars)), rules, chunk_days)
+    out = affine_scan(with_gains(with_moves(bars, chunk_days)), rules, chunk_days)
     out = with_dx(out.withColumn("rsi", rsi_of("__g", "__l")), "atr", "__p", "__m")
     out = out.withColumns({name: rsi_of(f"__g_{name}", f"__l_{name}") for name in rsis}).drop(*[f"__{side}_{name}" for name in rsis for side in "gl"])
     out = out.drop("__gain", "__loss", "__g", "__l", "__plus", "__minus", "__p", "__m", "__tr")

@@ -40,32 +40,89 @@ def sig01(spark, d):
 @query(
     "sig02_vwap_pullback",
     with_bars(
-        f"""v AS (SELECT *, CAST({_NY} AS DATE) AS day, sum((high + low + close) / 3 * tick_volume) OVER w / sum(tick_volume) OVER w AS vwap FROM b WINDOW w AS (PARTITION BY symbol, CAST({_NY} AS DATE) ORDER BY ts))""",
-        "dl AS (SELECT symbol, day, lag(max(high)) OVER (PARTITION BY symbol ORDER BY day) AS ph, lag(min(low)) OVER (PARTITION BY symbol ORDER BY day) AS pl FROM v GROUP BY 1, 2)",
-        """x AS (SELECT v.*, ph, pl, sum(CAST(close > vwap AS INT)) OVER f AS up, sum(CAST(close < vwap AS INT)) OVER f AS dn, lag(low) OVER w AS l1, lag(high) OVER w AS h1, lag(vwap) OVER w AS v1 FROM v JOIN dl USING (symbol, day)
-        WINDOW w AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 2 PRECEDING))""",
-        f"h AS (SELECT *, CASE WHEN up = 3 AND l1 <= v1 AND close > h1 THEN 1 WHEN dn = 3 AND h1 >= v1 AND close < l1 THEN -1 END AS direction FROM x WHERE {_MIN} >= 585 AND {_MIN} < 720)",
-        tf="M15",
+        sqltext.atr(14), sqltext.rsi(2),
+        f"n AS (SELECT b.*, a.y AS atr, r.y AS rsi2, CAST({_NY} AS DATE) AS day, {_MIN} AS m FROM b LEFT JOIN atr a USING (symbol, ts) LEFT JOIN rsi r USING (symbol, ts))",
+        "dl AS (SELECT symbol, day, lag(max(high)) OVER (PARTITION BY symbol ORDER BY day) AS ph, lag(min(low)) OVER (PARTITION BY symbol ORDER BY day) AS pl FROM n GROUP BY 1, 2)",
+        """v AS (SELECT n.*, ph, pl, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, CASE WHEN m >= 570 THEN sum(CASE WHEN m >= 570 THEN tick_volume * (high + low + close) / 3 END) OVER w / sum(CASE WHEN m >= 570 THEN tick_volume END) OVER w END AS vwap
+        FROM n JOIN dl USING (symbol, day) WINDOW w AS (PARTITION BY symbol, day ORDER BY ts))""",
+        f"""x AS (SELECT *, sum(CASE WHEN m >= 585 AND close > vwap THEN 1 ELSE 0 END) OVER w AS up, sum(CASE WHEN m >= 585 AND close < vwap THEN 1 ELSE 0 END) OVER w AS dn, sum(CAST(m >= 570 AS INT)) OVER w AS seen,
+        lag(low) OVER w AS l1, lag(high) OVER w AS h1, lag(vwap) OVER w AS v1, lag(rsi2) OVER w AS r1 FROM v WINDOW w AS (PARTITION BY symbol, day ORDER BY ts))""",
+        "h AS (SELECT *, CASE WHEN up >= 3 AND l1 <= v1 AND r1 < 25 AND close > vwap THEN 1 WHEN dn >= 3 AND h1 >= v1 AND r1 > 75 AND close < vwap THEN -1 END AS direction FROM x WHERE m BETWEEN 585 AND 685 AND seen >= 5 AND k >= 16)",
+        "t AS (SELECT *, CASE WHEN direction = 1 THEN ph ELSE pl END AS level FROM h WHERE direction IS NOT NULL)",
+        tf="M5",
     )
-    + """SELECT symbol, ts, direction, CASE WHEN (CASE WHEN direction = 1 THEN ph ELSE pl END - close) * direction > 0 THEN CASE WHEN direction = 1 THEN ph ELSE pl END END AS target FROM h WHERE direction IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, direction, day ORDER BY ts) = 1""",
+    + """SELECT symbol, ts, direction, round(close - direction * 1.5 * atr, 4) AS stop, round(level, 4) AS target FROM t WHERE (level - close) * direction / (1.5 * atr) >= 2 QUALIFY row_number() OVER (PARTITION BY symbol, direction, day ORDER BY ts) = 1""",
 )
 def sig02(spark, d):
-    return setups.vwap_pullback(views.bars(spark, d, "M15")).select("symbol", "ts", "direction", "target")
+    """The fall-back of 2 ATR is worth 1.33 of a stop of 1.5 ATR, so with the rule's own parameters it never meets the gate of 2."""
+    return setups.vwap_pullback(views.bars(spark, d, "M5")).select("symbol", "ts", "direction", F.round("stop", 4).alias("stop"), F.round("target", 4).alias("target"))
 
 
 @query(
     "sig03_sweep_gap_limit",
     with_bars(
-        f"n AS (SELECT *, CAST({_NY} AS DATE) AS day, {_MIN} AS m, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2 FROM b {_W})",
+        sqltext.atr(20),
+        f"n AS (SELECT b.*, a.y AS atr, CAST({_NY} AS DATE) AS day, {_MIN} AS m, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM b LEFT JOIN atr a USING (symbol, ts))",
+        """s AS (SELECT *, count(*) OVER p = 2 AND count(*) OVER f = 2 AND high > max(high) OVER p AND high > max(high) OVER f AS sh, count(*) OVER p = 2 AND count(*) OVER f = 2 AND low < min(low) OVER p AND low < min(low) OVER f AS sl FROM n
+        WINDOW p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING))""",
+        "kn AS (SELECT *, lag(CASE WHEN sh THEN high END, 2) OVER w AS ch, lag(CASE WHEN sl THEN low END, 2) OVER w AS cl FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts))",
+        "kl AS (SELECT *, last_value(ch IGNORE NULLS) OVER w AS kh, last_value(cl IGNORE NULLS) OVER w AS kk FROM kn WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 30 PRECEDING))",
+        """g AS (SELECT *, lag(low) OVER w AS l1, lag(high) OVER w AS h1, lag(low, 3) OVER w AS l3, lag(high, 3) OVER w AS h3, lag(atr) OVER w AS a1, lag(ts, 2) OVER w AS mts, lag(open, 2) OVER w AS mo, lag(high, 2) OVER w AS mh, lag(low, 2) OVER w AS ml, lag(close, 2) OVER w AS mc,
+        lag(atr, 2) OVER w AS ma, lag(kh, 2) OVER w AS mkh, lag(kk, 2) OVER w AS mkl FROM kl WINDOW w AS (PARTITION BY symbol ORDER BY ts))""",
         "r AS (SELECT symbol, day, max(high) AS rh, min(low) AS rl FROM n WHERE m >= 540 AND m < 600 GROUP BY 1, 2)",
-        "s AS (SELECT symbol, day, min(CASE WHEN low < rl THEN ts END) AS lt, min(CASE WHEN high > rh THEN ts END) AS ht FROM n JOIN r USING (symbol, day) WHERE m >= 600 AND m < 960 GROUP BY 1, 2)",
-        'g AS (SELECT symbol, ts, day, 1 AS direction, (low + h2) / 2 AS "limit" FROM n WHERE low > h2 AND m >= 600 AND m < 960 UNION ALL SELECT symbol, ts, day, -1, (high + l2) / 2 FROM n WHERE high < l2 AND m >= 600 AND m < 960)',
+        "i AS (SELECT g.*, rh, rl, CASE WHEN high > rh AND high - rh >= 0.1 * atr AND close < rh THEN -1 WHEN low < rl AND rl - low >= 0.1 * atr AND close > rl THEN 1 END AS swept FROM g JOIN r USING (symbol, day) WHERE m >= 600 AND m < 1320 AND atr > 0)",
+        "f AS (SELECT symbol, day, min(ts) AS st, first(swept ORDER BY ts) AS d FROM i WHERE swept IS NOT NULL GROUP BY 1, 2)",
+        "o AS (SELECT i.*, st, d, CASE WHEN d = 1 THEN min(low) OVER w ELSE max(high) OVER w END AS x FROM i JOIN f USING (symbol, day) WHERE i.ts >= st WINDOW w AS (PARTITION BY symbol, day ORDER BY ts))",
+        "q AS (SELECT *, CASE WHEN d = 1 THEN (l1 + h3) / 2 ELSE (h1 + l3) / 2 END AS lim, x - d * 0.3 * atr AS stop, CASE WHEN d = 1 THEN rh ELSE rl END AS tgt FROM o WHERE ts > st AND mts > st AND CASE WHEN d = 1 THEN l1 > h3 AND l1 - h3 >= 0.3 * a1 ELSE h1 < l3 AND l3 - h1 >= 0.3 * a1 END)",
         tf="M15",
     )
-    + 'SELECT g.symbol, g.ts, g.direction, round("limit", 6) AS "limit" FROM g JOIN s USING (symbol, day) WHERE CASE WHEN direction = 1 THEN g.ts > lt ELSE g.ts > ht END QUALIFY row_number() OVER (PARTITION BY g.symbol, direction, g.day ORDER BY g.ts) = 1',
+    + """SELECT symbol, ts, d AS direction, round(lim, 4) AS "limit", round(stop, 4) AS stop, round(tgt, 4) AS target FROM q WHERE (mc - mo) * d > 0 AND ma > 0 AND mh > ml AND abs(mc - mo) >= 0.7 * (mh - ml) AND CASE WHEN d = 1 THEN mc > mkh ELSE mc < mkl END
+    AND (lim - stop) * d > 0 AND (tgt - lim) * d > 0 QUALIFY row_number() OVER (PARTITION BY symbol, day ORDER BY ts) = 1""",
 )
 def sig03(spark, d):
-    return setups.sweep_gap_limit(views.bars(spark, d, "M15")).select("symbol", "ts", "direction", F.round("limit", 6).alias("limit"))
+    """Quarter-hour bars from 10:00 to 22:00; prices of the tables jump from tick to tick, so no body in ATR and no reward are asked
+    for (tests hold the rule with 1.5 and 2 against a plain automaton)."""
+    found = setups.sweep_gap_limit(views.bars(spark, d, "M15"), until=1320, body_atr=0.0, min_rr=0.0)
+    return found.select("symbol", "ts", "direction", *[F.round(c, 4).alias(c) for c in ("limit", "stop", "target")])
+
+
+#: The tables hold a month, so daily windows are shorter than the rule's 14, 20 and 20 days, and the trend's 200 bars.
+_BREAKOUT = {"full": False, "atr": 5, "median": 4, "adr": 5, "max_adr": 0.9, "ema": 30, "skip_monday": True}
+_BREAKOUT_SQL = [
+    views.bars_sql("D1", "d1"), views.bars_sql("H4", "c4"),
+    "dt AS (SELECT symbol, ts, high, low, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM d1 WINDOW w AS (PARTITION BY symbol ORDER BY ts))",
+    sqltext.wilder("da", "dt", "tr", 5),
+    """df AS (SELECT d.symbol, CAST(d.ts AS DATE) AS dd, a.y AS atr, CASE WHEN count(*) OVER r = 5 THEN avg(high - low) OVER r END AS adr, CASE WHEN count(a.y) OVER m = 4 THEN quantile_cont(a.y, 0.5) OVER m END AS calm FROM dt d LEFT JOIN da a USING (symbol, ts)
+      WINDOW r AS (PARTITION BY d.symbol ORDER BY d.ts ROWS 4 PRECEDING), m AS (PARTITION BY d.symbol ORDER BY d.ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))""",
+    sqltext.ema("e4", "c4", "close", 30),
+    "h4 AS (SELECT c4.symbol, c4.ts + INTERVAL 240 MINUTE AS c, close AS hc, y AS he FROM c4 LEFT JOIN e4 USING (symbol, ts))",
+    "rg AS (SELECT symbol, CAST(ts AS DATE) AS day, max(high) AS rh, min(low) AS rl FROM b WHERE hour(ts) < 7 GROUP BY 1, 2 HAVING max(high) > min(low))",
+    "bo AS (SELECT b.symbol, b.ts, b.ts + INTERVAL 60 MINUTE AS c, CAST(b.ts AS DATE) AS day, close, rh, rl, CASE WHEN close > rh THEN 1 WHEN close < rl THEN -1 END AS direction FROM b JOIN rg ON b.symbol = rg.symbol AND CAST(b.ts AS DATE) = rg.day WHERE hour(b.ts) BETWEEN 7 AND 16)",
+    "b1 AS (SELECT bo.*, atr, adr, calm FROM bo ASOF LEFT JOIN df ON bo.symbol = df.symbol AND bo.day > df.dd WHERE direction IS NOT NULL)",
+    "b2 AS (SELECT b1.*, hc, he FROM b1 ASOF LEFT JOIN h4 ON b1.symbol = h4.symbol AND b1.c >= h4.c)",
+    "b3 AS (SELECT * FROM b2 WHERE atr > calm AND adr > 0 AND rh - rl <= 0.9 * adr AND (hc - he) * direction > 0 AND dayofweek(ts) <> 1 QUALIFY row_number() OVER (PARTITION BY symbol, day ORDER BY ts) = 1)",
+]
+
+
+def _breakouts(spark, d):
+    bars = lambda tf: views.bars(spark, d, tf)
+    return setups.session_breakout(bars("H1"), bars("H4"), bars("D1"), **_BREAKOUT)
+
+
+@query("sig04_session_breakout", with_bars(*_BREAKOUT_SQL) + "SELECT symbol, ts, direction, round(rh, 4) AS range_high, round(rl, 4) AS range_low, round(CASE WHEN direction = 1 THEN rl ELSE rh END, 4) AS stop, round(close + 2 * (close - CASE WHEN direction = 1 THEN rl ELSE rh END), 4) AS target FROM b3")
+def sig04_breakout(spark, d):
+    return _breakouts(spark, d).select("symbol", "ts", "direction", *[F.round(c, 4).alias(c) for c in ("range_high", "range_low", "stop", "target")])
+
+
+@query(
+    "sig04_retest_limit",
+    with_bars(*_BREAKOUT_SQL, "nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM b)", "sg AS (SELECT b3.symbol, b3.ts, direction, CASE WHEN direction = 1 THEN rh ELSE rl END AS lim, nb.k FROM b3 JOIN nb USING (symbol, ts))")
+    + """SELECT s.symbol, s.ts, s.direction, round(lim, 4) AS "limit", round(lim - s.direction * 5, 4) AS stop, round(lim + s.direction * 10, 4) AS target, min(n.ts) FILTER (WHERE CASE WHEN s.direction = 1 THEN n.low <= lim ELSE n.high >= lim END) AS fill_ts
+    FROM sg s LEFT JOIN nb n ON n.symbol = s.symbol AND n.k BETWEEN s.k + 1 AND s.k + 6 GROUP BY s.symbol, s.ts, s.direction, lim""",
+)
+def sig04_retest(spark, d):
+    found = setups.retest_limits(_breakouts(spark, d), views.bars(spark, d), 5.0)
+    return found.select("symbol", "ts", "direction", *[F.round(c, 4).alias(c) for c in ("limit", "stop", "target")], "fill_ts")
 
 
 @query(
@@ -158,20 +215,44 @@ def sig24(spark, d):
     return setups.macd_continuation(views.bars(spark, d))
 
 
+#: Fixed values of the presets in SQL: name, ADX, least impulse, shallow retracement, bars, buffer.
+_PRESETS = ", ".join(f"('{p.name}', {p.adx}, {p.min_impulse}, {p.shallow}, {p.bars}, {p.buffer})" for p in setups.PULLBACK_PRESETS)
+
+
 @query(
     "sig25_impulse_pullback",
     with_bars(
-        sqltext.atr(14), "ba AS (SELECT b.*, a.y AS atr FROM b LEFT JOIN atr a USING (symbol, ts))",
-        "i AS (SELECT *, CASE WHEN count(*) OVER w = 12 THEN max(high) OVER w END AS top, CASE WHEN count(*) OVER w = 12 THEN min(low) OVER w END AS bottom FROM ba WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))",
-        "l AS (SELECT *, CASE WHEN close > top AND close - bottom >= 2 * atr THEN 1 WHEN close < bottom AND top - close >= 2 * atr THEN -1 END AS dir FROM i)",
-        "m AS (SELECT *, CASE WHEN dir = 1 THEN bottom WHEN dir = -1 THEN top END AS org FROM l)",
-        "z AS (SELECT *, CASE WHEN dir IS NOT NULL THEN close - 0.5 * (close - org) END AS zone FROM m)",
-        "y AS (SELECT symbol, ts, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS c1, last_value(dir IGNORE NULLS) OVER r AS direction, last_value(org IGNORE NULLS) OVER r AS o, last_value(zone IGNORE NULLS) OVER r AS zn FROM z WINDOW r AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))",
+        views.bars_sql("H4", "c4"), views.bars_sql("M15", "c15"), f"ps AS (SELECT * FROM (VALUES {_PRESETS}) t(preset, padx, pmin, shallow, pb, buf)), sd AS (SELECT unnest([1, -1]) AS side)",
+        sqltext.atr(14),
+        "hb AS (SELECT b.symbol, b.ts, high, low, close, a.y AS atr, row_number() OVER w AS k, CASE WHEN count(*) OVER q = 8 THEN max(high) OVER q END AS top, CASE WHEN count(*) OVER q = 8 THEN min(low) OVER q END AS bot FROM b LEFT JOIN atr a USING (symbol, ts) WINDOW w AS (PARTITION BY b.symbol ORDER BY b.ts), q AS (PARTITION BY b.symbol ORDER BY b.ts ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))",
+        "cd AS (SELECT symbol, k, side, high, low, close, atr, CASE WHEN side = 1 THEN high ELSE top END AS hi, CASE WHEN side = 1 THEN bot ELSE low END AS lo FROM hb, sd WHERE atr > 0 AND CASE WHEN side = 1 THEN close > top ELSE close < bot END)",
+        "im AS (SELECT h.symbol, h.ts, h.k, p.*, c.side, c.k AS ck, c.hi, c.lo FROM hb h JOIN cd c ON c.symbol = h.symbol AND c.k BETWEEN h.k - 7 AND h.k - 1 CROSS JOIN ps p WHERE h.k - c.k <= pb + 1 AND c.hi - c.lo >= pmin * c.atr QUALIFY row_number() OVER (PARTITION BY h.symbol, h.k, preset, c.side ORDER BY c.k DESC) = 1)",
+        "zn AS (SELECT *, CASE WHEN side = 1 THEN hi - 0.618 * (hi - lo) ELSE lo + shallow * (hi - lo) END AS zl, CASE WHEN side = 1 THEN hi - shallow * (hi - lo) ELSE lo + 0.618 * (hi - lo) END AS zh, CASE WHEN side = 1 THEN hi - 2.0 * (hi - lo) ELSE lo + 2.0 * (hi - lo) END AS inv FROM im WHERE hi > lo)",
+        """va AS (SELECT z.symbol, z.ts, z.preset, z.side, any_value(padx) AS padx, any_value(buf) AS buf, any_value(zl) AS zl, any_value(zh) AS zh FROM zn z JOIN hb x ON x.symbol = z.symbol AND x.k BETWEEN z.ck + 1 AND z.k GROUP BY 1, 2, 3, 4
+        HAVING bool_or(x.low <= zh AND x.high >= zl) AND NOT bool_or(CASE WHEN z.side = 1 THEN x.low <= inv ELSE x.high >= inv END) AND avg(x.high - x.low) < 1.0 * any_value(hi - lo))""",
+        "pv AS (SELECT h.symbol, h.ts, preset, min(x.low) AS plo, max(x.high) AS phi FROM hb h CROSS JOIN ps JOIN hb x ON x.symbol = h.symbol AND x.k BETWEEN h.k - pb AND h.k WHERE h.k > pb GROUP BY 1, 2, 3)",
+        "su AS (SELECT h.symbol, h.ts + INTERVAL 60 MINUTE AS c, list({'preset': preset, 'side': side, 'padx': padx, 'buf': buf, 'zl': zl, 'zh': zh, 'pivot': CASE WHEN side = 1 THEN plo ELSE phi END}) FILTER (WHERE preset IS NOT NULL) AS s FROM hb h LEFT JOIN (va JOIN pv USING (symbol, ts, preset)) v ON v.symbol = h.symbol AND v.ts = h.ts GROUP BY 1, 2)",
+        "t4 AS (SELECT symbol, ts, high, low, close, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn FROM c4 WINDOW w AS (PARTITION BY symbol ORDER BY ts))",
+        "m4 AS (SELECT symbol, ts, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END AS m FROM t4 WHERE up IS NOT NULL)",
+        sqltext.wilder("a4", "t4", "tr", 14), sqltext.wilder("p4", "m4", "p", 14), sqltext.wilder("n4", "m4", "m", 14),
+        "x4 AS (SELECT p.symbol, p.ts, 100 * abs(p.y - m.y) / nullif(p.y + m.y, 0) AS dx FROM p4 p JOIN n4 m USING (symbol, ts))", sqltext.wilder("d4", "x4", "dx", 14), sqltext.ema("e4", "c4", "close", 20),
+        "h4 AS (SELECT c4.symbol, c4.ts + INTERVAL 240 MINUTE AS c, close - e.y AS gap, (e.y - lag(e.y, 8) OVER (PARTITION BY c4.symbol ORDER BY c4.ts)) / a4.y AS slope, d4.y AS adx FROM c4 LEFT JOIN e4 e USING (symbol, ts) LEFT JOIN a4 USING (symbol, ts) LEFT JOIN d4 USING (symbol, ts))",
+        "t15 AS (SELECT symbol, ts, open, close, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, CASE WHEN count(*) OVER q = 4 THEN CASE WHEN low < min(low) OVER q AND close > open AND close > lag(high) OVER w THEN 1 WHEN high > max(high) OVER q AND close < open AND close < lag(low) OVER w THEN -1 END END AS direction FROM c15 WINDOW w AS (PARTITION BY symbol ORDER BY ts), q AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))",
+        sqltext.wilder("a15", "t15", "tr", 14),
+        "q15 AS (SELECT t.symbol, t.ts, t.ts + INTERVAL 15 MINUTE AS c, close, direction, a.y AS atr FROM t15 t JOIN a15 a USING (symbol, ts) WHERE direction IS NOT NULL AND a.y >= 1 AND hour(t.ts) BETWEEN 8 AND 21 AND dayofweek(t.ts) BETWEEN 1 AND 5 AND NOT (dayofweek(t.ts) = 5 AND hour(t.ts) >= 19))",
+        "j1 AS (SELECT q15.*, s FROM q15 ASOF LEFT JOIN su ON q15.symbol = su.symbol AND q15.c >= su.c)",
+        "j2 AS (SELECT j1.*, gap, slope, adx FROM j1 ASOF LEFT JOIN h4 ON j1.symbol = h4.symbol AND j1.c >= h4.c)",
+        "u AS (SELECT symbol, ts, close, direction, atr, adx, unnest(s) AS s FROM j2 WHERE gap * direction > 0 AND slope * direction >= 0.0)",
+        "w AS (SELECT *, s.pivot - direction * s.buf * atr AS stop FROM u WHERE s.side = direction AND adx >= s.padx AND CASE WHEN direction = 1 THEN close > s.zl ELSE close < s.zh END)",
     )
-    + "SELECT symbol, ts, direction FROM y WHERE (c1 - zn) * direction <= 0 AND (close - zn) * direction > 0 AND (c1 - o) * direction > 0",
+    + "SELECT s.preset AS preset, symbol, ts, direction, round(stop, 4) AS stop, round(close + 2 * (close - stop), 4) AS target FROM w WHERE (close - stop) * direction > 0",
 )
 def sig25(spark, d):
-    return setups.impulse_pullback(views.bars(spark, d))
+    """The tables hold a month: H4's mean is over 20 bars and any slope of the right sign will do, in place of 50 and
+    0.2 ATR. Their prices jump, so a pullback is undone beyond 2 legs and calm below 1, in place of 0.786 and 0.75."""
+    bars = lambda tf: views.bars(spark, d, tf)
+    found = setups.impulse_pullback(bars("M15"), bars("H1"), bars("H4"), ema=20, min_slope=0.0, undone=2.0, calm=1.0)
+    return found.select("preset", "symbol", "ts", "direction", F.round("stop", 4).alias("stop"), F.round("target", 4).alias("target"))
 
 
 _ONE = lambda c: f"CAST(coalesce({c}, false) AS INT)"
