@@ -47,6 +47,16 @@ def past_deadline(ts: Column, hour: int, minute: int = 0, zone: str = "America/N
     return minute_of_day(here) >= limit
 
 
+def deadline_between(before: Column, after: Column, hour: int, minute: int = 0, zone: str = "America/New_York", friday_hour: int | None = None) -> Column:
+    """A day's flat time, by the local clock, lies strictly between two UTC times; for the few days of one gap between bars."""
+    here, there = local(before, zone), local(after, zone)
+    limit = F.make_dt_interval(F.lit(0), F.lit(hour), F.lit(minute))
+    if friday_hour is not None:
+        friday = F.make_dt_interval(F.lit(0), F.lit(friday_hour))
+    at = lambda day: day.cast("timestamp_ntz") + (limit if friday_hour is None else F.when(F.dayofweek(day) == 6, friday).otherwise(limit))
+    return F.exists(F.sequence(F.to_date(here), F.to_date(there)), lambda day: (at(day) > here) & (at(day) < there))
+
+
 def server_day(ts: Column, offset_minutes: int) -> Column:
     return F.to_date(ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(offset_minutes)))
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.stages import saved
+
 #: Days of a numbering slice and rows of a chunk. Neither changes a result.
 SLICE_DAYS, CHUNK_ROWS = 30, 100_000
 
@@ -54,3 +56,22 @@ def running_sums(numbered: DataFrame, names: list[str], chunk_rows: int = CHUNK_
     within = Window.partitionBy("symbol", "__chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     summed = dealt.withColumns({n: F.sum(F.coalesce(n, F.lit(0))).over(within) for n in names}).join(starts, ["symbol", "__chunk"])
     return summed.withColumns({n: F.col(n) + F.col(f"__{n}") for n in names}).drop("__chunk", *[f"__{n}" for n in names])
+
+
+def _slice(time: str, slice_days: int) -> Column:
+    return F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / (86_400 * slice_days)).alias("__slice")
+
+
+def last_known(bars: DataFrame, names: dict[str, str], strict: bool = False, slice_days: int = SLICE_DAYS) -> DataFrame:
+    """bars with new columns: the latest non-null value of a column at or before the row (before it if strict), new -> old name.
+
+    Values are carried inside slices of time; what a slice starts with is the last value of the slices before it, found among
+    one row a slice, so a long series is no one task's work however far back the value lies.
+    """
+    sliced = saved(bars.withColumn("__slice", _slice("ts", slice_days)))  # read twice below
+    ends = sliced.groupBy("symbol", "__slice").agg(*[F.max_by(old, F.when(F.col(old).isNotNull(), F.col("ts"))).alias(f"__e_{new}") for new, old in names.items()])
+    earlier = Window.partitionBy("symbol").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("symbol", "__slice", *[F.last(f"__e_{new}", ignorenulls=True).over(earlier).alias(f"__s_{new}") for new in names])
+    inside = Window.partitionBy("symbol", "__slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    found = sliced.join(starts, ["symbol", "__slice"]).withColumns({new: F.coalesce(F.last(old, ignorenulls=True).over(inside), F.col(f"__s_{new}")) for new, old in names.items()})
+    return found.drop("__slice", *[f"__s_{new}" for new in names])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.time import local
+from tidemark.operators.chunks import chunked, last_known
+
 
 def order():
     """The one ordering of every indicator; a function, since Window needs a running session."""
@@ -78,15 +80,24 @@ def swings(bars: DataFrame, left: int, right: int, lag_bars: int = 0, strict: bo
     return out.withColumns({"swing_high": whole & beats[0], "swing_low": whole & beats[1], "confirmed_at": F.lead("ts", right + lag_bars).over(order())})
 
 
+def confirmed_swings(bars: DataFrame, left: int, right: int) -> DataFrame:
+    """bars with __sh and __sl (ts, level): the swing high and low that this bar, `right` bars after it, confirms, else null.
+
+    Windows of finite reach, in chunks of rows.
+    """
+
+    def mark(table: DataFrame) -> DataFrame:
+        found = swings(table, left, right)
+        at = lambda flag, level: F.lag(F.when(F.col(flag), F.struct("ts", F.col(level).alias("level"))), right).over(order())
+        return found.withColumns({"__sh": at("swing_high", "high"), "__sl": at("swing_low", "low")}).drop("swing_high", "swing_low", "confirmed_at")
+
+    return chunked(bars, mark, before=left + right, after=right, number="k" if "k" in bars.columns else None)
+
+
 def fib_zone(bars: DataFrame, left: int, right: int, near: float = 0.5, far: float = 0.618) -> DataFrame:
     """Retracement zone between the last confirmed swing high and low; up if the low is the older one."""
-    found = swings(bars, left, right)
-    # A swing becomes known at the bar that confirms it, `right` bars later.
-    highs = F.lag(F.when(F.col("swing_high"), F.struct("ts", F.col("high").alias("level"))), right).over(order())
-    lows = F.lag(F.when(F.col("swing_low"), F.struct("ts", F.col("low").alias("level"))), right).over(order())
-    known = found.withColumns({"__h": highs, "__l": lows})
-    so_far = order().rowsBetween(Window.unboundedPreceding, 0)
-    known = known.withColumns({"__h": F.last("__h", ignorenulls=True).over(so_far), "__l": F.last("__l", ignorenulls=True).over(so_far)})
+    found = confirmed_swings(bars, left, right)
+    known = last_known(found, {"__h": "__sh", "__l": "__sl"})
     high, low = F.col("__h.level"), F.col("__l.level")
     span = high - low
     valid = span > 0
@@ -95,7 +106,7 @@ def fib_zone(bars: DataFrame, left: int, right: int, near: float = 0.5, far: flo
         "fib_direction": F.when(valid, F.when(up, 1).otherwise(-1)),
         "fib_top": F.when(valid, F.when(up, high - near * span).otherwise(low + far * span)),
         "fib_bottom": F.when(valid, F.when(up, high - far * span).otherwise(low + near * span)),
-    }).drop("__h", "__l", "swing_high", "swing_low", "confirmed_at")
+    }).drop("__h", "__l", "__sh", "__sl")
 
 
 def rolling_rank(x: str, n: int) -> Column:

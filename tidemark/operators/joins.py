@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 SLICE_DAYS = 30
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], strict: bool = False, slice_days: int = SLICE_DAYS) -> DataFrame:
-    """left with the values of the latest right row at or before its time (strictly before if asked), per key.
+def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], strict: bool = False, slice_days: int = SLICE_DAYS, ahead: bool = False) -> DataFrame:
+    """left with the values of the latest right row at or before its time (strictly before if asked), per key; if `ahead`, of the
+    first right row at or after its time.
 
     Both sides are put in one ordered stream per key and slice of time and the last right row is carried forward in it, so a
     key that holds most rows is many tasks. What a slice starts with is the last right row of the slices before it, found
@@ -25,11 +26,12 @@ def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time:
     kind = events.schema["__value"].dataType
     wide = left.select(F.col(on), F.col(left_time).alias("__t"), F.lit(tag).alias("__side"), F.lit(None).cast(kind).alias("__value"), F.struct(*[c for c in left.columns if c != on]).alias("__left")).select("*", part)
     both = wide.unionByName(events.withColumn("__left", F.lit(None).cast(wide.schema["__left"].dataType)))
-    inside = Window.partitionBy(on, "__slice").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    ends = events.groupBy(on, "__slice").agg(F.max_by("__value", "__t").alias("__last"))
+    toward = F.desc if ahead else F.asc
+    inside = Window.partitionBy(on, "__slice").orderBy(toward("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    ends = events.groupBy(on, "__slice").agg((F.min_by if ahead else F.max_by)("__value", "__t").alias("__last"))
     asked = wide.select(on, "__slice").distinct().withColumn("__last", F.lit(None).cast(kind))
     slices = asked.unionByName(ends).groupBy(on, "__slice").agg(F.first("__last", ignorenulls=True).alias("__last"))
-    earlier = Window.partitionBy(on).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    earlier = Window.partitionBy(on).orderBy(toward("__slice")).rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
     starts = slices.select(F.col(on).alias("__on"), F.col("__slice").alias("__own"), F.last("__last", ignorenulls=True).over(earlier).alias("__start"))
     found = both.withColumn("__found", F.last("__value", ignorenulls=True).over(inside)).where(F.col("__side") == tag)
     out = found.join(starts, found[on].eqNullSafe(F.col("__on")) & (found["__slice"] == F.col("__own")), "left")

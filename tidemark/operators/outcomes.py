@@ -11,8 +11,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.chunks import row_numbers
-from tidemark.operators.indicators import order
+from tidemark.functions.time import deadline_between, past_deadline
+from tidemark.operators.chunks import chunked, row_numbers
+from tidemark.operators.indicators import lag, order
+from tidemark.operators.joins import asof
+
+
+def flat_events(bars: DataFrame, minutes: int, hour: int, minute: int = 0, zone: str = "America/New_York", friday_hour: int | None = None) -> DataFrame:
+    """symbol, ts, reason, exit, exit_time: bars at which open positions have to be closed.
+
+    `force_flat` at the open of a bar at or past the day's local flat time; `force_flat_gap` at the close of the bar before,
+    where a gap of more than one and a half bars swallowed a flat time.
+    """
+
+    def before(table: DataFrame) -> DataFrame:
+        return table.withColumns({"__pt": lag("ts"), "__pc": lag("close")})
+
+    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    table = chunked(bars.select("symbol", "ts", "open", "close"), before, before=1)
+    wide = F.col("ts") > F.col("__pt") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(minutes * 90))
+    gap = F.coalesce(wide & deadline_between(F.col("__pt"), F.col("ts"), hour, minute, zone, friday_hour), F.lit(False))
+    past = past_deadline(F.col("ts"), hour, minute, zone, friday_hour)
+    event = F.when(gap, F.struct(F.lit("force_flat_gap").alias("reason"), F.col("__pc").alias("exit"), (F.col("__pt") + step).alias("exit_time"))).when(past, F.struct(F.lit("force_flat").alias("reason"), F.col("open").alias("exit"), F.col("ts").alias("exit_time")))
+    return table.withColumn("__e", event).where("__e IS NOT NULL").select("symbol", "ts", "__e.*")
+
+
+def flat_exit(labelled: DataFrame, bars: DataFrame, events: DataFrame, minutes: int, hour: int, minute: int = 0, zone: str = "America/New_York", friday_hour: int | None = None) -> DataFrame:
+    """Labelled trades (symbol, ts, k, direction, entry, exit, exit_time, reason) with the first flat event after their entry bar in
+    place of a later exit. A trade whose entry bar is already past the flat time is not opened."""
+    entries = bars.select("symbol", (F.col("k") - 1).alias("k"), F.col("ts").alias("entry_ts"))
+    opened = labelled.join(entries, ["symbol", "k"]).where(~past_deadline(F.col("entry_ts"), hour, minute, zone, friday_hour))
+    renamed = events.select("symbol", F.col("ts").alias("flat_ts"), F.col("reason").alias("flat_reason"), F.col("exit").alias("flat_exit"), F.col("exit_time").alias("flat_time"))
+    found = asof(opened, renamed, "symbol", "entry_ts", "flat_ts", ["flat_ts", "flat_reason", "flat_exit", "flat_time"], strict=True, ahead=True)
+    # The touching bar is known by its end; a flat event comes first on its bar.
+    flat = F.coalesce(F.col("flat_ts") < F.col("exit_time"), F.lit(False))
+    pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b)).alias(b)
+    return found.select("symbol", "ts", "k", "direction", "entry_ts", "entry", pick("flat_exit", "exit"), pick("flat_time", "exit_time"), pick("flat_reason", "reason"))
 
 
 def numbered(bars: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import chunks
 from tidemark.operators.indicators import order
+from tidemark.operators.stages import saved
 
 #: Hits are dealt to chunks of this many rows, or days, of their series.
 CHUNK_ROWS, CHUNK_DAYS = 100_000, 30
@@ -92,7 +93,7 @@ def unblocked(hits: DataFrame, by: list[str], start: str, free: str, ties: list[
 
     start and free are longs (row numbers or microseconds); width is a chunk's length in them.
     """
-    dealt = hits.withColumn("__chunk", F.floor(F.col(start) / width))
+    dealt = saved(hits.withColumn("__chunk", F.floor(F.col(start) / width)))  # read twice below
     sorting = ["__s", *[f"__t{i}" for i in range(len(ties))]]
     keyed = dealt.select(*by, "__chunk", F.col(start).cast("long").alias("__s"), F.col(free).cast("long").alias("__f"), *[F.col(t).alias(f"__t{i}") for i, t in enumerate(ties)])
     series = ", ".join(f"`{b}` {dict(hits.dtypes)[b]}" for b in by)
@@ -124,6 +125,7 @@ def unblocked(hits: DataFrame, by: list[str], start: str, free: str, ties: list[
 
     starts = parts.groupBy(*by).applyInPandas(chain, f"{series}, __chunk long, __free long")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
+    columns = hits.columns
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([start, *ties], kind="stable")
@@ -132,7 +134,7 @@ def unblocked(hits: DataFrame, by: list[str], start: str, free: str, ties: list[
         while at < len(s):
             kept.append(at)
             at = int(after[at])
-        return pdf.iloc[kept][hits.columns]
+        return pdf.iloc[kept][columns]
 
     return dealt.join(starts, [*by, "__chunk"]).groupBy(*by, "__chunk").applyInPandas(finish, schema)
 

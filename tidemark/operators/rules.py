@@ -16,6 +16,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import scan
 from tidemark.operators.chunks import chunked, row_numbers
 from tidemark.operators.indicators import lag
+from tidemark.operators.patterns import unblocked
 
 
 @dataclass(frozen=True)
@@ -64,20 +65,11 @@ def _windows(table: DataFrame) -> DataFrame:
 
 
 def cooled(hits: DataFrame) -> DataFrame:
-    """hits (rule, symbol, ts, rest, ...) without those within `rest` minutes of the last one that stays.
-
-    A hit at least `rest` after the hit before it always stays, so hits are cut to runs there; each run is folded on its own.
-    """
-    by = ["rule", "symbol"]
-    order = Window.partitionBy(*by).orderBy("ts", F.desc("direction"))
-    wait = lambda end, start: F.unix_micros(end) - F.unix_micros(start) >= F.col("rest") * F.lit(60_000_000)
-    at = F.col("ts").cast("timestamp")
-    begins = F.coalesce(wait(at, F.lag(at).over(order)), F.lit(True))
-    runs = hits.withColumn("__run", F.last(F.when(begins, F.col("ts")), True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rest = [c for c in hits.columns if c not in by]
-    listed = runs.groupBy(*by, "__run").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(at).alias("__at"), (-F.col("direction")).alias("__side"), *rest))).alias("list"))
-    fold = F.aggregate("list", F.slice("list", 1, 1), lambda kept, x: F.when(x["__at"] - F.element_at(kept, -1)["__at"] >= x["rest"] * F.lit(60_000_000), F.array_append(kept, x)).otherwise(kept))
-    return listed.select(*by, F.explode(fold).alias("x")).select(*by, *[F.col(f"x.{c}").alias(c) for c in rest])
+    """hits (rule, symbol, ts, rest, ...) without those within `rest` minutes of the last one that stays; chunk by chunk."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = hits.withColumns({"__at": micros, "__free": micros + F.col("rest") * F.lit(60_000_000), "__side": -F.col("direction")})
+    width = 30 * 86_400 * 1_000_000
+    return unblocked(timed, ["rule", "symbol"], "__at", "__free", ["__side"], width).drop("__at", "__free", "__side")
 
 
 def signals(table: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.stages import saved
+
 
 #: Length of a chunk in days. Any value gives the same result.
 CHUNK_DAYS = 30
@@ -86,7 +88,7 @@ def _chain(name: str):
 
 def affine_scan(bars: DataFrame, rules: dict[str, Recurrence], chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """bars with a column for each recurrence."""
-    cut = bars.withColumn("__chunk", _chunk(chunk_days))
+    cut = saved(bars.withColumn("__chunk", _chunk(chunk_days)))  # read three times below
     names, columns = list(rules), bars.columns
     # What precedes each chunk: valid values and their sum. These tables have a row per chunk, not per bar.
     stats = cut.groupBy("symbol", "__chunk").agg(*[F.count(r.column).alias(f"__n_{k}") for k, r in rules.items()], *[F.sum(r.column).alias(f"__s_{k}") for k, r in rules.items()])

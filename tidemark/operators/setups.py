@@ -15,6 +15,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import chunks, joins, patterns, scan, structure
 from tidemark.operators.aggregates import session_range
 from tidemark.operators.indicators import lag, order, rows
+from tidemark.operators.stages import saved
 
 
 def _side(long: Column, short: Column) -> Column:
@@ -243,9 +244,9 @@ def swing_breakout(bars: DataFrame, left: int = 3, right: int = 3, buffer: float
 def macd_continuation(bars: DataFrame, armed: int = 10) -> DataFrame:
     """MACD crossed its signal at most `armed` bars ago, close on the side of a rising (falling) EMA 99."""
     out = scan.ema(scan.macd(bars), {"ema99": ("close", 99)})
-    out = structure.crosses(out.where("macd_signal IS NOT NULL"), "macd", "macd_signal").withColumn("__e", F.lag("ema99", 5).over(order()))
-    last = F.last(F.when(F.col("cross_now") != 0, F.col("cross_now")), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("__side", F.when(F.col("bars_since") <= armed, last))
+    out = structure.crosses(out.where("macd_signal IS NOT NULL"), "macd", "macd_signal")
+    out = chunks.chunked(out, lambda t: t.withColumn("__e", lag("ema99", 5)), before=5).withColumn("__c", F.when(F.col("cross_now") != 0, F.col("cross_now")))
+    out = chunks.last_known(out, {"__last": "__c"}).withColumn("__side", F.when(F.col("bars_since") <= armed, F.col("__last")))
     long = (F.col("__side") == 1) & (F.col("close") > F.col("ema99")) & (F.col("ema99") > F.col("__e"))
     short = (F.col("__side") == -1) & (F.col("close") < F.col("ema99")) & (F.col("ema99") < F.col("__e"))
     return _only(out.withColumn("direction", _side(long, short))).select("symbol", "ts", "direction")
@@ -313,6 +314,7 @@ def impulse_pullback(bars: DataFrame, hours: DataFrame, higher: DataFrame, prese
         return listed.withColumn("setups", F.array_compact(F.array(*[_impulse_setup(F.col("__past"), p, side, deep, undone, calm) for p in presets for side in (1, -1)]))).drop("__past", "top", "bottom")
 
     impulses = chunks.chunked(scan.atr(hours).select("symbol", "ts", "high", "low", "close", "atr"), setups_of, before=deepest + lookback + 1).select("symbol", "ts", "setups")
+    impulses = saved(impulses)  # an as-of join reads its right side twice
     h4 = scan.trend(higher.select("symbol", "ts", "open", "high", "low", "close", "tick_volume"), {"ema": ("close", ema)})
     regime = chunks.chunked(h4, lambda t: t.withColumn("slope", (F.col("ema") - lag("ema", slope_bars)) / F.col("atr")), before=slope_bars)
     regime = regime.select("symbol", "ts", (F.col("close") - F.col("ema")).alias("h4_gap"), "slope", F.col("adx").alias("h4_adx"))
@@ -326,6 +328,7 @@ def impulse_pullback(bars: DataFrame, hours: DataFrame, higher: DataFrame, prese
 
     at = F.hour("ts").between(8, 21) & F.dayofweek("ts").between(2, 6) & ~((F.dayofweek("ts") == 6) & (F.hour("ts") >= 19))
     table = chunks.chunked(scan.atr(bars).select("symbol", "ts", "open", "high", "low", "close", "atr"), trigger, before=reclaim + 1).where(at & F.col("direction").isNotNull() & (F.col("atr") >= least_atr))
+    table = saved(table)
     table = joins.align_timeframes(joins.align_timeframes(table, impulses, 15, 60, ["setups"]), regime, 15, 240, ["h4_gap", "slope", "h4_adx"])
     d = F.col("direction")
     table = table.where((F.col("h4_gap") * d > 0) & (F.col("slope") * d >= min_slope)).withColumn("s", F.explode("setups"))

@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.time import local
-from tidemark.operators.indicators import donchian, lag, order, rows, swings
+from tidemark.operators.chunks import chunked, last_known, row_numbers
+from tidemark.operators.indicators import confirmed_swings, donchian, lag, order, rows
 from tidemark.operators.joins import asof
 
-def _so_far():
-    return order().rowsBetween(Window.unboundedPreceding, 0)
-
-
 def fair_value_gaps(bars: DataFrame, min_atr: float) -> DataFrame:
     """symbol, ts, direction, top, bottom, confirmed_at of three-bar gaps of at least min_atr x ATR."""
     near = bars.withColumns({"h2": lag("high", 2), "l2": lag("low", 2), "confirmed_at": F.lead("ts").over(order())})
@@ -26,15 +23,12 @@ def fair_value_gaps(bars: DataFrame, min_atr: float) -> DataFrame:
 
 def known_swings(bars: DataFrame, left: int, right: int) -> DataFrame:
     """bars with __h and __l: the latest swing high and low (ts, level) confirmed by each bar."""
-    found = swings(bars, left, right)
-    mark = lambda flag, level: F.lag(F.when(F.col(flag), F.struct("ts", F.col(level).alias("level"))), right).over(order())
-    found = found.withColumns({"__h": mark("swing_high", "high"), "__l": mark("swing_low", "low")})
-    return found.withColumns({"__h": F.last("__h", ignorenulls=True).over(_so_far()), "__l": F.last("__l", ignorenulls=True).over(_so_far())}).drop("swing_high", "swing_low", "confirmed_at")
+    return last_known(confirmed_swings(bars, left, right), {"__h": "__sh", "__l": "__sl"}).drop("__sh", "__sl")
 
 
 def _levels_before(bars: DataFrame, left: int, right: int) -> DataFrame:
-    known = known_swings(bars, left, right)
-    return known.withColumns({"__h": F.lag("__h").over(order()), "__l": F.lag("__l").over(order())})
+    """bars with the swings confirmed before each bar."""
+    return last_known(confirmed_swings(bars, left, right), {"__h": "__sh", "__l": "__sl"}, strict=True).drop("__sh", "__sl")
 
 
 def breaks(bars: DataFrame, left: int, right: int) -> DataFrame:
@@ -45,10 +39,13 @@ def breaks(bars: DataFrame, left: int, right: int) -> DataFrame:
         F.struct(F.lit(-1).alias("direction"), F.col("__l.level").alias("level"), F.col("__l.ts").alias("swing_ts"), (F.col("close") < F.col("__l.level")).alias("hit")),
     )
     hits = known.select("symbol", "ts", F.explode(F.filter(sides, lambda s: s["hit"])).alias("s")).select("symbol", "ts", "s.direction", "s.level", "s.swing_ts")
-    once = Window.partitionBy("symbol", "direction", "swing_ts").orderBy("ts")
-    first = hits.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    before = F.lag("direction").over(Window.partitionBy("symbol").orderBy("ts", F.desc("direction")))
-    return first.withColumn("kind", F.when(F.coalesce(before, F.col("direction")) == F.col("direction"), "BOS").otherwise("CHoCH"))
+    # A swing is consumed by its first break; the minimum combines before the shuffle however long the swing stays unbroken.
+    first = hits.groupBy("symbol", "direction", "swing_ts").agg(F.min("ts").alias("ts"), F.first("level").alias("level")).select("symbol", "ts", "direction", "level", "swing_ts")
+    # Two events of one bar: the upward one comes first.
+    per_bar = first.groupBy("symbol", "ts").agg(F.min("direction").alias("__last"), F.count("*").alias("__n"))
+    carried = last_known(per_bar, {"__before": "__last"}, strict=True)
+    before = F.when((F.col("__n") == 2) & (F.col("direction") == -1), 1).otherwise(F.col("__before"))
+    return first.join(carried, ["symbol", "ts"]).withColumn("kind", F.when(F.coalesce(before, F.col("direction")) == F.col("direction"), "BOS").otherwise("CHoCH")).drop("__before", "__last", "__n")
 
 
 def sweeps(bars: DataFrame, left: int, right: int, excess: float) -> DataFrame:
@@ -84,10 +81,18 @@ def htf_bias(bars: DataFrame, minutes: int, higher: DataFrame, higher_minutes: i
 
 def sweep_age(bars: DataFrame, lookback: int, cluster: int) -> DataFrame:
     """Bars since the last new `lookback`-bar high, and how many of the last `cluster` bars made one."""
-    top, _ = donchian(lookback)
-    flagged = bars.withColumns({"__k": F.row_number().over(order()), "__new": F.coalesce(F.col("high") > top, F.lit(False))})
-    last = F.max(F.when(F.col("__new"), F.col("__k"))).over(_so_far())
-    return flagged.select("symbol", "ts", (F.col("__k") - last).alias("age"), F.sum(F.col("__new").cast("int")).over(rows(cluster - 1)).alias("cluster"))
+
+
+    def flag(table: DataFrame) -> DataFrame:
+        top, _ = donchian(lookback)
+        return table.withColumn("__new", F.when(F.col("high") > top, F.col("__n")))
+
+    def count(table: DataFrame) -> DataFrame:
+        return table.withColumn("cluster", F.count("__new").over(rows(cluster - 1)))
+
+    numbered = row_numbers(bars, "__n")
+    flagged = chunked(chunked(numbered, flag, before=lookback + 1, number="__n"), count, before=cluster, number="__n")
+    return last_known(flagged, {"__last": "__new"}).select("symbol", "ts", (F.col("__n") - F.col("__last")).cast("int").alias("age"), "cluster")
 
 
 def impulses(bars: DataFrame, lookback: int, min_atr: float, retrace: float = 0.5) -> DataFrame:
@@ -104,11 +109,14 @@ def impulses(bars: DataFrame, lookback: int, min_atr: float, retrace: float = 0.
 
 def crosses(bars: DataFrame, fast: str, slow: str) -> DataFrame:
     """cross_now: 1 or -1 on the bar of a fresh cross, else 0; bars_since the last one."""
-    gap = bars.withColumn("__d", F.col(fast) - F.col(slow)).where("__d IS NOT NULL")
-    before = F.lag("__d").over(order())
-    flagged = gap.withColumn("cross_now", F.when((F.col("__d") > 0) & (before <= 0), 1).when((F.col("__d") < 0) & (before >= 0), -1).otherwise(0)).withColumn("__k", F.row_number().over(order()))
-    last = F.max(F.when(F.col("cross_now") != 0, F.col("__k"))).over(_so_far())
-    return flagged.withColumn("bars_since", F.col("__k") - last).drop("__d", "__k")
+    gap = row_numbers(bars.withColumn("__d", F.col(fast) - F.col(slow)).where("__d IS NOT NULL"), "__n")
+
+    def flag(table: DataFrame) -> DataFrame:
+        before = lag("__d")
+        return table.withColumn("cross_now", F.when((F.col("__d") > 0) & (before <= 0), 1).when((F.col("__d") < 0) & (before >= 0), -1).otherwise(0))
+
+    flagged = chunked(gap, flag, before=1, number="__n").withColumn("__at", F.when(F.col("cross_now") != 0, F.col("__n")))
+    return last_known(flagged, {"__last": "__at"}).withColumn("bars_since", (F.col("__n") - F.col("__last")).cast("int")).drop("__d", "__n", "__at", "__last")
 
 
 def first_of_day(signals: DataFrame, zone: str) -> DataFrame:

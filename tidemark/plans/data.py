@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import time as clock
 from tidemark.functions import trade
-from tidemark.operators import aggregates, joins, oplogs, quality
+from tidemark.operators import aggregates, chunks, joins, oplogs, quality
+from tidemark.operators import indicators as ind
 from tidemark.operators import bars as bar_ops
 from tidemark.registry import query
 from tidemark.sources import files, views
@@ -203,9 +204,8 @@ def flat_deadline(spark, d):
       (date_trunc('day', previous) + INTERVAL 45 HOUR < ts))""",
 )
 def deadline_in_gap(spark, d):
-    rows = views.bars(spark, d, "M5").select("symbol", "ts", F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts")).alias("previous"))
-    days = F.sequence(F.to_date("previous"), F.to_date("ts"))
-    inside = F.exists(days, lambda x: (x.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(21)) > F.col("previous")) & (x.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(21)) < F.col("ts")))
+    rows = chunks.chunked(views.bars(spark, d, "M5").select("symbol", "ts"), lambda t: t.withColumn("previous", ind.lag("ts")), before=1)
+    inside = clock.deadline_between(F.col("previous"), F.col("ts"), 21, 0, "UTC")
     return rows.where((F.col("ts") > F.col("previous") + F.expr("INTERVAL 450 SECOND")) & inside).select("symbol", "previous", "ts")
 
 

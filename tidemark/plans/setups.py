@@ -343,30 +343,47 @@ def evt08(spark, d):
 # ---- outcomes and audits --------------------------------------------------------------------------------------------
 
 
+def _ny(t: str) -> str:
+    return f"({t} AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
+
+
+_PAST = lambda t: f"(hour({_ny(t)}) * 60 + minute({_ny(t)}) >= CASE WHEN dayofweek({_ny(t)}) = 5 THEN 720 ELSE 1010 END)"
+_FLAT = f"""gp AS (SELECT *, lag(ts) OVER w AS pt, lag(close) OVER w AS pc FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+gd AS (SELECT symbol, ts, pt, CAST(unnest(generate_series(date_trunc('day', {_ny('pt')}), date_trunc('day', {_ny('ts')}), INTERVAL 1 DAY)) AS TIMESTAMP) AS day FROM gp WHERE ts > pt + INTERVAL 90 MINUTE),
+ge AS (SELECT DISTINCT symbol, ts FROM gd WHERE day + CASE WHEN dayofweek(day) = 5 THEN INTERVAL 720 MINUTE ELSE INTERVAL 1010 MINUTE END > {_ny('pt')} AND day + CASE WHEN dayofweek(day) = 5 THEN INTERVAL 720 MINUTE ELSE INTERVAL 1010 MINUTE END < {_ny('ts')}),
+fe AS (SELECT gp.symbol, gp.ts, CASE WHEN ge.ts IS NOT NULL THEN 'force_flat_gap' ELSE 'force_flat' END AS freason, CASE WHEN ge.ts IS NOT NULL THEN pc ELSE open END AS fexit, CASE WHEN ge.ts IS NOT NULL THEN pt + INTERVAL 60 MINUTE ELSE gp.ts END AS ftime
+  FROM gp LEFT JOIN ge ON gp.symbol = ge.symbol AND gp.ts = ge.ts WHERE ge.ts IS NOT NULL OR {_PAST('gp.ts')})"""
+
+
+#: EMA crosses with a near stop and target, so that both occur.
+_NEAR = {"stop_atr": 1.0, "reward": 1.0}
+
+
 @query(
     "out03_flat_exit",
-    with_bars(*_FEATURES, _sql_signals("sig22"), "nb AS (SELECT symbol, ts, open FROM b WHERE hour(ts) >= 21)")
-    + "SELECT s.symbol, s.ts, s.direction, n.ts AS exit_ts, n.open AS exit FROM sg s ASOF JOIN nb n ON s.symbol = n.symbol AND s.ts < n.ts",
-)
+    with_bars(*_FEATURES, _sql_signals("sig10", **_NEAR), _TOUCH, _FLAT, f"op AS (SELECT l.*, n.ts AS entry_ts FROM lr l JOIN nb n ON n.symbol = l.symbol AND n.bk = l.k + 1 WHERE NOT {_PAST('n.ts')})",
+              "fx AS (SELECT o.*, f.ts AS fts, freason, fexit, ftime FROM op o ASOF LEFT JOIN fe f ON o.symbol = f.symbol AND o.entry_ts < f.ts)", "fy AS (SELECT *, coalesce(fts < exit_time, false) AS flat FROM fx)")
+    + "SELECT symbol, ts, direction, entry_ts, round(CASE WHEN flat THEN fexit ELSE exit END, 4) AS exit, CASE WHEN flat THEN ftime ELSE exit_time END AS exit_time, CASE WHEN flat THEN freason ELSE reason END AS reason FROM fy",
+)
 def out03(spark, d):
-    """Exit at the open of the first bar at or past 21:00 UTC after the signal: an as-of join looking ahead."""
-    bars = views.bars(spark, d)
-    next_flat = F.first(F.when(F.hour("ts") >= 21, F.struct("ts", "open")), ignorenulls=True).over(ind.order().rowsBetween(1, 2**31 - 1))
-    flats = bars.select("symbol", "ts", next_flat.alias("x"))
-    found = rules.signals(rules.features(bars), [_rule("sig22", _SPARK)]).join(flats, ["symbol", "ts"]).where("x IS NOT NULL")
-    return found.select("symbol", "ts", "direction", F.col("x.ts").alias("exit_ts"), F.col("x.open").alias("exit"))
+    """EMA crosses closed at 16:50 New York time, on Fridays at 12:00, unless their stop, target or time limit came first."""
+    clock = {"hour": 16, "minute": 50, "friday_hour": 12}
+    bars = outcomes.numbered(views.bars(spark, d))
+    labelled = outcomes.first_touch(rules.signals(rules.features(views.bars(spark, d)), [_rule("sig10", _SPARK, **_NEAR)]), bars, 24, 60)
+    found = outcomes.flat_exit(labelled, bars, outcomes.flat_events(bars, 60, **clock), 60, **clock)
+    return found.select("symbol", "ts", "direction", "entry_ts", F.round("exit", 4).alias("exit"), "exit_time", "reason")
 
 
 @query(
     "out05_fine_resolution",
-    with_bars(*_FEATURES, _sql_signals("sig22"), _TOUCH, views.bars_sql("M5", "m5"), "am AS (SELECT * FROM lr WHERE reason IN ('sl', 'tp'))",
+    with_bars(*_FEATURES, _sql_signals("sig10", **_NEAR), _TOUCH, views.bars_sql("M5", "m5"), "am AS (SELECT * FROM lr WHERE reason IN ('sl', 'tp'))",
               "fx AS (SELECT a.symbol, a.ts, a.direction, m.ts AS fine_ts, CASE WHEN (CASE WHEN a.direction = 1 THEN m.low ELSE m.high END - a.stop) * a.direction <= 0 THEN 'sl' WHEN (CASE WHEN a.direction = 1 THEN m.high ELSE m.low END - a.target) * a.direction >= 0 THEN 'tp' END AS fine FROM am a JOIN m5 m ON m.symbol = a.symbol AND m.ts >= a.exit_time - INTERVAL 60 MINUTE AND m.ts < a.exit_time)")
     + "SELECT symbol, ts, direction, first(fine ORDER BY fine_ts) AS fine_reason, min(fine_ts) AS fine_ts FROM fx WHERE fine IS NOT NULL GROUP BY 1, 2, 3",
 )
 def out05(spark, d):
     """Which came first inside the exit bar, by its five-minute bars."""
     bars = views.bars(spark, d)
-    labelled = outcomes.first_touch(rules.signals(rules.features(bars), [_rule("sig22", _SPARK)]), outcomes.numbered(bars), 24, 60)
+    labelled = outcomes.first_touch(rules.signals(rules.features(bars), [_rule("sig10", _SPARK, **_NEAR)]), outcomes.numbered(bars), 24, 60)
     hour = (F.col("exit_time") - F.expr("INTERVAL 60 MINUTE")).alias("coarse")
     exits = labelled.where(F.col("reason").isin("sl", "tp")).select("symbol", "ts", "direction", "stop", "target", hour)
     from tidemark.operators.bars import floor_to

@@ -19,8 +19,8 @@ from tidemark.sources import views
 _SPARK, _DUCK = {"monday": 2}, {"monday": 1}
 
 
-def _rule(name: str, days: dict) -> rules.Rule:
-    r = rules.RULES[name]
+def _rule(name: str, days: dict, **changes) -> rules.Rule:
+    r = replace(rules.RULES[name], **changes)
     return replace(r, long=r.long.format(**days), short=r.short.format(**days))
 
 
@@ -46,9 +46,9 @@ _FEATURES = [
 ]
 
 
-def _sql_signals(name: str) -> str:
+def _sql_signals(name: str, **changes) -> str:
     """CTE sg(symbol, ts, k, direction, stop, target, atr)."""
-    r = _rule(name, _DUCK)
+    r = _rule(name, _DUCK, **changes)
     once = " QUALIFY row_number() OVER (PARTITION BY symbol, direction, CAST(ts AS DATE) ORDER BY ts) = 1" if r.once_a_day else ""
     target = "CAST(NULL AS DOUBLE)" if r.reward is None else f"close + direction * {r.reward} * abs(close - stop)"
     # After a hit the next one that counts is the first at least `cooldown` minutes later.
