@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, h string, n int, row string"
+#: Names that operators use, or have used, inside.
+CLASHING = ["fp", "h", "n", "row", "id", "mark", "key", "node", "sketch", "root", "host", "lines", "__mark", "__found", "__marks", "__host", "__n_lines", "__n_dropped", "__key", "__n", "__text", "c1"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 PASSAGE = "".join(f"passage number {i} of a long shared section, " for i in range(12))
 
 
@@ -16,7 +18,7 @@ def awkward_rows() -> list[tuple]:
     ]
     rows = [(i, t, ["en", "fr", None][i % 3], ["s0", None, "s1"][i % 3], None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [(None, "no id here " + PASSAGE[50:400], "en", "s0", 10), (3, "", "en", "s0", 0), (0, words, "en", "s0", 5), (0, words, "en", "s0", 5), (50, words + " more", None, None, None)]
-    return [(*r, "clash", "clash", 7, "clash") for r in rows]
+    return [(*r, *["clash"] * len(CLASHING)) for r in rows]
 
 
 def awkward(spark: SparkSession) -> DataFrame:

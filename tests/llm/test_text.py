@@ -202,6 +202,19 @@ def test_content_by_ratios(page, want, monkeypatch):
     assert htmltext.extract(page) == want
 
 
+@pytest.mark.parametrize("box", ["<div class='comments'>{}</div>", "<section id=comments>{}</section>", "<aside class=comments>{}</aside>", "<div class='reader-comments thread'><ol>{}</ol></div>"])
+@pytest.mark.parametrize("story", ["<div class=q>{}</div>", "<article>{}</article>", "<main><div>{}</div></main>"])
+def test_long_comments_are_never_the_article(box, story):
+    short = "<h1>Head</h1><p>A short story, told in one line.</p>"
+    many = "".join(f"<p>Comment {i} is long, and goes on, with many commas, and thoughts; it is longer than the story is, by far.</p>" for i in range(60))
+    assert htmltext.extract(f"<body>{story.format(short)}{box.format(many)}</body>") == "Head\n\nA short story, told in one line."
+    assert htmltext.extract(f"<body>{box.format(many)}{story.format(short)}</body>") == "Head\n\nA short story, told in one line."
+
+
+def test_a_page_that_is_one_form():
+    assert htmltext.extract(f"<body><form action=x><div>{LONG}</div></form></body>") == PLAIN
+
+
 def test_ratios_decide(monkeypatch):
     page = f"<body><div class=q1><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>Five.</p><p>Six.</p><p>Seven.</p><p>Eight.</p><p>Nine.</p><p>Ten.</p></div><div class=q2>{LONG}</div></body>"
     assert htmltext.extract(page) == PLAIN

@@ -80,5 +80,15 @@ def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unnamed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """docs with its columns called c0, c1, ..., the new names of `names`, and what gives a result its old columns back.
+
+    What an operator adds has other names, so no name of an input column clashes with it.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    back = lambda df: df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
+    return plain, [f"c{docs.columns.index(n)}" for n in names], back
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -6,7 +6,9 @@ the class or id of grouping elements). Per path the text length, punctuation and
 the share of link text. A path through an element whose tag speaks of a menu, a form or the like counts for TAG_PRIOR of
 that only, one through an element whose class, id or role does for NAME_PRIOR: a name alone cannot overrule the ratios.
 
-The ratios decide. Every element holds the fused ratios of the blocks in it, and from the page's root the content node is
+The ratios decide. Every element holds the fused ratios of the blocks in it (elements whose tag says that they are beside the
+article, and those named as reader comments, hold nothing and are never chosen, however long they are, unless a page has
+nothing else), and from the page's root the content node is
 found by going down while one child holds at least SHARE of what its parent holds. All blocks of the content node stay,
 tables, short lists and reference links too, but those in its elements for menus, adverts, forms and comments. Where no
 element holds the content (the node is the page or its body), its elements stay by their own ratio: at least THRESHOLD of
@@ -54,6 +56,8 @@ LAYOUT = {
     "area", "bar", "block", "body", "bottom", "box", "buttons", "column", "container", "content", "form", "global", "group", "inner", "item", "items", "left", "links",
     "list", "main", "message", "outer", "overlay", "page", "panel", "posts", "reader", "right", "row", "section", "site", "slot", "thread", "top", "unit", "user", "wrap", "wrapper",
 }
+# Those of NAMES that name reader comments.
+COMMENTS = {"comment", "comments", "disqus", "replies"}
 #: Weight of paths through such elements, by tag and by name; share of its parent's ratios by which an element is taken for the content's; and
 #: share of the page's mean ratio by which an element stays where none is.
 TAG_PRIOR, NAME_PRIOR, SHARE, THRESHOLD = 0.05, 0.25, 0.6, 0.1
@@ -80,19 +84,23 @@ class Page:
     """The tree of a page's block elements. Node 0 is the page; a node's number is above its parent's."""
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.aside, self.path = [-1], [""], [False], [0]
+        self.parent, self.tag, self.aside, self.barred, self.path = [-1], [""], [False], [False], [0]
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters of link text; in page order
 
     def add(self, parent: int, tag: str, attributes: str) -> int:
         label, aside = tag, tag in ASIDE
+        barred = aside
         if attributes and tag in GROUPS:
             tokens = [(m[1].lower(), t) for m in _marked.finditer(attributes) for t in (m[2] or m[3] or m[4] or "").split()]
-            aside = aside or any(names_aside(t) for _, t in tokens)
+            named = [t for _, t in tokens if names_aside(t)]
+            aside = aside or bool(named)
+            barred = barred or any(p.lower() in COMMENTS for t in named for p in _parts(t))
             label += "".join(f".{t}" for kind, t in tokens if kind != "role")
         self.parent.append(parent)
         self.tag.append(tag)
         self.aside.append(aside)
+        self.barred.append(barred)
         self.path.append(self.paths.setdefault((self.path[parent], label), len(self.paths) + 1))
         return len(self.parent) - 1
 
@@ -204,17 +212,22 @@ def path_ratios(page: Page) -> dict[int, float]:
 def content_blocks(page: Page, fused: dict[int, float]) -> list[str]:
     """Texts of the blocks that stay, in page order."""
     nodes = len(page.parent)
+    beside = page.barred[:]  # in an element that is surely not the article
+    for node in range(1, nodes):
+        beside[node] = beside[node] or beside[page.parent[node]]
+    if all(beside[node] for node, *_ in page.blocks):  # the page has nothing else, as when all of it is one form
+        beside = [False] * nodes
     held, count = [0.0] * nodes, [0] * nodes
     for node, *_ in page.blocks:
-        held[node] += fused[page.path[node]]
-        count[node] += 1
+        held[node] += 0.0 if beside[node] else fused[page.path[node]]
+        count[node] += not beside[node]
     for node in range(nodes - 1, 0, -1):  # what an element holds, with all below it
         held[page.parent[node]] += held[node]
         count[page.parent[node]] += count[node]
     best: dict[int, int] = {}  # the child that holds most
     for node in range(1, nodes):
         up = page.parent[node]
-        if page.tag[node] in GROUPS or page.tag[node] in ("html", "body"):
+        if not beside[node] and (page.tag[node] in GROUPS or page.tag[node] in ("html", "body")):
             best[up] = node if up not in best or held[node] > held[best[up]] else best[up]
     chosen = 0
     while chosen in best and held[best[chosen]] >= SHARE * held[chosen] and count[best[chosen]]:

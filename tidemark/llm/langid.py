@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import begin, small_batches
+from tidemark.llm.common import begin, small_batches, unnamed
 
 #: Documents of each language that the filters are fitted on, about.
 SAMPLE_DOCS = 4000
@@ -184,7 +184,9 @@ def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text", names
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64()), *batch.columns[1:]], names=[*names, *columns])
 
     schema = f"`{names[0]}` string, `{names[1]}` double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(F.col(text).cast("string").alias("__text"), *columns).mapInArrow(run, schema)
+    plain, (own,), _ = unnamed(docs, text)
+    rest = [F.col(f"c{docs.columns.index(c)}") for c in columns]
+    return plain.select(F.col(own).cast("string").alias("text"), *rest).mapInArrow(run, schema)
 
 
 def keep_known(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
@@ -193,5 +195,5 @@ def keep_known(docs: DataFrame, filters: LanguageFilters, text: str = "text") ->
     """
     if not any(slots.any() for slots in filters.slots):
         return docs.where(F.col(text).cast("string").rlike(r"\p{L}"))
-    found = predict(docs, filters, text, ("__lang", "__score"))
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") > 0)).select(*docs.columns)
+    plain, (own,), back = unnamed(docs, text)
+    return back(predict(plain, filters, own, ("lang", "score")).where((F.col("lang") != UNKNOWN) & (F.col("score") > 0)))

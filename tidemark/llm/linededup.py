@@ -11,15 +11,18 @@ with more than an even share of the pages is dealt to all shuffle partitions (th
 any other host stays in one part, so its list is not copied.
 
 Edge cases: null text stays null; rows with a null host form one host; a page that loses all lines keeps an empty text;
-lines at exactly the ratio stay; hosts with fewer than min_pages pages containing a line never lose it.
+lines at exactly the ratio stay; hosts with fewer than min_pages pages containing a line never lose it; repeated rows are pages of their own; very long texts are
+split whole; an empty table stays empty; extra columns of any name stay, but for the two that drop_boilerplate adds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import n_tasks, saved
+from tidemark.llm.common import n_tasks, saved, unnamed
 
 #: Largest share of a host's pages that an ordinary line is on, and the fewest pages that make a line boilerplate.
 RATIO, MIN_PAGES = 0.1, 5
@@ -46,8 +49,24 @@ def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float
 
 
 def drop_boilerplate(pages: DataFrame, host: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """All columns of pages with the boilerplate lines cut from text, and __n_lines, __n_dropped."""
-    host = F.col("source") if host is None else host
+    """All columns of pages with the boilerplate lines cut from text, and __n_lines, __n_dropped (in place of such columns)."""
+    judged, back = _judged(pages, F.col("source") if host is None else host, text, ratio, min_pages, max_broadcast)
+    own = [c for c in pages.columns if c not in ("__n_lines", "__n_dropped")]
+    counts = judged.select(*judged.columns[:-2], F.col("n_lines").alias("__n_lines"), F.col("n_dropped").alias("__n_dropped"))
+    return counts.select(*[F.col(f"c{pages.columns.index(c)}").alias(c) for c in own], "__n_lines", "__n_dropped")
+
+
+def cut_lines(pages: DataFrame, host: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """pages with the boilerplate lines cut from text, and nothing else changed."""
+    judged, back = _judged(pages, F.col("source") if host is None else host, text, ratio, min_pages, max_broadcast)
+    return back(judged)
+
+
+def _judged(named: DataFrame, by: Column, called: str, ratio: float, min_pages: int, max_broadcast: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The columns of pages as c0, c1, ... (text cut), n_lines and n_dropped; and what names them again."""
+    _, (text,), back = unnamed(named, called)
+    pages = named.select(by.alias("host"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(named.columns)])
+    host = F.col("host")
     marks = saved(boilerplate(pages, host, text, ratio, min_pages)).select(F.col("host").alias("__host"), F.col("marks").alias("__marks"))
     if (marks.agg(F.sum(F.size("__marks"))).first()[0] or 0) <= max_broadcast:
         joined = pages.join(F.broadcast(marks), host.eqNullSafe(F.col("__host")), "left")
@@ -62,7 +81,7 @@ def drop_boilerplate(pages: DataFrame, host: Column | None = None, text: str = "
     stay = F.filter(lines, lambda x: ~F.array_contains(F.col("__marks"), F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
     cut = F.col("__marks").isNotNull()
     return joined.select(
-        *[F.when(cut, F.array_join(stay, "\n")).otherwise(F.col(text)).alias(text) if c == text else pages[c] for c in pages.columns],
-        F.size(lines).alias("__n_lines"),
-        F.when(cut, F.size(lines) - F.size(stay)).otherwise(F.lit(0)).alias("__n_dropped"),
-    )
+        *[F.when(cut, F.array_join(stay, "\n")).otherwise(F.col(text)).alias(text) if c == text else pages[c] for c in pages.columns[1:]],
+        F.size(lines).alias("n_lines"),
+        F.when(cut, F.size(lines) - F.size(stay)).otherwise(F.lit(0)).alias("n_dropped"),
+    ), back

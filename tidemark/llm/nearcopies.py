@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import begin, saved, small_batches, stored
+from tidemark.llm.common import begin, saved, small_batches, stored, unnamed
 from tidemark.llm.components import components
 from tidemark.llm.simhash import SEED, keep_winners, lanes, planes, within
 
@@ -213,8 +213,9 @@ def verified_edges(docs: DataFrame, groups: DataFrame, text: str, similarity: fl
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest key, chosen as in simhash.keep_first."""
-    marked = saved(_sets(docs, text, key))
+    plain, (own, by), back = unnamed(docs, text, key)
+    marked = saved(_sets(plain, own, by))
     groups = saved(marked.groupBy("node").agg(F.min("mark").alias("mark"), F.max("shingles").alias("shingles")).join(_groups(marked), "node"))
-    roots = components(verified_edges(docs, groups, text, similarity)).withColumnRenamed("node", "__node")
+    roots = components(verified_edges(plain, groups, own, similarity)).withColumnRenamed("node", "__node")
     placed = marked.join(roots, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
-    return keep_winners(docs, placed.select(key, "mark", "root"), text, key)
+    return back(keep_winners(plain, placed.select(by, "mark", "root"), own, by))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import begin, n_tasks, saved, small_batches
+from tidemark.llm.common import begin, n_tasks, saved, small_batches, unnamed
 from tidemark.llm.components import components
 
 #: Words of a shingle, hash seed, and bits that linked fingerprints may differ in.
@@ -237,10 +237,10 @@ def keep_winners(docs: DataFrame, placed: DataFrame, text: str, key: str) -> Dat
     The row of the smallest key wins (null keys last, then the smallest mark). Only losers, and winners that occur more than
     once, are joined to docs; of the latter one row stays, the first by the JSON text of its other columns.
     """
-    rank = F.struct(F.col(key).isNull().alias("without"), F.col(key).alias("key"), "mark")
-    kinds = saved(placed.groupBy("root", F.col(key), "mark").agg(F.count("*").alias("n")).withColumn("rank", rank))
+    rank = F.struct(F.col("key").isNull().alias("without"), "key", "mark")
+    kinds = saved(placed.select(F.col(key).alias("key"), "mark", "root").groupBy("root", "key", "mark").agg(F.count("*").alias("n")).withColumn("rank", rank))
     best = kinds.groupBy("root").agg(F.min("rank").alias("best"))
-    judged = kinds.join(best, "root").select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), (F.col("rank") == F.col("best")).alias("wins"), "n")
+    judged = kinds.join(best, "root").select(F.col("key").alias("__key"), F.col("mark").alias("__mark"), (F.col("rank") == F.col("best")).alias("wins"), "n")
     named = docs.withColumn("__text", F.xxhash64(text))
     same = named[key].eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__mark"))
     alone = named.join(judged.where("NOT wins OR n > 1").select("__key", "__mark"), same, "left_anti").select(*docs.columns)
@@ -256,6 +256,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius:
     Rows are told apart by key and text, so rows without a key, or with one key and different texts, are judged each on
     its own.
     """
-    marked = saved(fingerprints(docs, text, key))
+    plain, (own, by), back = unnamed(docs, text, key)
+    marked = saved(fingerprints(plain, own, by))
     placed = _placed(marked.select("fp").distinct(), radius)
-    return keep_winners(docs, marked.join(placed, "fp").select(key, "mark", "root"), text, key)
+    return back(keep_winners(plain, marked.join(placed, "fp").select(by, "mark", "root"), own, by))

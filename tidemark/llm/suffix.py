@@ -15,7 +15,8 @@ whole corpus would be one task's work, so the corpus is first cut to candidates
    Repetitive blocks have few runs, so few samples. Grams with very many different contexts are split by window hash.
 
 Edge cases: null text is empty and stays; texts shorter than `length` stay; rows repeated with equal id and text are
-occurrences of each other; overlapping occurrences count.
+occurrences of each other, null ids too; overlapping occurrences count; very long texts are read whole, CHUNK_BYTES at a
+time; an empty table stays empty; cut_text takes extra columns of any name.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import begin, release, saved, small_batches, stored
+from tidemark.llm.common import begin, release, saved, small_batches, stored, unnamed
 
 #: Repeated strings have this many bytes; grams that anchors are chosen from.
 LENGTH, GRAM = 200, 100
@@ -356,6 +357,7 @@ def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 def cut_text(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with repeated bytes cut from text; characters that a cut would split go whole. Null text stays null."""
-    found = remove_repeats(docs, text, key)
+    plain, (own, by), back = unnamed(docs, text, key)
+    found = remove_repeats(plain, own, by)
     make = lambda data, runs: (None if data is None else kept_bytes(data, runs).decode("utf-8", "ignore"),)
-    return _cut(found, text, "__found", f"{text} string", make).select(*docs.columns)
+    return back(_cut(found, own, "__found", f"{own} string", make))

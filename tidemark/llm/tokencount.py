@@ -115,6 +115,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
     tokens = F.col("known") + F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))
     return (
         joined.groupBy("row")
-        .agg(F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum(tokens).alias("n_tokens"))
-        .select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        .agg(F.max("key").alias("key"), F.max("n_bytes").alias("n_bytes"), F.sum(tokens).alias("n_tokens"))
+        .select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
