@@ -61,11 +61,14 @@ def sweeps(bars: DataFrame, left: int, right: int, excess: float) -> DataFrame:
 
 def order_blocks(bars: DataFrame, left: int, right: int, lookback: int) -> DataFrame:
     """Last opposing candle of the `lookback` bars before a break, not before the broken swing."""
-    frame = rows(lookback, -1)
-    candle = F.struct("ts", "high", "low")
-    marked = bars.select(
-        "symbol", "ts", F.last(F.when(F.col("close") < F.col("open"), candle), ignorenulls=True).over(frame).alias("down"), F.last(F.when(F.col("close") > F.col("open"), candle), ignorenulls=True).over(frame).alias("up")
-    )
+
+
+    def mark(table: DataFrame) -> DataFrame:
+        frame, candle = rows(lookback, -1), F.struct("ts", "high", "low")
+        last = lambda side: F.last(F.when(side, candle), ignorenulls=True).over(frame)
+        return table.withColumns({"down": last(F.col("close") < F.col("open")), "up": last(F.col("close") > F.col("open"))})
+
+    marked = chunked(bars.select("symbol", "ts", "open", "high", "low", "close"), mark, before=lookback).select("symbol", "ts", "down", "up")
     found = breaks(bars, left, right).join(marked, ["symbol", "ts"])
     block = F.when(F.col("direction") == 1, F.col("down")).otherwise(F.col("up"))
     return found.withColumn("block", block).where(F.col("block.ts") >= F.col("swing_ts")).select("symbol", "ts", "direction", F.col("block.ts").alias("block_ts"), F.col("block.high").alias("top"), F.col("block.low").alias("bottom"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import time as clock
 from tidemark.functions import trade
-from tidemark.operators import aggregates, chunks, joins, oplogs, quality
+from tidemark.operators import aggregates, chunks, joins, oplogs, quality, ranks
 from tidemark.operators import indicators as ind
 from tidemark.operators import bars as bar_ops
 from tidemark.registry import query
@@ -505,8 +505,7 @@ def holding_profile(spark, d):
     SELECT run_id, bucket, count(*) AS n, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END), 6) AS profit_factor FROM b GROUP BY 1, 2""",
 )
 def bucket_pf(spark, d):
-    order = Window.partitionBy("run_id").orderBy("price", *TRADE_ORDER[:-1])
-    return views.trades(spark, d).withColumn("bucket", F.ntile(5).over(order)).groupBy("run_id", "bucket").agg(F.count("*").alias("n"), F.round(trade.profit_factor(F.col("pnl")), 6).alias("profit_factor"))
+    return ranks.ntile(views.trades(spark, d), "run_id", ["price", *TRADE_ORDER[:-1]], 5).groupBy("run_id", "bucket").agg(F.count("*").alias("n"), F.round(trade.profit_factor(F.col("pnl")), 6).alias("profit_factor"))
 
 
 @query(

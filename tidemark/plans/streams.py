@@ -12,11 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import ticks_to_bars
 from tidemark.plans import sqltext
 from tidemark.registry import query
 from tidemark.sources import views
 from tidemark.sources.views import bars_sql
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, sinks
 
 _LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
 
@@ -89,6 +90,39 @@ def signals_json(spark, d):
     return _naive(_finished(spark, _fresh(spark, d), "json"))
 
 
+def _batched(spark, d):
+    """Signals and hourly bars of the events table, written by foreachBatch; the last batch is delivered twice."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{shared}/batches-{uuid.uuid4().hex}"
+    signals = lambda b: b.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.pmod("user_id", F.lit(2)).cast("int").alias("direction"))
+    bars = lambda b: ticks_to_bars(b.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", F.col("value").alias("mid")), 60)
+    write = sinks.signals_and_bars(f"{folder}/signals", f"{folder}/bars", 20, signals, bars)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        write(batch, number)
+
+    _stream(spark, d, "events").writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return folder
+
+
+@query("str10_batch_signals", "SELECT event_type AS symbol, ts, CAST(user_id % 2 AS INT) AS direction FROM events")
+def batch_signals(spark, d):
+    """Every signal once, though a batch came twice."""
+    read = spark.read.schema("symbol string, ts timestamp, direction int, batch long").option("timestampFormat", sinks.JSON_TIME).json(f"{_batched(spark, d)}/signals")
+    return _naive(read.select("symbol", "ts", "direction"))
+
+
+@query(
+    "snk03_batch_bars",
+    views.with_views("ticks", "H1") + ", n AS (SELECT symbol, CAST(ts AS DATE) AS day FROM bars_h1 GROUP BY 1, 2 HAVING count(DISTINCT hour(ts)) >= 20) SELECT b.symbol, b.ts, open, high, low, close FROM bars_h1 b JOIN n ON b.symbol = n.symbol AND CAST(b.ts AS DATE) = n.day",
+)
+def batch_bars(spark, d):
+    """Whole days only, each once; all rows come in one batch here, so no day is cut."""
+    schema = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, tick_volume double, day date"
+    return spark.read.schema(schema).parquet(f"{_batched(spark, d)}/bars").select("symbol", "ts", "open", "high", "low", "close")
+
+
 @query(
     "str06_stream_blackout",
     views.with_views("ticks", "calendar") + "SELECT symbol, event_id, EXISTS (SELECT 1 FROM calendar c WHERE c.impact = 'High' AND t.ts BETWEEN c.time_utc - INTERVAL 15 MINUTE AND c.time_utc + INTERVAL 10 MINUTE) AS blackout FROM ticks t",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries when imported.
-MODULES = ("plans.data", "plans.features", "plans.trading", "plans.setups", "plans.statistics", "plans.streams")
+MODULES = ("plans.data", "plans.features", "plans.trading", "plans.setups", "plans.statistics", "plans.streams", "plans.roundtrips")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
