@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import deadline_between, past_deadline
+from tidemark.functions.trade import lots, swap_nights
 from tidemark.operators.chunks import chunked, row_numbers
 from tidemark.operators.indicators import lag, order
 from tidemark.operators.joins import asof
@@ -112,39 +113,40 @@ def limit_fill(signals: DataFrame, bars: DataFrame, expiry: int) -> DataFrame:
     return found.select(*keys, state.alias("state"), F.when(~F.coalesce(F.col("e.stopped"), F.lit(True)), F.col("e.bar_ts")).alias("fill_ts"))
 
 
-def trailing_exit(signals: DataFrame, bars: DataFrame, horizon: int, multiple: float, break_even_r: float | None = None) -> DataFrame:
+def trailing_exit(signals: DataFrame, bars: DataFrame, horizon: int, multiple: float, break_even_r: float | None = None, lock: bool = False) -> DataFrame:
     """Exit by a stop that trails the best price by multiple x ATR (ratchet only, effective from the next bar); once
-    break_even_r risks are gained it is at least the entry. Columns: symbol, ts, direction, entry, exit, bars_held.
+    break_even_r risks are gained it is at least the entry. With `lock` a touch of the target moves the stop there and drops the
+    target, so the trade runs on with its reward secured; the stop comes first within a bar. Columns: symbol, ts, direction,
+    entry, exit, bars_held.
 
-    The path of a signal is one small array, so signals spread freely over tasks.
+    The path of a signal is an array of at most `horizon` bars, folded in the JVM, so signals spread freely over tasks.
     """
     step = F.struct("i", "open", "high", "low", "close")
-    paths = _paths(signals, bars, horizon).groupBy("symbol", "ts", "direction", "stop", "atr").agg(F.array_sort(F.collect_list(step)).alias("path"))  # at most `horizon` entries
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                d, stop, entry = r.direction, r.stop, r.path[0]["open"]
-                risk, best, out = abs(entry - stop), entry, None
-                for p in r.path:
-                    if (p["open"] - stop) * d <= 0:
-                        out = p["open"], p["i"] + 1
-                        break
-                    if ((p["low"] if d == 1 else p["high"]) - stop) * d <= 0:
-                        out = stop, p["i"] + 1
-                        break
-                    best = max(best, p["high"]) if d == 1 else min(best, p["low"])
-                    moved = best - d * multiple * r.atr
-                    if break_even_r is not None and (best - entry) * d >= break_even_r * risk and (entry - moved) * d > 0:
-                        moved = entry
-                    if (moved - stop) * d > 0:
-                        stop = moved
-                price, held = out or (r.path[-1]["close"], len(r.path))
-                rows.append((r.symbol, r.ts, d, entry, price, held))
-            yield pd.DataFrame(rows, columns=["symbol", "ts", "direction", "entry", "exit", "bars_held"])
-
-    return paths.mapInPandas(run, "symbol string, ts timestamp_ntz, direction int, entry double, exit double, bars_held int")
+    keys = ["symbol", "ts", "direction", "stop", "target", "atr"]
+    paths = _paths(signals, bars, horizon).groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("path"))
+    d, atr = F.col("direction"), F.col("atr")
+    entry = F.element_at("path", 1)["open"]
+    risk = F.abs(entry - F.col("stop"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.col("stop").cast("double").alias("stop"), (F.col("target").cast("double") if lock else none).alias("target"), entry.alias("best"), none.alias("exit"), F.lit(0).alias("held"))
+
+    def follow(now: Column, bar: Column) -> Column:
+        worst, most = F.when(d == 1, bar["low"]).otherwise(bar["high"]), F.when(d == 1, bar["high"]).otherwise(bar["low"])
+        stop, held = now["stop"], (bar["i"] + 1).cast("int")
+        out = F.when((bar["open"] - stop) * d <= 0, bar["open"]).when((worst - stop) * d <= 0, stop)
+        touched = F.coalesce((most - now["target"]) * d >= 0, F.lit(False))
+        best = F.when(d == 1, F.greatest(now["best"], most)).otherwise(F.least(now["best"], most))
+        moved = best - d * multiple * atr
+        if break_even_r is not None:
+            moved = F.when(((best - entry) * d >= break_even_r * risk) & ((entry - moved) * d > 0), entry).otherwise(moved)
+        floor = F.when(touched, now["target"]).otherwise(stop)
+        stop_next = F.when((moved - floor) * d > 0, moved).otherwise(floor)
+        going = F.struct(stop_next.alias("stop"), F.when(~touched, now["target"]).alias("target"), best.alias("best"), none.alias("exit"), held.alias("held"))
+        done = F.struct(stop.alias("stop"), now["target"].alias("target"), now["best"].alias("best"), out.alias("exit"), held.alias("held"))
+        return F.when(now["exit"].isNotNull(), now).when(out.isNotNull(), done).otherwise(going)
+
+    folded = paths.withColumn("__e", F.aggregate("path", start, follow))
+    return folded.select("symbol", "ts", "direction", entry.alias("entry"), F.coalesce("__e.exit", F.element_at("path", -1)["close"]).alias("exit"), F.col("__e.held").alias("bars_held"))
 
 
 def sequence_positions(trades: DataFrame, key: list[str], most: int = 1, pause_after: int | None = None, pause_trades: int = 0) -> DataFrame:
@@ -177,6 +179,30 @@ def sequence_positions(trades: DataFrame, key: list[str], most: int = 1, pause_a
     return trades.groupBy(*key).applyInPandas(fold, schema)
 
 
+def priced_ledger(labelled: DataFrame, point: float, point_value: float, spread: float, commission: float, risk_money: float, swap_points: tuple[float, float] = (0.0, 0.0), market_factor: float = 1.0, market_extra: float = 0.0, step: float = 0.01, least: float = 0.01, most: float = 100.0, offset_minutes: int = 0) -> DataFrame:
+    """labelled trades (entry_time, entry, exit, exit_time, reason, stop, direction) as a ledger in money.
+
+    Fills are worse by half the spread; market orders (entries, and exits but for a touched target, which is a limit) pay
+    market_factor times that and market_extra points. Lots lose risk_money at the stop. Swap is paid per server midnight, three
+    times on Wednesday's; half the commission is in pnl, the entry's half only in `balance_change`. Trades without lots go.
+    """
+    d = F.col("direction")
+    market = point * (spread * market_factor / 2 + market_extra)
+    limit = point * spread / 2
+    fill = F.col("entry") + d * market
+    distance = F.abs(fill - F.col("stop"))
+    sized = labelled.withColumns({"entry_fill": fill, "lots": lots(F.lit(risk_money), F.nullif(distance, F.lit(0.0)), F.lit(point_value), step, least, most)}).where("lots > 0")
+    out = F.col("exit") - d * F.when(F.col("reason") == "tp", limit).otherwise(market)
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(offset_minutes))
+    nights = swap_nights(F.col("entry_time") + shift, F.col("exit_time") + shift)
+    swap = nights * F.when(d == 1, swap_points[0]).otherwise(swap_points[1]) * point * point_value * F.col("lots")
+    half = commission * F.col("lots") / 2
+    priced = sized.withColumns({"exit_fill": out, "swap": swap, "commission": half})
+    priced = priced.withColumn("pnl", (F.col("exit_fill") - F.col("entry_fill")) * d * point_value * F.col("lots") - half - swap)
+    risked = F.abs(F.col("entry_fill") - F.col("stop")) * F.col("lots") * point_value
+    return priced.withColumns({"r_multiple": F.try_divide(F.col("pnl"), F.nullif(risked, F.lit(0.0))), "balance_change": F.col("pnl") - half})
+
+
 def price_trades(labelled: DataFrame, point: float, spread: float, commission: float, factor: float = 1.0, lots: float = 1.0) -> DataFrame:
     """Fills with half the spread on both sides and half the commission in pnl: entry_fill, exit_fill, pnl."""
     d = F.col("direction")

@@ -144,18 +144,46 @@ def limit_fill(spark, d):
     return outcomes.limit_fill(limits, outcomes.numbered(bars), 6).select("symbol", "ts", "direction", F.round("limit", 4).alias("limit"), "state", "fill_ts")
 
 
-@query("out06_trailing_stop")
-def trailing(spark, d):
+def _trailed(name: str, multiple: float, even: float | None, lock: bool, **changes) -> str:
+    """SQL of a trailing exit: the path of each signal, bar by bar."""
+    moved = f"(bst - d * {multiple} * atr)"
+    if even is not None:
+        moved = f"(CASE WHEN (bst - entry) * d >= {even} * risk AND (entry - {moved}) * d > 0 THEN entry ELSE {moved} END)"
+    return with_bars(
+        *_FEATURES, _sql_signals(name, **changes), "nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bk FROM b)",
+        "pp AS (SELECT s.symbol, s.ts, s.direction AS d, s.stop, s.target, s.atr, n.bk - s.k - 1 AS i, n.open, n.high, n.low, n.close FROM sg s JOIN nb n ON n.symbol = s.symbol AND n.bk BETWEEN s.k + 1 AND s.k + 48)",
+        f"""rr AS (SELECT symbol, ts, d, atr, open AS entry, abs(open - stop) AS risk, CAST(-1 AS BIGINT) AS i, CAST(stop AS DOUBLE) AS stop, {"CAST(target AS DOUBLE)" if lock else "CAST(NULL AS DOUBLE)"} AS target, open AS best, CAST(NULL AS DOUBLE) AS exit, open AS close FROM pp WHERE i = 0 UNION ALL
+        SELECT symbol, ts, d, atr, entry, risk, i, CASE WHEN ex IS NOT NULL THEN stop WHEN ({moved} - fl) * d > 0 THEN {moved} ELSE fl END, CASE WHEN NOT touched THEN target END, bst, ex, close FROM (
+          SELECT r.symbol, r.ts, r.d, r.atr, r.entry, r.risk, p.i, r.stop, r.target, CASE WHEN r.d = 1 THEN greatest(best, p.high) ELSE least(best, p.low) END AS bst, p.close,
+          coalesce((CASE WHEN r.d = 1 THEN p.high ELSE p.low END - r.target) * r.d >= 0, false) AS touched, CASE WHEN coalesce((CASE WHEN r.d = 1 THEN p.high ELSE p.low END - r.target) * r.d >= 0, false) THEN r.target ELSE r.stop END AS fl,
+          CASE WHEN (p.open - r.stop) * r.d <= 0 THEN p.open WHEN (CASE WHEN r.d = 1 THEN p.low ELSE p.high END - r.stop) * r.d <= 0 THEN r.stop END AS ex
+          FROM rr r JOIN pp p ON p.symbol = r.symbol AND p.ts = r.ts AND p.d = r.d AND p.i = r.i + 1 WHERE r.exit IS NULL) x)""",
+    ) + "SELECT symbol, ts, d AS direction, entry, round(coalesce(exit, close), 4) AS exit, CAST(i + 1 AS INT) AS bars_held FROM rr WHERE i >= 0 QUALIFY row_number() OVER (PARTITION BY symbol, ts, d ORDER BY i DESC) = 1"
+
+
+def _trail(spark, d, name, *args, **changes):
     bars = views.bars(spark, d)
-    found = rules.signals(rules.features(bars), [_rule("sig09", _SPARK)])
-    return outcomes.trailing_exit(found, outcomes.numbered(bars), 48, 2.5)
+    found = rules.signals(rules.features(bars), [_rule(name, _SPARK, **changes)])
+    return outcomes.trailing_exit(found, outcomes.numbered(bars), 48, *args).withColumn("exit", F.round("exit", 4))
+
+
+@query("out06_trailing_stop", _trailed("sig09", 2.5, None, False))
+def trailing(spark, d):
+    return _trail(spark, d, "sig09", 2.5)
+
+
+_NEAR = {"stop_atr": 1.0, "reward": 0.5}
+
 
+@query("out06_trailing_lock", _trailed("sig10", 3.0, None, True, **_NEAR))
+def trailing_lock(spark, d):
+    """The target, half a risk away, becomes the stop when it is touched."""
+    return _trail(spark, d, "sig10", 3.0, None, True, **_NEAR)
 
-@query("out07_break_even")
+
+@query("out07_break_even", _trailed("sig09", 4.0, 1.0, False))
 def break_even(spark, d):
-    bars = views.bars(spark, d)
-    found = rules.signals(rules.features(bars), [_rule("sig09", _SPARK)])
-    return outcomes.trailing_exit(found, outcomes.numbered(bars), 48, 4.0, 1.0)
+    return _trail(spark, d, "sig09", 4.0, 1.0)
 
 
 _CURVE = """fp AS (SELECT n.symbol, n.bk, sum((n.close - t.entry) * t.direction) AS f FROM nb n JOIN lr t ON t.symbol = n.symbol AND n.bk BETWEEN t.k + 1 AND t.k + t.bars_held - 1 GROUP BY 1, 2),
@@ -193,6 +221,23 @@ def price_trades(spark, d):
     return outcomes.price_trades(_labelled(spark, d), 0.01, 20.0, 0.07).select("symbol", "ts", "direction", F.round("pnl", 4).alias("pnl"))
 
 
+@query(
+    "out08_priced_ledger",
+    with_bars(*_FEATURES, _sql_signals("sig10", stop_atr=1.0, reward=1.0), _TOUCH, "et AS (SELECT l.*, n.ts AS entry_time FROM lr l JOIN nb n ON n.symbol = l.symbol AND n.bk = l.k + 1)",
+              "z AS (SELECT *, entry + direction * 0.01 * (20 * 1.5 / 2 + 3) AS ef, exit - direction * CASE WHEN reason = 'tp' THEN 0.1 ELSE 0.01 * (20 * 1.5 / 2 + 3) END AS xf FROM et)",
+              "lo AS (SELECT *, round(greatest(0.01, least(100.0, floor(100.0 / (nullif(abs(ef - stop), 0) * 10.0) / 0.01 + 1e-12) * 0.01)), 8) AS lots, CAST(coalesce(list_sum(list_transform(generate_series(CAST(entry_time + INTERVAL 120 MINUTE AS DATE) + 1, CAST(exit_time + INTERVAL 120 MINUTE AS DATE), INTERVAL 1 DAY), lambda x: CASE WHEN dayofweek(x - INTERVAL 1 DAY) = 3 THEN 3 ELSE 1 END)), 0) AS INT) AS nights FROM z)",
+              "pr AS (SELECT *, nights * CASE WHEN direction = 1 THEN 4.0 ELSE 1.5 END * 0.01 * 10 * lots AS swap, 7.0 * lots / 2 AS half FROM lo WHERE lots > 0)", "pl AS (SELECT *, (xf - ef) * direction * 10 * lots - half - swap AS pnl FROM pr)")
+    + "SELECT symbol, ts, direction, reason, lots, round(ef, 4) AS entry_fill, round(xf, 4) AS exit_fill, round(swap, 4) AS swap, round(half, 4) AS commission, round(pnl, 4) AS pnl, round(pnl / nullif(abs(ef - stop) * lots * 10, 0), 4) AS r_multiple, round(pnl - half, 4) AS balance_change FROM pl",
+)
+def priced_ledger(spark, d):
+    """EMA crosses with lots for a risk of 100, market orders at 1.5 times the spread and 3 points, swap by side."""
+    bars = outcomes.numbered(views.bars(spark, d))
+    labelled = outcomes.first_touch(rules.signals(rules.features(views.bars(spark, d)), [_rule("sig10", _SPARK, stop_atr=1.0, reward=1.0)]), bars, 24, 60)
+    entries = bars.select("symbol", (F.col("k") - 1).alias("k"), F.col("ts").alias("entry_time"))
+    found = outcomes.priced_ledger(labelled.join(entries, ["symbol", "k"]), 0.01, 10.0, 20.0, 7.0, 100.0, (4.0, 1.5), 1.5, 3.0, offset_minutes=120)
+    return found.select("symbol", "ts", "direction", "reason", "lots", *[F.round(c, 4).alias(c) for c in ("entry_fill", "exit_fill", "swap", "commission", "pnl", "r_multiple", "balance_change")])
+
+
 @query(
     "out09_sequence_positions",
     with_bars(*_FEATURES, _sql_signals("sig22"), _TOUCH, "tr1 AS (SELECT symbol, ts, direction, ts + INTERVAL 60 MINUTE AS entry_time, exit_time, (exit - entry) * direction AS pnl, row_number() OVER (PARTITION BY symbol ORDER BY ts, exit_time, direction) AS n FROM lr)",
