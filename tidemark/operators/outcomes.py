@@ -10,12 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.time import deadline_between, past_deadline
 from tidemark.functions.trade import lots, swap_nights
 from tidemark.operators.chunks import chunked, row_numbers
 from tidemark.operators.indicators import lag, order
 from tidemark.operators.joins import asof
+from tidemark.operators.stages import saved
 
 
 def flat_events(bars: DataFrame, minutes: int, hour: int, minute: int = 0, zone: str = "America/New_York", friday_hour: int | None = None) -> DataFrame:
@@ -179,6 +181,70 @@ def sequence_positions(trades: DataFrame, key: list[str], most: int = 1, pause_a
     return trades.groupBy(*key).applyInPandas(fold, schema)
 
 
+def _taken(pdf: pd.DataFrame, most: int, pause_after: int, streak: int) -> tuple[np.ndarray, int]:
+    """Which trades of a segment (in order of entry) are taken after `streak` losses in a row, and the losses after it."""
+    taken, running, paused = np.zeros(len(pdf), bool), [], None
+
+    def close(until: object | None) -> None:
+        nonlocal streak, paused, running
+        for end, pnl, day in sorted(x for x in running if until is None or x[0] <= until):
+            streak = streak + 1 if pnl < 0 else 0
+            if streak >= pause_after:
+                paused = day if paused is None else max(paused, day)
+        running = [] if until is None else [x for x in running if x[0] > until]
+
+    for n, (start, end, pnl, day, last) in enumerate(zip(pdf["entry_time"], pdf["exit_time"], pdf["pnl"], pdf["__day"], pdf["__last"], strict=True)):
+        close(start)
+        if len(running) < most and (paused is None or day > paused):
+            taken[n] = True
+            running.append((end, pnl, last))
+    close(None)
+    return taken, min(streak, pause_after)
+
+
+def take_positions(trades: DataFrame, key: str, most: int, pause_after: int, offset_minutes: int = 0) -> DataFrame:
+    """Labelled trades (entry_time, exit_time, direction, pnl) that are taken when at most `most` may be open at once and nothing is
+    opened for the rest of a server day on which a run of losses reached pause_after.
+
+    A ledger is cut at server midnights at which no trade is open: what such a segment does depends on the one before only by
+    the number of losses in a row, of which beyond pause_after do not matter. So each segment is folded for every such number,
+    the segments of a key are chained (a row a segment), and each is folded again with the true one.
+    """
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(offset_minutes))
+    day = lambda t: F.to_date(F.col(t) + shift)
+    dated = trades.withColumns({"__day": day("entry_time"), "__last": day("exit_time")})
+    nights = F.when(F.col("__last") > F.col("__day"), F.sequence(F.date_add("__day", 1), F.col("__last")))
+    busy = dated.select(key, F.explode(nights).alias("__day")).distinct().withColumn("__busy", F.lit(True))
+    days = dated.select(key, "__day").distinct().join(busy, [key, "__day"], "left")
+    so_far = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
+    starts = F.coalesce(F.last(F.when(F.col("__busy").isNull(), F.col("__day")), ignorenulls=True).over(so_far), F.first("__day").over(so_far))
+    cut = saved(dated.join(days.select(key, "__day", starts.alias("__segment")), [key, "__day"]))
+    order = ["entry_time", "exit_time", "direction"]
+    kind, columns = dict(trades.dtypes)[key], trades.columns
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pd.DataFrame([(pdf[key].iloc[0], pdf["__segment"].iloc[0], [_taken(pdf, most, pause_after, s)[1] for s in range(pause_after + 1)])], columns=[key, "__segment", "after"])
+
+    ends = cut.groupBy(key, "__segment").applyInPandas(summarise, f"`{key}` {kind}, __segment date, after array<int>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, out = pdf.sort_values("__segment"), 0, []
+        for after in pdf["after"]:
+            out.append(now)
+            now = int(after[now])
+        return pdf[[key, "__segment"]].assign(__streak=out)
+
+    streaks = ends.groupBy(key).applyInPandas(chain, f"`{key}` {kind}, __segment date, __streak int")
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pdf[_taken(pdf, most, pause_after, int(pdf["__streak"].iloc[0]))[0]][columns]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trades.schema.fields)
+    return cut.join(streaks, [key, "__segment"]).groupBy(key, "__segment").applyInPandas(finish, schema)
+
+
 def priced_ledger(labelled: DataFrame, point: float, point_value: float, spread: float, commission: float, risk_money: float, swap_points: tuple[float, float] = (0.0, 0.0), market_factor: float = 1.0, market_extra: float = 0.0, step: float = 0.01, least: float = 0.01, most: float = 100.0, offset_minutes: int = 0) -> DataFrame:
     """labelled trades (entry_time, entry, exit, exit_time, reason, stop, direction) as a ledger in money.
 

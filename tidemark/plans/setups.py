@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.time import past_deadline
 from tidemark.operators import indicators as ind
 from tidemark.operators import outcomes, profile, rules, scan, setups, structure, validation
 from tidemark.plans import sqltext
@@ -374,6 +375,29 @@ def out03(spark, d):
     return found.select("symbol", "ts", "direction", "entry_ts", F.round("exit", 4).alias("exit"), "exit_time", "reason")
 
 
+@query(
+    "out09_streak_pause",
+    with_bars(*_FEATURES, _sql_signals("sig10", **_NEAR), _TOUCH, f"t0 AS (SELECT l.symbol, l.direction, n.ts AS entry_time, l.exit_time, round((exit - entry) * direction, 6) AS pnl FROM lr l JOIN nb n ON n.symbol = l.symbol AND n.bk = l.k + 1 WHERE NOT {_PAST('n.ts')})",
+              "tn AS (SELECT *, CAST(entry_time + INTERVAL 120 MINUTE AS DATE) AS day, row_number() OVER (PARTITION BY symbol ORDER BY entry_time, exit_time, direction) AS n FROM t0)",
+              """sq AS (SELECT symbol, n, exit_time AS busy, pnl AS pending, 0 AS streak, CAST(NULL AS DATE) AS pause, true AS taken, entry_time, exit_time, direction, pnl FROM tn WHERE n = 1 UNION ALL
+              SELECT symbol, n, CASE WHEN can THEN exit_time ELSE busy END, CASE WHEN can THEN pnl WHEN closed THEN NULL ELSE pending END, streak, pause, can, entry_time, exit_time, direction, pnl FROM (
+                SELECT *, (busy <= entry_time) AND (pause IS NULL OR day > pause) AS can FROM (
+                  SELECT *, CASE WHEN closed AND streak >= 2 THEN CAST(busy + INTERVAL 120 MINUTE AS DATE) ELSE pause0 END AS pause FROM (
+                    SELECT t.*, s.busy, s.pending, s.pause AS pause0, s.pending IS NOT NULL AND s.busy <= t.entry_time AS closed, CASE WHEN s.pending IS NOT NULL AND s.busy <= t.entry_time THEN CASE WHEN s.pending < 0 THEN s.streak + 1 ELSE 0 END ELSE s.streak END AS streak
+                    FROM sq s JOIN tn t ON t.symbol = s.symbol AND t.n = s.n + 1) a) b) c)""")
+    + "SELECT symbol, direction, entry_time, exit_time, pnl FROM sq WHERE taken",
+)
+def out09_pause(spark, d):
+    """EMA crosses, one position at a time; entries past the flat time are refused, and after two losses in a row the server day is
+    over."""
+    bars = outcomes.numbered(views.bars(spark, d))
+    labelled = outcomes.first_touch(rules.signals(rules.features(views.bars(spark, d)), [_rule("sig10", _SPARK, **_NEAR)]), bars, 24, 60)
+    entries = bars.select("symbol", (F.col("k") - 1).alias("k"), F.col("ts").alias("entry_time")).where(~past_deadline(F.col("entry_time"), 16, 50, friday_hour=12))
+    pnl = F.round((F.col("exit") - F.col("entry")) * F.col("direction"), 6)
+    trades = labelled.join(entries, ["symbol", "k"]).select("symbol", "direction", "entry_time", "exit_time", pnl.alias("pnl"))
+    return outcomes.take_positions(trades, "symbol", 1, 2, 120)
+
+
 @query(
     "out05_fine_resolution",
     with_bars(*_FEATURES, _sql_signals("sig10", **_NEAR), _TOUCH, views.bars_sql("M5", "m5"), "am AS (SELECT * FROM lr WHERE reason IN ('sl', 'tp'))",

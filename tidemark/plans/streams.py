@@ -163,3 +163,23 @@ def pairing(spark, d):
 def stops(spark, d):
     prices = _stream(spark, d, "events").select(F.col("user_id").cast("long").alias("ticket"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("direction"), F.col("value").alias("price"))
     return _naive(_finished(spark, jobs.trailing_stops(prices, 50.0)))
+
+
+@query("str03_stale", views.with_views("ticks") + f""", g AS (SELECT symbol, ts, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS later FROM ticks)
+    SELECT symbol, ts AS last_seen, ts + INTERVAL 120 MINUTE AS stale_at FROM g WHERE later >= ts + INTERVAL 120 MINUTE OR (later IS NULL AND ts + INTERVAL 120 MINUTE < {_LAST})""")
+def stale(spark, d):
+    """Silences of two hours; the last one of a symbol is told by a timer if the watermark has passed it."""
+    return _naive(_finished(spark, jobs.stale(_ticks(spark, d).select("symbol", "ts"), 120)))
+
+
+@query(
+    "str08_locked_stops",
+    """WITH RECURSIVE p AS (SELECT user_id AS ticket, ts, value AS price, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    r AS (SELECT ticket, n, ts, price - 30 AS stop, price + 20 AS target, false AS locked, false AS closed FROM p WHERE n = 1 UNION ALL
+      SELECT ticket, n, ts, CASE WHEN hit THEN stop ELSE greatest(CASE WHEN touched THEN target ELSE stop END, price - 30) END, target, locked OR (touched AND NOT hit), hit FROM (
+        SELECT r.ticket, p.n, p.ts, p.price, r.stop, r.target, r.locked, p.price <= r.stop AS hit, NOT r.locked AND p.price >= r.target AS touched FROM r JOIN p ON p.ticket = r.ticket AND p.n = r.n + 1 WHERE NOT r.closed) x)
+    SELECT ticket, ts, round(stop, 6) AS stop, locked, closed FROM r""",
+)
+def locked_stops(spark, d):
+    prices = _stream(spark, d, "events").select(F.col("user_id").cast("long").alias("ticket"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("direction"), F.col("value").alias("price"))
+    return _naive(_finished(spark, jobs.locked_stops(prices, 30.0, 20.0))).withColumn("stop", F.round("stop", 6))

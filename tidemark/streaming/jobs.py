@@ -114,6 +114,70 @@ def trailing_stops(prices: DataFrame, distance: float) -> DataFrame:
     return prices.groupBy("ticket").applyInPandasWithState(update, "ticket long, ts timestamp, stop double, hit boolean", "stop double, hit boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def _millis(t: pd.Timestamp) -> int:
+    return int(t.value // 1_000_000)
+
+
+def stale(events: DataFrame, silence_minutes: int, late: str = "10 minutes") -> DataFrame:
+    """symbol, last_seen, stale_at for every silence of at least silence_minutes: when the next event tells, or by a timer once the
+    watermark has passed the silence's end. The timer ends the state of a symbol, so silent symbols cost nothing.
+    """
+    silence = pd.Timedelta(minutes=silence_minutes)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, last = [], pd.Timestamp(state.get[0]) if state.exists else None
+        if state.hasTimedOut:
+            rows.append((key[0], last, last + silence))
+            state.remove()
+        else:
+            for ts in pd.concat(list(frames))["ts"].sort_values():
+                if last is not None and ts - last >= silence:
+                    rows.append((key[0], last, last + silence))
+                last = ts if last is None else max(last, ts)
+            state.update((last,))
+            state.setTimeoutTimestamp(max(_millis(last + silence), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["symbol", "last_seen", "stale_at"])
+
+    timed = events.withWatermark("ts", late).groupBy("symbol")
+    return timed.applyInPandasWithState(update, "symbol string, last_seen timestamp, stale_at timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def locked_stops(prices: DataFrame, distance: float, reward: float, idle_days: int = 30, late: str = "10 minutes") -> DataFrame:
+    """prices (ticket, ts, direction, price) -> ticket, ts, stop, locked, closed for every price up to the one that closes a ticket.
+
+    The stop trails by `distance`; a price `reward` beyond the first one moves it there once (locked). A closed ticket is
+    remembered, and an open one kept, until it has had no price for idle_days: a timer ends its state.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            stop, target, locked, closed = state.get if state.exists else (float("nan"), float("nan"), False, False)
+            last = None
+            for p in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
+                last = p.ts
+                if closed:
+                    continue
+                if stop != stop:
+                    stop, target = p.price - p.direction * distance, p.price + p.direction * reward
+                else:
+                    closed = bool((p.price - stop) * p.direction <= 0)
+                    if not closed:
+                        if not locked and (p.price - target) * p.direction >= 0:
+                            locked, stop = True, target
+                        moved = p.price - p.direction * distance
+                        stop = moved if (moved - stop) * p.direction > 0 else stop
+                rows.append((key[0], p.ts, stop, locked, closed))
+            state.update((stop, target, locked, closed))
+            state.setTimeoutTimestamp(max(_millis(last) + idle_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["ticket", "ts", "stop", "locked", "closed"])
+
+    timed = prices.withWatermark("ts", late).groupBy("ticket")
+    return timed.applyInPandasWithState(update, "ticket long, ts timestamp, stop double, locked boolean, closed boolean", "stop double, target double, locked boolean, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def day_loss(deals: DataFrame, limit: float, late: str = "1 day") -> DataFrame:
     """Net result per server day and whether it loses at least the limit."""
     daily = deals.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.sum("profit").alias("net"), F.count("*").alias("n"))
