@@ -25,7 +25,7 @@ def test_segments_equal_one_fold(spark, most, pause):
     found = {(r.symbol, r.pnl) for r in outcomes.take_positions(df, "symbol", most, pause, 60).collect()}
     want, free = set(), set()
     for key in ("a", "b"):
-        pdf = pd.DataFrame([r for r in rows if r[0] == key], columns=["symbol", "entry_time", "exit_time", "direction", "pnl"]).sort_values(["entry_time", "exit_time", "direction"], kind="stable")
+        pdf = pd.DataFrame([r for r in rows if r[0] == key], columns=["symbol", "entry_time", "exit_time", "direction", "pnl"]).sort_values(["entry_time", "exit_time", "direction", "pnl"], kind="stable")
         shift = pd.Timedelta(minutes=60)
         pdf = pdf.assign(__day=(pdf["entry_time"] + shift).dt.date, __last=(pdf["exit_time"] + shift).dt.date)
         want |= {(key, p) for p in pdf["pnl"][outcomes._taken(pdf, most, pause, 0)[0]]}

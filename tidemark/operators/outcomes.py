@@ -219,7 +219,7 @@ def take_positions(trades: DataFrame, key: str, most: int, pause_after: int, off
     so_far = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
     starts = F.coalesce(F.last(F.when(F.col("__busy").isNull(), F.col("__day")), ignorenulls=True).over(so_far), F.first("__day").over(so_far))
     cut = saved(dated.join(days.select(key, "__day", starts.alias("__segment")), [key, "__day"]))
-    order = ["entry_time", "exit_time", "direction"]
+    order = ["entry_time", "exit_time", "direction", "pnl"]
     kind, columns = dict(trades.dtypes)[key], trades.columns
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
