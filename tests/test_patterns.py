@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import normal
 from tidemark import registry
-from tidemark.operators import chunks, joins, ledger, outcomes, patterns, setups, validation
+from tidemark.operators import chunks, joins, ledger, outcomes, patterns, profile, setups, validation
 
 T0 = dt.datetime(2024, 1, 1)
 LARGER = "/root/testdata/sf0.01"
@@ -161,3 +161,20 @@ def test_flat_gap_closes_at_the_bar_before(spark):
     bars = spark.createDataFrame([("X", t, 10.0 + i, 11.0 + i, 9.0 + i, 10.5 + i, 1.0) for i, t in enumerate(at)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, tick_volume double")
     events = {r.ts: (r.reason, r.exit, r.exit_time) for r in outcomes.flat_events(bars, 60, 16, 50, friday_hour=12).collect()}
     assert events == {at[2]: ("force_flat_gap", 11.5, at[1] + dt.timedelta(hours=1))}
+
+
+@pytest.mark.parametrize("block", [3, 16, 256])
+def test_window_profiles_of_any_rows(spark, block):
+    rnd = random.Random(block)
+    bars = [("AB"[i % 2], i // 2 + 1, a, a + rnd.choice([0.0, 0.5, 3.0, 17.0]), float(rnd.randint(1, 9))) for i in range(160) for a in [rnd.uniform(0, 40)]]
+    windows = [(s, i, a, a + n) for i, (s, a, n) in enumerate([("A", 1, 0), ("A", 1, 79), ("B", 16, 15), ("B", 17, 0), ("A", 5, 40), ("B", 31, 1), ("A", 80, 0)])]
+    df = spark.createDataFrame(bars, "symbol string, k int, low double, high double, tick_volume double")
+    found = {(r.id, r.bin): r.volume for r in profile.window_profiles(df, spark.createDataFrame(windows, "symbol string, id int, first int, last int"), 5.0, block).collect()}
+    want = {}
+    for s, i, a, b in windows:
+        for sym, k, low, high, volume in bars:
+            if sym == s and a <= k <= b:
+                for bin_ in range(int(low // 5), int(high // 5) + 1):
+                    share = max(0.0, min(high, 5 * bin_ + 5) - max(low, 5 * bin_)) / (high - low) if high > low else 1.0
+                    want[i, bin_] = want.get((i, bin_), 0.0) + volume * share
+    assert found.keys() == want.keys() and all(found[x] == pytest.approx(want[x], abs=1e-9) for x in want)

@@ -5,16 +5,51 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark.operators.stages import saved
 
-def bins(bars: DataFrame, keys: list[str], width: float | Column) -> DataFrame:
-    """keys, bin, volume: each bar's volume is spread over its price range; a bar without range falls in one bin."""
+
+#: Rows between two checkpoints of running histograms. The results do not depend on it.
+BLOCK = 256
+
+
+def spread(bars: DataFrame, keys: list[str], width: float | Column) -> DataFrame:
+    """keys, bin, volume of every bar and bin of its price range, by overlap; a bar without range falls in one bin."""
     w = F.lit(width) if not isinstance(width, Column) else width
     first, last = F.floor(F.col("low") / w), F.floor(F.col("high") / w)
     dealt = bars.select(*keys, "low", "high", "tick_volume", w.alias("__w"), F.explode(F.sequence(first, last)).alias("bin"))
     overlap = F.greatest(F.lit(0.0), F.least(F.col("high"), (F.col("bin") + 1) * F.col("__w")) - F.greatest(F.col("low"), F.col("bin") * F.col("__w")))
     part = F.when(F.col("high") > F.col("low"), F.col("tick_volume") * overlap / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low"))).otherwise(F.col("tick_volume"))
-    return dealt.groupBy(*keys, "bin").agg(F.sum(part).alias("volume"))
+    return dealt.select(*keys, "bin", part.alias("volume"))
+
+
+def bins(bars: DataFrame, keys: list[str], width: float | Column) -> DataFrame:
+    """keys, bin, volume: each bar's volume is spread over its price range."""
+    return spread(bars, keys, width).groupBy(*keys, "bin").agg(F.sum("volume").alias("volume"))
+
+
+def window_profiles(bars: DataFrame, windows: DataFrame, width: float, block: int = BLOCK) -> DataFrame:
+    """windows (symbol, id, first, last: row numbers, both included) over bars (symbol, k, ...) -> symbol, id, bin, volume.
+
+    A window's profile is the difference of two running histograms. These are kept at every block of rows; what a window's end
+    lies beyond a checkpoint is added from the rows of that block. So the work follows the number of windows, not their length.
+    Bins are told apart from rounding by counting bars, too.
+    """
+    rows = spread(bars, ["symbol", "k"], width).withColumn("__b", F.floor((F.col("k") - 1) / block).cast("long"))
+    rows = saved(rows)  # read twice below
+    blocks = rows.groupBy("symbol", "bin", "__b").agg(F.sum("volume").alias("v"), F.count("*").alias("n"))
+    line = Window.partitionBy("symbol", "bin").orderBy("__b")  # a row a block
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    most = rows.groupBy("symbol").agg(F.max("__b").alias("__most"))
+    running = blocks.select("symbol", "bin", "__b", F.sum("v").over(so_far).alias("v"), F.sum("n").over(so_far).alias("n"), F.lead("__b").over(line).alias("__next")).join(most, "symbol")
+    kept = running.select("symbol", "bin", "v", "n", F.explode(F.sequence(F.col("__b") + 1, F.coalesce("__next", F.col("__most") + 1))).alias("__b"))
+    ends = F.array(F.struct(F.col("last").alias("x"), F.lit(1).alias("sign")), F.struct((F.col("first") - 1).alias("x"), F.lit(-1).alias("sign")))
+    points = windows.select("symbol", "id", F.explode(ends).alias("e")).select("symbol", "id", "e.x", "e.sign").where("x > 0").withColumn("__b", F.floor(F.col("x") / block).cast("long"))
+    whole = points.join(kept, ["symbol", "__b"]).select("symbol", "id", "bin", (F.col("sign") * F.col("v")).alias("v"), (F.col("sign") * F.col("n")).alias("n"))
+    part = points.join(rows, ["symbol", "__b"]).where("k <= x").select("symbol", "id", "bin", (F.col("sign") * F.col("volume")).alias("v"), F.col("sign").cast("long").alias("n"))
+    both = whole.unionByName(part).groupBy("symbol", "id", "bin").agg(F.sum("v").alias("volume"), F.sum("n").alias("n"))
+    return both.where("n > 0").select("symbol", "id", "bin", "volume")
 
 
 def poc(volumes: DataFrame, keys: list[str], width: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.time import past_deadline
 from tidemark.operators import indicators as ind
 from tidemark.operators import outcomes, profile, rules, scan, setups, structure, validation
+from tidemark.operators.chunks import last_known
 from tidemark.plans import sqltext
 from tidemark.plans.features import _BINS, _KNOWN
 from tidemark.plans.sqltext import with_bars, with_daily
@@ -317,6 +318,29 @@ def vpr05(spark, d):
     return profile.bins(dealt, ["symbol", "end"], 5.0).join(anchors, ["symbol", "end"]).select("symbol", "ts", "bin", F.round("volume", 6).alias("volume"))
 
 
+@query(
+    "vpr05_swing_profile",
+    with_bars(
+        "k AS (SELECT *, row_number() OVER w AS k, count(*) OVER p = 3 AND count(*) OVER f = 3 AND high > max(high) OVER p AND high > max(high) OVER f AS sh, count(*) OVER p = 3 AND count(*) OVER f = 3 AND low < min(low) OVER p AND low < min(low) OVER f AS sl FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts), p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))",
+        "c AS (SELECT *, lag(CASE WHEN sh THEN k END, 3) OVER w AS ch, lag(CASE WHEN sl THEN k END, 3) OVER w AS cl FROM k WINDOW w AS (PARTITION BY symbol ORDER BY ts))",
+        "l AS (SELECT symbol, ts, k, ch, cl, last_value(ch IGNORE NULLS) OVER w AS kh, last_value(cl IGNORE NULLS) OVER w AS kl FROM c WINDOW w AS (PARTITION BY symbol ORDER BY ts))",
+        "a AS (SELECT symbol, ts, CASE WHEN kh IS NULL OR kl IS NULL THEN greatest(k - 47, 1) ELSE least(kh, kl) END AS first, CASE WHEN kh IS NULL OR kl IS NULL THEN k ELSE greatest(kh, kl) END AS last FROM l WHERE ch IS NOT NULL OR cl IS NOT NULL)",
+        "x AS (SELECT a.symbol, a.ts, unnest(range(CAST(floor(low / 5) AS BIGINT), CAST(floor(high / 5) AS BIGINT) + 1)) AS bin, low, high, tick_volume FROM a JOIN k ON a.symbol = k.symbol AND k.k BETWEEN a.first AND a.last)",
+    )
+    + "SELECT symbol, ts, bin, round(sum(CASE WHEN high > low THEN tick_volume * greatest(0, least(high, (bin + 1) * 5) - greatest(low, bin * 5)) / (high - low) ELSE tick_volume END), 4) AS volume FROM x GROUP BY 1, 2, 3",
+)
+def vpr05_swing(spark, d):
+    """At every bar that confirms a swing, the profile between the last confirmed high and low; before there are both, of the last 48
+    bars."""
+    bars = outcomes.numbered(views.bars(spark, d))
+    marked = ind.confirmed_swings(bars, 3, 3).withColumns({"__ch": F.when(F.col("__sh").isNotNull(), F.col("k") - 3), "__cl": F.when(F.col("__sl").isNotNull(), F.col("k") - 3)})
+    known = last_known(marked, {"kh": "__ch", "kl": "__cl"}).where("__ch IS NOT NULL OR __cl IS NOT NULL")
+    both = F.col("kh").isNotNull() & F.col("kl").isNotNull()
+    first, last = F.when(both, F.least("kh", "kl")).otherwise(F.greatest(F.col("k") - 47, F.lit(1))), F.when(both, F.greatest("kh", "kl")).otherwise(F.col("k"))
+    windows = known.select("symbol", F.col("ts").alias("id"), first.alias("first"), last.alias("last"))
+    return profile.window_profiles(bars, windows, 5.0).select("symbol", F.col("id").alias("ts"), "bin", F.round("volume", 4).alias("volume"))
+
+
 @query(
     "evt08_pullback_valid",
     with_bars(
