@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -349,68 +347,3 @@ def score_table(table: DataFrame) -> DataFrame:
     quality = lambda s: F.when(s >= 7, "A").when(s >= 6, "B").otherwise("C")
     best = F.greatest(long, short)
     return table.select("symbol", "ts", long.alias("long_score"), short.alias("short_score"), threshold.alias("threshold"), quality(best).alias("quality"), F.when((long >= threshold) & (long > short), 1).when((short >= threshold) & (short > long), -1).otherwise(0).alias("direction"))
-
-
-# ---- two-state regime -----------------------------------------------------------------------------------------------
-
-
-def _fit_two_states(x: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gaussian mixture in time with a transition matrix: means, deviations and transitions by expectation-maximisation."""
-    low, high = np.quantile(x, (0.3, 0.7))
-    mean, sd, move = np.array([x[x <= low].mean(), x[x >= high].mean()]), np.array([x.std() + 1e-9] * 2), np.array([[0.95, 0.05], [0.05, 0.95]])
-    for _ in range(rounds):
-        like = np.exp(-0.5 * ((x[:, None] - mean) / sd) ** 2) / sd + 1e-300
-        ahead, back = np.empty_like(like), np.ones_like(like)
-        ahead[0] = like[0] / like[0].sum()
-        for t in range(1, len(x)):
-            ahead[t] = (ahead[t - 1] @ move) * like[t]
-            ahead[t] /= ahead[t].sum()
-        for t in range(len(x) - 2, -1, -1):
-            back[t] = move @ (like[t + 1] * back[t + 1])
-            back[t] /= back[t].sum()
-        p = ahead * back
-        p /= p.sum(axis=1, keepdims=True)
-        pair = ahead[:-1, :, None] * move * (like[1:] * back[1:])[:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        move = pair.sum(axis=0) + 1e-6
-        move /= move.sum(axis=1, keepdims=True)
-        mean = (p * x[:, None]).sum(axis=0) / p.sum(axis=0)
-        sd = np.sqrt((p * (x[:, None] - mean) ** 2).sum(axis=0) / p.sum(axis=0)) + 1e-6
-    return mean, sd, move
-
-
-def two_state_regime(bars: DataFrame, vol_bars: int = 24, refit: int = 168, least: int = 200, enter: float = 0.6, leave: float = 0.4) -> DataFrame:
-    """symbol, ts, p_high (filtered chance of the high-volatility state), regime with hysteresis; null while cold.
-
-    The model sees only the past: it is refitted every `refit` bars on all bars before and filters forward from there. One
-    series is one group, as each refit needs its whole past.
-    """
-    x = bars.withColumn("__r", ind.log_return())
-    x = x.withColumn("__v", F.log(ind.realized_vol("__r", vol_bars))).select("symbol", "ts", "__v")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        v = pdf["__v"].to_numpy(float)
-        chance, model, belief = np.full(len(v), np.nan), None, None
-        for t in np.flatnonzero(~np.isnan(v)):
-            past = v[:t][~np.isnan(v[:t])]
-            if len(past) >= least and (model is None or len(past) % refit == 0):
-                centre, spread = past.mean(), past.std() + 1e-9
-                mean, sd, move = _fit_two_states((past - centre) / spread)
-                flip = slice(None, None, 1 if mean[0] <= mean[1] else -1)
-                model, belief = (centre, spread, mean[flip], sd[flip], move[flip, flip]), np.array([0.5, 0.5])
-            if model:
-                centre, spread, mean, sd, move = model
-                z = (v[t] - centre) / spread
-                belief = (belief @ move) * (np.exp(-0.5 * ((z - mean) / sd) ** 2) / sd + 1e-300)
-                belief /= belief.sum()
-                chance[t] = belief[1]
-        regime, now = [], None
-        for p in chance:
-            if not np.isnan(p):
-                now = "high" if p >= enter else "low" if p <= leave else now
-            regime.append(now)
-        return pd.DataFrame({"symbol": pdf["symbol"], "ts": pdf["ts"], "p_high": chance, "regime": regime})
-
-    out = x.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, p_high double, regime string")
-    return out.withColumn("p_high", F.when(~F.isnan("p_high"), F.col("p_high")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import past_deadline
 from tidemark.operators import indicators as ind
-from tidemark.operators import outcomes, profile, rules, scan, setups, structure, validation
+from tidemark.operators import outcomes, profile, regime, rules, scan, setups, structure, validation
 from tidemark.operators.chunks import last_known
 from tidemark.plans import sqltext
 from tidemark.plans.features import _BINS, _KNOWN
@@ -272,7 +272,8 @@ def sig26(spark, d):
 
 @query("sig30_two_state_regime")
 def sig30(spark, d):
-    return setups.two_state_regime(views.bars(spark, d))
+    """The tables hold a month: models of five days, on up to six times that before them."""
+    return regime.two_state_regime(views.bars(spark, d), period_days=5, history=6, least=80)
 
 
 # ---- profile gates --------------------------------------------------------------------------------------------------
