@@ -121,16 +121,16 @@ def unblocked(hits: DataFrame, by: list[str], start: str, free: str, ties: list[
             out.append(now)
             at = int(np.searchsorted(np.asarray(entries), now, "left"))
             now = int(ends[at]) if at < len(ends) else now
-        return pdf[[*by, "__chunk"]].assign(__free=out)
+        return pdf[[*by, "__chunk"]].assign(__begins=out)
 
-    starts = parts.groupBy(*by).applyInPandas(chain, f"{series}, __chunk long, __free long")
+    starts = parts.groupBy(*by).applyInPandas(chain, f"{series}, __chunk long, __begins long")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
     columns = hits.columns
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([start, *ties], kind="stable")
         s, f = pdf[start].to_numpy(np.int64), pdf[free].to_numpy(np.int64)
-        after, kept, at = _follow(s, f), [], int(np.searchsorted(s, int(pdf["__free"].iloc[0]), "left"))
+        after, kept, at = _follow(s, f), [], int(np.searchsorted(s, int(pdf["__begins"].iloc[0]), "left"))
         while at < len(s):
             kept.append(at)
             at = int(after[at])
