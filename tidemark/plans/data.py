@@ -338,7 +338,7 @@ def session_range_join(spark, d):
     SELECT symbol, count(*) AS n, round(avg(CAST(close > mean AS DOUBLE)), 6) AS above_mean, round(avg(CAST(mid > close AS DOUBLE)), 6) AS above_close FROM j GROUP BY symbol""",
 )
 def signal_state(spark, d):
-    state = views.bars(spark, d).select("symbol", "ts", "close", F.avg("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-9, 0)).alias("mean"))
+    state = chunks.chunked(views.bars(spark, d).select("symbol", "ts", "close"), lambda t: t.withColumn("mean", F.avg("close").over(ind.rows(9))), before=9)
     entries = views.ticks(spark, d).select("symbol", "ts", "mid")
     found = joins.asof(entries, state, "symbol", "ts", "ts", ["close", "mean"], strict=True).where("close IS NOT NULL")
     return found.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg((F.col("close") > F.col("mean")).cast("double")), 6).alias("above_mean"), F.round(F.avg((F.col("mid") > F.col("close")).cast("double")), 6).alias("above_close"))

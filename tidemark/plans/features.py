@@ -381,7 +381,16 @@ def poc(spark, d):
     return profile.poc(volumes, ["symbol", "day"], 5.0)
 
 
-@query("vpr03_value_area")
+#: The bins around the fullest, one joining at a time: the larger neighbour, of equal ones the lower.
+_AREA = """vd AS (SELECT symbol, day, min(bin) AS lo, max(bin) AS hi, 0.7 * sum(round(volume, 6)) AS goal, first(bin ORDER BY round(volume, 6) DESC, bin) AS top, max(round(volume, 6)) AS most FROM pv GROUP BY 1, 2),
+va AS (SELECT symbol, day, lo, hi, goal, top AS a, top AS z, most AS held FROM vd UNION ALL
+  SELECT symbol, day, lo, hi, goal, CASE WHEN below >= above THEN a - 1 ELSE a END, CASE WHEN below >= above THEN z ELSE z + 1 END, held + greatest(below, above) FROM (
+    SELECT v.*, CASE WHEN v.a > v.lo THEN coalesce(round(p.volume, 6), 0) ELSE -1 END AS below, CASE WHEN v.z < v.hi THEN coalesce(round(q.volume, 6), 0) ELSE -1 END AS above
+    FROM va v LEFT JOIN pv p ON p.symbol = v.symbol AND p.day = v.day AND p.bin = v.a - 1 LEFT JOIN pv q ON q.symbol = v.symbol AND q.day = v.day AND q.bin = v.z + 1 WHERE v.held < v.goal AND (v.a > v.lo OR v.z < v.hi)) x),
+ar AS (SELECT symbol, day, min(a) * 5.0 AS va_low, (max(z) + 1) * 5.0 AS va_high FROM va GROUP BY 1, 2)"""
+
+
+@query("vpr03_value_area", with_bars(_BINS, _AREA) + "SELECT * FROM ar")
 def value_area(spark, d):
     volumes = profile.bins(views.bars(spark, d).withColumn("day", F.to_date("ts")), ["symbol", "day"], 5.0)
     return profile.value_area(volumes, ["symbol", "day"], 5.0, 0.7)

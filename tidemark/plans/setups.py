@@ -9,7 +9,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import outcomes, profile, regime, rules, scan, setups, structure, validation
 from tidemark.operators.chunks import last_known
 from tidemark.plans import sqltext
-from tidemark.plans.features import _BINS, _KNOWN
+from tidemark.plans.features import _AREA, _BINS, _KNOWN
 from tidemark.plans.sqltext import with_bars, with_daily
 from tidemark.plans.trading import _FEATURES, _SPARK, _TOUCH, _rule, _sql_signals
 from tidemark.registry import query
@@ -295,13 +295,18 @@ def vpr06(spark, d):
     return today.select("symbol", "ts", profile.entry_gate(F.col("close"), F.col("poc"), F.col("high_nodes"), F.col("low_nodes"), F.lit(2.5)).alias("gate"))
 
 
-@query("vpr07_structural_stop")
+@query(
+    "vpr07_structural_stop",
+    with_bars(*_FEATURES, _sql_signals("sig09"), _BINS, _AREA)
+    + "SELECT s.symbol, s.ts, s.direction, round(stop, 4) AS stop, round(CASE WHEN s.direction = 1 THEN least(stop, va_low - 0.1 * atr) ELSE greatest(stop, va_high + 0.1 * atr) END, 4) AS moved_stop FROM sg s JOIN ar ON ar.symbol = s.symbol AND CAST(s.ts AS DATE) = ar.day + 1",
+)
 def vpr07(spark, d):
     keys = ["symbol", "day"]
     volumes = profile.bins(views.bars(spark, d).withColumn("day", F.to_date("ts")), keys, 5.0)
     areas = profile.value_area(volumes, keys, 5.0).withColumn("day", F.date_add("day", 1))
     found = rules.signals(rules.features(views.bars(spark, d)), [_rule("sig09", _SPARK)]).withColumn("day", F.to_date("ts"))
-    return found.join(areas, keys).select("symbol", "ts", "direction", "stop", profile.structural_stop(F.col("stop"), F.col("direction"), F.col("va_low"), F.col("va_high"), 0.1 * F.col("atr")).alias("moved_stop"))
+    moved = profile.structural_stop(F.col("stop"), F.col("direction"), F.col("va_low"), F.col("va_high"), 0.1 * F.col("atr"))
+    return found.join(areas, keys).select("symbol", "ts", "direction", F.round("stop", 4).alias("stop"), F.round(moved, 4).alias("moved_stop"))
 
 
 @query(

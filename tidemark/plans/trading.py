@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tidemark.functions import trade
 from tidemark.operators import ledger, outcomes, rules, scan
 from tidemark.operators import indicators as ind
 from tidemark.operators.indicators import order
+from tidemark.operators.stages import saved
 from tidemark.plans import sqltext
 from tidemark.plans.sqltext import with_bars
 from tidemark.registry import query
@@ -273,6 +275,46 @@ def shift_test(spark, d):
     return found.groupBy("symbol").agg(gain("e0").alias("as_is"), gain("e1").alias("shifted"))
 
 
+def _again(sql: str, mark: str) -> str:
+    """CTEs of signals and outcomes under other names, for a second rule or a shifted signal."""
+    return re.sub(r"\b(hit|sh|nx|ac|sg|nb|pt|ev|fi|en|lb|lr)\b(?=[\s.,)])", rf"\g<1>{mark}", sql)
+
+
+@query(
+    "sig32_shift_outcomes",
+    with_bars(*_FEATURES, _sql_signals("sig10"), _TOUCH, _again(_sql_signals("sig10"), "1"), "sg2 AS (SELECT symbol, ts, k + 1 AS k, direction, stop, target, atr FROM sg1)", _again(_TOUCH, "2"))
+    + "SELECT symbol, variant, count(*) AS n, round(sum(greatest(p, 0)) / nullif(sum(greatest(-p, 0)), 0), 6) AS profit_factor FROM (SELECT symbol, 'as_is' AS variant, (exit - entry) * direction AS p FROM lr UNION ALL SELECT symbol, 'shifted', (exit - entry) * direction FROM lr2) GROUP BY 1, 2",
+)
+def shift_outcomes(spark, d):
+    """First-touch outcomes of EMA crosses as they are and one bar later: a rule that saw the future loses by the shift."""
+    bars = outcomes.numbered(views.bars(spark, d))
+    found = saved(rules.signals(rules.features(views.bars(spark, d)), [_rule("sig10", _SPARK)]))
+    variants = {"as_is": found, "shifted": found.withColumn("k", F.col("k") + 1)}
+    labelled = [outcomes.first_touch(s, bars, 24, 60).withColumn("variant", F.lit(name)) for name, s in variants.items()]
+    p = (F.col("exit") - F.col("entry")) * F.col("direction")
+    factor = F.sum(F.greatest(p, F.lit(0.0))) / F.nullif(F.sum(F.greatest(-p, F.lit(0.0))), F.lit(0.0))
+    return labelled[0].unionByName(labelled[1]).groupBy("symbol", "variant").agg(F.count("*").alias("n"), F.round(factor, 6).alias("profit_factor"))
+
+
+_LEGS = {"cross": "sig10", "channel": "sig09", "reversal": "sig12"}
+
+
+@query(
+    "set01_rule_legs",
+    with_bars(*_FEATURES, *[x for i, rule in enumerate(_LEGS.values()) for x in (_again(_sql_signals(rule), str(i)), _again(_TOUCH, str(i)))])
+    + "SELECT leg, symbol, exit_time, round(r_multiple, 4) AS r_multiple, round(sum(r_multiple) OVER (PARTITION BY leg, symbol), 4) AS leg_total FROM ("
+    + " UNION ALL ".join(f"SELECT '{leg}' AS leg, symbol, exit_time, r_multiple FROM lr{i}" for i, leg in enumerate(_LEGS)) + ")",
+)
+def rule_legs(spark, d):
+    """The portfolio's trades: those of three rules, each labelled on its own, under the names of their legs."""
+    bars = outcomes.numbered(views.bars(spark, d))
+    table = saved(rules.features(views.bars(spark, d)))
+    legs = [outcomes.first_touch(rules.signals(table, [_rule(rule, _SPARK)]), bars, 24, 60).select(F.lit(leg).alias("leg"), "symbol", "exit_time", "r_multiple") for leg, rule in _LEGS.items()]
+    every = legs[0].unionByName(legs[1]).unionByName(legs[2])
+    totals = every.groupBy("leg", "symbol").agg(F.round(F.sum("r_multiple"), 4).alias("leg_total"))
+    return every.join(totals, ["leg", "symbol"]).select("leg", "symbol", "exit_time", F.round("r_multiple", 4).alias("r_multiple"), "leg_total")
+
+
 @query("sca06_calc_lots", with_bars(*_FEATURES) + "SELECT symbol, ts, round(greatest(0.01, least(50.0, floor(100.0 / (2 * round(atr, 6) * 10.0) / 0.01 + 1e-12) * 0.01)), 8) AS lots FROM ft WHERE atr > 0")
 def calc_lots(spark, d):
     sized = scan.atr(views.bars(spark, d)).where("atr > 0")
