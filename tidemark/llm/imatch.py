@@ -124,9 +124,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     """
     docs = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     words = saved(lexicon(docs).where("mask <> 0"))  # terms of no subset change nothing
-    words = words.union(words.sparkSession.createDataFrame([("", 0, 0)], words.schema))  # keeps documents without terms
-    if words.count() <= MAX_BROADCAST:
-        words = F.broadcast(words)
+    small = words.count() <= MAX_BROADCAST
     docs, chain = _bucketed(docs, "id")
     chain = F.broadcast(chain)  # at most MAX_BUCKETS rows
     places = F.when(F.col("id").eqNullSafe(F.col("first")), F.array(F.struct(F.lit(0).alias("copy"), F.col("bucket").alias("at")), F.struct(F.lit(1).alias("copy"), F.col("previous").alias("at"))))
@@ -149,7 +147,13 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     long = rows.select("at", "r", long.alias("t")).select("at", "r", "t.term", "t.side", "t.facts")
     mask, both = F.col("mask").cast("long"), F.col("side")
     m = F.when(both.bitwiseAND(1) != 0, mask).otherwise(0).bitwiseOR(F.when(both.bitwiseAND(2) != 0, F.shiftleft(mask, len(RATES))).otherwise(0))
-    found = long.join(words, "term").select("at", "r", "facts", F.struct("h", m.alias("m")).alias("t"))
+    if small:  # the blank term keeps documents without terms
+        words = F.broadcast(words.union(words.sparkSession.createDataFrame([("", 0, 0)], words.schema)))
+        joined = long.join(words, "term")
+    else:  # a row of facts meets no term; a join key of its own spreads such rows
+        spread = long.withColumn("term", F.when(F.col("facts").isNotNull(), F.concat(F.lit("\0"), F.xxhash64("at", "r").cast("string"))).otherwise(F.col("term")))
+        joined = spread.join(words, "term", "left").where("h IS NOT NULL OR facts IS NOT NULL")
+    found = joined.select("at", "r", "facts", F.when(F.col("h").isNotNull(), F.struct("h", m.alias("m"))).alias("t"))
     found = found.groupBy("at", "r").agg(F.first("facts", ignorenulls=True).alias("facts"), F.collect_list("t").alias("found"))
     signed = _signed(found.select("at", "r", "facts.*", "found"))
     signed = signed.withColumns({"fingerprint": fingerprint_text(F.col("s"), F.col("whole")), "edited_fingerprint": fingerprint_text(F.col("es"), F.col("edited_sha256"))})
