@@ -47,10 +47,11 @@ def with_blackout(rows: DataFrame, calendar: DataFrame, before: int = 15, after:
     timed = calendar.where("time_utc IS NOT NULL").select((F.col("time_utc") - minute(before)).alias("start"), (F.col("time_utc") + minute(after)).alias("end"))
     dealt = timed.select("start", "end", F.explode(F.sequence(hour(F.col("start")), hour(F.col("end")))).alias("hour"))
     by_hour = dealt.groupBy("hour").agg(F.collect_list(F.struct("start", "end")).alias("windows"))  # the windows of one hour
-    known = not timed.isEmpty()
-    joined = rows.withColumn("hour", hour(F.col("ts"))).join(by_hour, "hour", "left").drop("hour")
+    # One row, counted in every batch: a calendar that empties later closes the gate, too.
+    count = timed.agg(F.count("*").alias("known")).withColumn("one", F.lit(1))
+    joined = rows.withColumn("hour", hour(F.col("ts"))).join(by_hour, "hour", "left").drop("hour").withColumn("one", F.lit(1)).join(F.broadcast(count), "one")
     inside = F.exists("windows", lambda w: (F.col("ts") >= w["start"]) & (F.col("ts") <= w["end"]))
-    return joined.withColumn("blackout", F.coalesce(inside, F.lit(False)) if known else F.lit(True)).drop("windows")
+    return joined.withColumn("blackout", F.when(F.col("known") == 0, True).otherwise(F.coalesce(inside, F.lit(False)))).drop("windows", "known", "one")
 
 
 def paired(opens: DataFrame, closes: DataFrame, days: int = 30, late: str = "1 hour") -> DataFrame:
