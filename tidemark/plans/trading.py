@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tidemark.functions import trade
-from tidemark.operators import ledger, outcomes, rules, scan
+from tidemark.operators import joins, ledger, outcomes, rules, scan
 from tidemark.operators import indicators as ind
 from tidemark.operators.indicators import order
 from tidemark.operators.stages import saved
@@ -315,6 +315,26 @@ def rule_legs(spark, d):
     return every.join(totals, ["leg", "symbol"]).select("leg", "symbol", "exit_time", F.round("r_multiple", 4).alias("r_multiple"), "leg_total")
 
 
+@query(
+    "jon09_position_log",
+    with_bars(*_FEATURES, _sql_signals("sig10"), _TOUCH, "po AS (SELECT l.symbol, l.ts, l.direction, n.ts AS entry_time, l.exit_time FROM lr l JOIN nb n ON n.symbol = l.symbol AND n.bk = l.k + 1)")
+    + "SELECT p.symbol, p.ts, p.direction, p.entry_time, p.exit_time, count(t.event_id) AS lines, min(t.event_id) AS least_id, max(t.mid) AS highest FROM po p LEFT JOIN ticks t ON t.symbol = p.symbol AND t.ts >= p.entry_time AND t.ts < p.exit_time GROUP BY 1, 2, 3, 4, 5",
+)
+def position_log(spark, d):
+    """What the event log says while each labelled position is open: positions meet lines by symbol and hour, and lines are summed
+    per position, so the result has a row a position."""
+    bars = outcomes.numbered(views.bars(spark, d))
+    labelled = outcomes.first_touch(rules.signals(rules.features(views.bars(spark, d)), [_rule("sig10", _SPARK)]), bars, 24, 60)
+    entries = bars.select("symbol", (F.col("k") - 1).alias("k"), F.col("ts").alias("entry_time"))
+    keys = ["symbol", "ts", "direction", "entry_time", "exit_time"]
+    held = saved(labelled.join(entries, ["symbol", "k"]).select(*keys))
+    dealt = held.withColumn("hour", F.explode(joins.hours_touched(F.col("entry_time"), F.col("exit_time"))))
+    lines = views.ticks(spark, d).select("symbol", F.col("ts").alias("at"), "event_id", "mid", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("hour"))
+    inside = dealt.join(lines, ["symbol", "hour"]).where((F.col("at") >= F.col("entry_time")) & (F.col("at") < F.col("exit_time")))
+    found = inside.groupBy(*keys).agg(F.count("*").alias("lines"), F.min("event_id").alias("least_id"), F.max("mid").alias("highest"))
+    return held.join(found, keys, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+
+
 @query("sca06_calc_lots", with_bars(*_FEATURES) + "SELECT symbol, ts, round(greatest(0.01, least(50.0, floor(100.0 / (2 * round(atr, 6) * 10.0) / 0.01 + 1e-12) * 0.01)), 8) AS lots FROM ft WHERE atr > 0")
 def calc_lots(spark, d):
     sized = scan.atr(views.bars(spark, d)).where("atr > 0")
