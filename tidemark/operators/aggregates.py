@@ -74,8 +74,12 @@ def max_concurrent(trades: DataFrame) -> DataFrame:
     """Peak of simultaneously open trades; steps of one time add up first."""
     steps = trades.select("symbol", F.explode(F.array(F.struct(F.col("entry_time").alias("t"), F.lit(1).alias("step")), F.struct(F.col("exit_time").alias("t"), F.lit(-1).alias("step")))).alias("e"))
     netted = steps.groupBy("symbol", "e.t").agg(F.sum("e.step").alias("step"))
-    running = netted.withColumn("open", F.sum("step").over(Window.partitionBy("symbol").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
-    return running.groupBy("symbol").agg(F.max("open").alias("peak"))
+    # Inside a month: its sum and its highest running sum; the months of a symbol are a few rows.
+    month = netted.withColumn("__m", F.trunc(F.to_date("t"), "month"))
+    running = month.withColumn("open", F.sum("step").over(Window.partitionBy("symbol", "__m").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    months = running.groupBy("symbol", "__m").agg(F.sum("step").alias("step"), F.max("open").alias("high"))
+    before = F.coalesce(F.sum("step").over(Window.partitionBy("symbol").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return months.withColumn("peak", before + F.col("high")).groupBy("symbol").agg(F.max("peak").alias("peak"))
 
 
 def funnel(rows: DataFrame, gates: dict[str, Column]) -> DataFrame:

@@ -97,7 +97,7 @@ def first_touch(signals: DataFrame, bars: DataFrame, horizon: int, minutes: int)
 
 def time_exit(signals: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """Entry at the next open, exit at the close n bars later."""
-    ahead = bars.select("symbol", "ts", F.lead("open").over(order()).alias("entry"), F.lead("close", n).over(order()).alias("exit"))
+    ahead = chunked(bars, lambda t: t.withColumns({"entry": F.lead("open").over(order()), "exit": F.lead("close", n).over(order())}), before=0, after=n).select("symbol", "ts", "entry", "exit")
     return signals.join(ahead, ["symbol", "ts"]).where("exit IS NOT NULL").withColumn("pnl", (F.col("exit") - F.col("entry")) * F.col("direction"))
 
 

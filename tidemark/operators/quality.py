@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.chunks import chunked
+
 from tidemark.functions.time import in_weekend
 
 PRICES = ("open", "high", "low", "close", "tick_volume")
@@ -30,7 +32,7 @@ def merge(*inputs: DataFrame) -> DataFrame:
 def gaps(bars: DataFrame, minutes: int) -> DataFrame:
     """symbol, first, last, n of missing bars strictly between neighbours, without those of the weekend."""
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
-    before = bars.select("symbol", "ts", F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts")).alias("previous"))
+    before = chunked(bars.select("symbol", "ts"), lambda t: t.withColumn("previous", F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts"))), before=1)
     holes = before.where(F.col("ts") > F.col("previous") + step)
     missing = holes.select("symbol", "previous", F.explode(F.sequence(F.col("previous") + step, F.col("ts") - step, step)).alias("at")).where(~in_weekend(F.col("at")))
     return missing.groupBy("symbol", "previous").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).drop("previous")

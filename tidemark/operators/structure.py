@@ -13,7 +13,7 @@ from tidemark.operators.joins import asof
 
 def fair_value_gaps(bars: DataFrame, min_atr: float) -> DataFrame:
     """symbol, ts, direction, top, bottom, confirmed_at of three-bar gaps of at least min_atr x ATR."""
-    near = bars.withColumns({"h2": lag("high", 2), "l2": lag("low", 2), "confirmed_at": F.lead("ts").over(order())})
+    near = chunked(bars, lambda t: t.withColumns({"h2": lag("high", 2), "l2": lag("low", 2), "confirmed_at": F.lead("ts").over(order())}), before=2, after=1)
     up = (F.col("low") > F.col("h2")) & (F.col("low") - F.col("h2") >= min_atr * F.col("atr"))
     down = (F.col("high") < F.col("l2")) & (F.col("l2") - F.col("high") >= min_atr * F.col("atr"))
     return near.where(up | down).select(
@@ -101,7 +101,7 @@ def sweep_age(bars: DataFrame, lookback: int, cluster: int) -> DataFrame:
 def impulses(bars: DataFrame, lookback: int, min_atr: float, retrace: float = 0.5) -> DataFrame:
     """Bars whose close breaks the range of the `lookback` bars before, with a leg of at least min_atr x ATR."""
     top, bottom = donchian(lookback)
-    ranged = bars.withColumns({"__top": top, "__bottom": bottom})
+    ranged = chunked(bars, lambda t: t.withColumns({"__top": top, "__bottom": bottom}), before=lookback)
     close = F.col("close")
     up = (close > F.col("__top")) & (close - F.col("__bottom") >= min_atr * F.col("atr"))
     down = (close < F.col("__bottom")) & (F.col("__top") - close >= min_atr * F.col("atr"))

@@ -157,8 +157,8 @@ def minmax(spark, d):
     + "SELECT b.symbol, b.ts, round(now, 6) AS median_now, round(before, 6) AS median_before FROM b LEFT JOIN m USING (symbol, ts)",
 )
 def median_atr(spark, d):
-    out = scan.atr(views.bars(spark, d))
-    return _out(out.withColumns({"median_now": ind.rolling_median("atr", 20), "median_before": ind.rolling_median("atr", 20, 1)}), "median_now", "median_before")
+    medians = lambda b: b.withColumns({"median_now": ind.rolling_median("atr", 20), "median_before": ind.rolling_median("atr", 20, 1)})
+    return _out(chunked(scan.atr(views.bars(spark, d)), medians, before=20), "median_now", "median_before")
 
 
 @query(
@@ -177,7 +177,7 @@ def realized_vol(spark, d):
 )
 def equal_levels(spark, d):
     top, bottom = ind.equal_levels(20, 0.1, "atr")
-    return scan.atr(views.bars(spark, d)).select("symbol", "ts", top.alias("equal_high"), bottom.alias("equal_low"))
+    return chunked(scan.atr(views.bars(spark, d)), lambda b: b.withColumns({"equal_high": top, "equal_low": bottom}), before=20).select("symbol", "ts", "equal_high", "equal_low")
 
 
 @query("ind19_volume_ratio", with_bars() + f"SELECT symbol, ts, round(tick_volume / CASE WHEN count(*) OVER w = 20 THEN avg(tick_volume) OVER w END, 6) AS ratio FROM b WINDOW w AS {_frame(20, 1)}")
@@ -198,7 +198,7 @@ def momentum(spark, d):
 )
 def regression(spark, d):
     out = ind.session_vwap(views.bars(spark, d), "America/New_York")
-    out = ind.regression(out, "vwap", 30)
+    out = chunked(out, lambda b: ind.regression(b, "vwap", 30), before=29)
     return out.select("symbol", "ts", F.round("slope", 6).alias("slope"), F.round("q25", 8).alias("q25"), F.round("q75", 8).alias("q75"), F.round("expansion", 6).alias("expansion"))
 
 
@@ -213,7 +213,7 @@ def micro_flow(spark, d):
 )
 def ema_slope(spark, d):
     out = scan.ema(scan.atr(views.bars(spark, d)), {"ema": ("close", 50)})
-    return _out(out.withColumn("slope", (F.col("ema") - ind.lag("ema", 5)) / F.col("atr")), "slope")
+    return _out(chunked(out, lambda b: b.withColumn("slope", (F.col("ema") - ind.lag("ema", 5)) / F.col("atr")), before=5), "slope")
 
 
 @query(
@@ -223,13 +223,13 @@ def ema_slope(spark, d):
     coalesce(close > open AND pc < po AND close >= po AND open <= pc, false) AS bull_engulf, coalesce(close < open AND pc > po AND close <= po AND open >= pc, false) AS bear_engulf FROM c""",
 )
 def candle_shape(spark, d):
-    return _out(ind.candle_shape(views.bars(spark, d)), "body", "body_share", "close_position", "bull_engulf", "bear_engulf")
+    return _out(chunked(views.bars(spark, d), ind.candle_shape, before=1), "body", "body_share", "close_position", "bull_engulf", "bear_engulf")
 
 
 @query("ind25_range_expansion", with_bars() + f"SELECT symbol, ts, round((high - low) / nullif(CASE WHEN count(*) OVER w = 20 THEN avg(high - low) OVER w END, 0), 6) AS expansion FROM b WINDOW w AS {_frame(20, 1)}")
 def range_expansion(spark, d):
     out = views.bars(spark, d).withColumn("range", F.col("high") - F.col("low"))
-    return _out(out.withColumn("expansion", ind.ratio_to_mean("range", 20)), "expansion")
+    return _out(chunked(out, lambda b: b.withColumn("expansion", ind.ratio_to_mean("range", 20)), before=20), "expansion")
 
 
 @query(
@@ -242,7 +242,7 @@ def range_expansion(spark, d):
     + """SELECT symbol, ts, round(CASE WHEN m >= 14 THEN list_sum(list_transform(v, lambda x, i: x * CASE WHEN i <= 14 THEN pow(13.0/14, m - 14) / 14 ELSE (1.0/14) * pow(13.0/14, m - i) END)) END, 6) AS atr_w FROM u""",
 )
 def reseeded_atr(spark, d):
-    return _out(ind.reseeded_atr(views.bars(spark, d), 14, 60), "atr_w")
+    return _out(chunked(views.bars(spark, d), lambda b: ind.reseeded_atr(b, 14, 60), before=60), "atr_w")
 
 
 # ---- events ---------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.time import past_deadline
 from tidemark.operators import indicators as ind
 from tidemark.operators import outcomes, profile, regime, rules, scan, setups, structure, validation
-from tidemark.operators.chunks import last_known
+from tidemark.operators.chunks import chunked, last_known
 from tidemark.plans import sqltext
 from tidemark.plans.features import _AREA, _BINS, _KNOWN
 from tidemark.plans.sqltext import with_bars, with_daily
@@ -359,9 +359,8 @@ def vpr05_swing(spark, d):
 )
 def evt08(spark, d):
     """The six bars after an impulse touch its zone, do not undo it, and are small against it."""
-    frame = ind.order().rowsBetween(1, 6)
     bars = views.bars(spark, d)
-    ahead = bars.select("symbol", "ts", F.collect_list(F.struct("low", "high")).over(frame).alias("next"))
+    ahead = chunked(bars, lambda t: t.withColumn("next", F.collect_list(F.struct("low", "high")).over(ind.order().rowsBetween(1, 6))), before=0, after=6).select("symbol", "ts", "next")
     legs = structure.impulses(scan.atr(bars), 12, 2.0).join(ahead, ["symbol", "ts"]).where(F.size("next") > 0)
     up = F.col("direction") == 1
     touched = F.exists("next", lambda b: F.when(up, b["low"] <= F.col("zone_near")).otherwise(b["high"] >= F.col("zone_near")))
