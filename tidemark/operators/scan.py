@@ -20,7 +20,6 @@ from pyspark.sql.window import Window
 
 from tidemark.operators.stages import saved
 
-
 #: Length of a chunk in days. Any value gives the same result.
 CHUNK_DAYS = 30
 
