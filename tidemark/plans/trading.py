@@ -360,7 +360,8 @@ def swap_nights(spark, d):
         "sg AS (SELECT symbol, ts, k, 1 AS direction, close - 50.0 AS stop, close + 100.0 AS target FROM ch WHERE close > upper UNION ALL SELECT symbol, ts, k, -1, close + 50.0, close - 100.0 FROM ch WHERE close < lower)",
         _TOUCH,
     )
-    + """SELECT symbol, count(*) AS n, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END), 6) AS profit_factor, round(avg(CAST(pnl > 0 AS DOUBLE)), 6) AS win_rate,
+    + """SELECT symbol, count(*) AS n, round(CASE WHEN sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) > 0 THEN sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END)
+      WHEN sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END, 6) AS profit_factor, round(avg(CAST(pnl > 0 AS DOUBLE)), 6) AS win_rate,
     round(avg(r_multiple), 6) AS mean_r, round(sum(pnl), 4) AS total_pnl, round(avg(pnl), 4) AS mean_pnl FROM (SELECT *, (exit - entry) * direction AS pnl FROM lr) GROUP BY 1""",
 )
 def flagship(spark, d):
