@@ -140,12 +140,12 @@ def stream_day_loss(spark, d):
 
 @query(
     "str04_running_indicators",
-    sqltext.with_bars(sqltext.rsi(14)).replace(bars_sql("H1", "b"), "b AS (SELECT symbol, ts, mid AS high, mid AS low, mid AS close, sqrt(1.0 + event_id % 7) AS tick_volume FROM ticks)")
-    + "SELECT b.symbol, b.ts, round(sum(close * tick_volume) OVER w / sum(tick_volume) OVER w, 6) AS vwap, round(r.y, 6) AS rsi FROM b LEFT JOIN rsi r USING (symbol, ts) WINDOW w AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING)",
-)
+    sqltext.with_bars(sqltext.rsi(14)).replace(bars_sql("H1", "b"), "b AS (SELECT symbol, {'ts': ts, 'id': event_id} AS ts, mid AS high, mid AS low, mid AS close, sqrt(1.0 + event_id % 7) AS tick_volume FROM ticks)")
+    + "SELECT b.symbol, b.ts.ts AS ts, round(sum(close * tick_volume) OVER w / sum(tick_volume) OVER w, 6) AS vwap, round(r.y, 6) AS rsi FROM b LEFT JOIN rsi r USING (symbol, ts) WINDOW w AS (PARTITION BY symbol, CAST(b.ts.ts AS DATE) ORDER BY b.ts ROWS UNBOUNDED PRECEDING)",
+)  # ts is the time and the tick: ticks of one time are in order of their numbers
 def running(spark, d):
-    ticks = _ticks(spark, d).select("symbol", "ts", F.col("mid").alias("high"), F.col("mid").alias("low"), F.col("mid").alias("close"), F.sqrt(1.0 + F.pmod("event_id", F.lit(7))).alias("tick_volume"))
-    return _naive(_finished(spark, jobs.running_indicators(ticks))).select("symbol", "ts", F.round("vwap", 6).alias("vwap"), F.round("rsi", 6).alias("rsi"))
+    ticks = _ticks(spark, d).select("symbol", "ts", "event_id", F.col("mid").alias("high"), F.col("mid").alias("low"), F.col("mid").alias("close"), F.sqrt(1.0 + F.pmod("event_id", F.lit(7))).alias("tick_volume"))
+    return _naive(_finished(spark, jobs.running_indicators(ticks, order=("ts", "event_id")))).select("symbol", "ts", F.round("vwap", 6).alias("vwap"), F.round("rsi", 6).alias("rsi"))
 
 
 @query(

@@ -66,14 +66,16 @@ _STATE = "day string, pv double, vol double, close double, n long, gain double,
 _OUT = "symbol string, ts timestamp, vwap double, rsi double"
 
 
-def running_indicators(bars_stream: DataFrame, rsi_length: int = 14) -> DataFrame:
-    """Session VWAP (UTC day) and Wilder RSI per symbol with constant-size state. Bars of a symbol arrive in order of time."""
+def running_indicators(bars_stream: DataFrame, rsi_length: int = 14, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Session VWAP (UTC day) and Wilder RSI per symbol with constant-size state. Bars of a symbol arrive in order of time; those of
+    one batch are taken by `order`.
+    """
     n = rsi_length
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         day, pv, vol, last, count, gain, loss = state.get if state.exists else ("", 0.0, 0.0, float("nan"), 0, 0.0, 0.0)
         rows = []
-        for bar in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
+        for bar in pd.concat(list(frames)).sort_values(list(order)).itertuples(index=False):
             today = str(bar.ts.date())
             if today != day:
                 day, pv, vol = today, 0.0, 0.0
