@@ -3,7 +3,9 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from tidemark.plans import streams
 from tidemark.streaming import jobs, sinks
 
 T0 = dt.datetime(2024, 1, 1, 10)
@@ -29,3 +31,22 @@ def test_batches_replace_what_they_wrote(spark, tmp_path):
     assert {r["batch"]: r["count"] for r in signals.groupBy("batch").count().collect()} == {0: 29, 1: 24}
     bars = spark.read.parquet(f"{tmp_path}/b").groupBy("day", "open").count().collect()
     assert sorted((str(r.day), r.open, r["count"]) for r in bars) == [("2024-01-01", 1.0, 24), ("2024-01-02", 2.0, 24)]  # five hours of a day are no day
+
+
+def test_pairing_holds_no_state_after_its_batch(spark, sf, monkeypatch):
+    """One batch, not an empty one over all state after it; nothing of it stays in memory; tasks of bounded state; settings as before."""
+    started, start, names = [], DataStreamWriter.start, ("spark.sql.streaming.noDataMicroBatches.enabled", "spark.sql.streaming.maxBatchesToRetainInMemory", "spark.sql.shuffle.partitions")
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(start(self, *a, **k)) or started[-1])
+    monkeypatch.setattr(streams, "STATE_ROWS", 1000, raising=False)
+    before = [spark.conf.get(n, None) for n in names]
+    got = streams.pairing(spark, sf).select("ticket", "open_time", "close_time", "profit").collect()
+    assert [spark.conf.get(n, None) for n in names] == before
+    progress = [p for p in started[0].recentProgress if p.stateOperators]
+    assert [p.batchId for p in progress] == [0]
+    state, rows = progress[0].stateOperators[0], spark.read.parquet(f"{sf}/orders.parquet").count() + spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert state.numRowsTotal == rows and state.numShufflePartitions == max(4, -(-rows // 1000))
+    assert state.memoryUsedBytes < 20 * rows
+    orders, lines = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
+    days = (F.col("l_shipdate").cast("timestamp").cast("long") - F.col("o_orderdate").cast("timestamp").cast("long")) / 86400
+    want = orders.join(lines, (F.col("l_orderkey") == F.col("o_orderkey")) & days.between(0, 30)).select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz"), F.col("l_shipdate").cast("timestamp_ntz"), F.col("l_extendedprice").cast("double"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and got

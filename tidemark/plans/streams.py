@@ -6,6 +6,7 @@ emits equals the batch result except for windows that the end of the input leave
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -19,6 +20,8 @@ from tidemark.sources import views
 from tidemark.sources.views import bars_sql
 from tidemark.streaming import jobs, sinks
 
+#: Rows that a task of a stream-stream join holds as state, about 300 bytes each.
+STATE_ROWS = 1_000_000
 _LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
 
 
@@ -42,6 +45,25 @@ def _finished(spark: SparkSession, stream: DataFrame, sink: str = "parquet") ->
     return spark.read.format(sink).options(**more).schema(stream.schema).load(f"{folder}/out")
 
 
+@contextlib.contextmanager
+def _one_batch(spark: SparkSession, rows: int):
+    """Settings of streams that start inside and write all they have in the batch that reads it.
+
+    No empty batch follows, which would pass over all state again; a task's state leaves memory when it is written, not kept for
+    later batches; `rows` of state are dealt to so many tasks that each holds STATE_ROWS at most, on average.
+    """
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // STATE_ROWS))
+    wanted = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.maxBatchesToRetainInMemory": "0", "spark.sql.shuffle.partitions": str(tasks)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _naive(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else f.name for f in df.schema.fields])
 
@@ -156,7 +178,9 @@ def running(spark, d):
 def pairing(spark, d):
     opens = _stream(spark, d, "orders").select(F.col("o_orderkey").alias("ticket"), F.col("o_orderdate").cast("timestamp").alias("open_time"))
     closes = _stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("ticket"), F.col("l_shipdate").cast("timestamp").alias("close_time"), F.col("l_extendedprice").cast("double").alias("profit"))
-    return _naive(_finished(spark, jobs.paired(opens, closes, late="4000 days"))).where("close_time IS NOT NULL")
+    with _one_batch(spark, views.table(spark, d, "orders").count() + views.table(spark, d, "lineitem").count()):
+        found = _finished(spark, jobs.paired(opens, closes, late="4000 days"))
+    return _naive(found).where("close_time IS NOT NULL")
 
 
 @query("str08_trailing_stops")
