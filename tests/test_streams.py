@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from tidemark.plans import streams
+from tidemark.sources import views
 from tidemark.streaming import jobs, sinks
 
 T0 = dt.datetime(2024, 1, 1, 10)
@@ -50,3 +51,22 @@ def test_pairing_holds_no_state_after_its_batch(spark, sf, monkeypatch):
     days = (F.col("l_shipdate").cast("timestamp").cast("long") - F.col("o_orderdate").cast("timestamp").cast("long")) / 86400
     want = orders.join(lines, (F.col("l_orderkey") == F.col("o_orderkey")) & days.between(0, 30)).select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz"), F.col("l_shipdate").cast("timestamp_ntz"), F.col("l_extendedprice").cast("double"))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and got
+
+
+def test_indicators_over_batches(spark, sf, tmp_path):
+    """States go from batch to batch, a batch that comes twice counts once, and no task has all bars of a symbol at once."""
+    ticks = views.ticks(spark, sf).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("mid").alias("high"), F.col("mid").alias("low"), F.col("mid").alias("close"), F.sqrt(1.0 + F.col("event_id") % 7).alias("tick_volume"))
+    found = []
+    for cuts in ((), ("2024-01-03", "2024-01-03 13:00:00", "2024-01-17")):
+        edges = ["1970-01-01", *cuts, "2100-01-01"]
+        write = sinks.rows_and_states(f"{tmp_path}/{len(cuts)}", lambda batch, states: jobs.running_indicators(batch, states, order=("ts", "event_id")))
+        for number, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
+            batch = ticks.where(f"ts >= '{start}' AND ts < '{end}'").orderBy(F.hash("event_id"))
+            write(batch, number)
+            if number % 2:
+                write(batch, number)
+        rows = spark.read.parquet(f"{tmp_path}/{len(cuts)}").where("kind = 'row'").select("symbol", "ts", F.round("vwap", 8), F.round("rsi", 8)).collect()
+        found.append(sorted(map(str, rows)))
+    assert found[0] == found[1] and len(found[0]) == ticks.count()
+    plan = jobs.running_indicators(ticks, None)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMap" not in plan and "Sort [symbol" in plan

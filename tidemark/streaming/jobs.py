@@ -62,26 +62,31 @@ def paired(opens: DataFrame, closes: DataFrame, days: int = 30, late: str = "1 h
     return left.join(right, match, "leftOuter").select("o.ticket", "o.open_time", "c.close_time", "c.profit")
 
 
-_STATE = "day string, pv double, vol double, close double, n long, gain double, loss double"
-_OUT = "symbol string, ts timestamp, vwap double, rsi double"
+#: What running_indicators keeps of a symbol.
+INDICATOR_STATE = "symbol string, day int, pv double, vol double, last double, n long, gain double, loss double"
 
 
-def running_indicators(bars_stream: DataFrame, rsi_length: int = 14, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Session VWAP (UTC day) and Wilder RSI per symbol with constant-size state. Bars of a symbol arrive in order of time; those of
-    one batch are taken by `order`.
+def running_indicators(bars: DataFrame, states: DataFrame | None, rsi_length: int = 14, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Session VWAP (UTC day) and Wilder RSI per symbol with constant-size state, for foreachBatch: one batch of bars and the states
+    before it (none: a first batch) -> kind, symbol, ts, vwap, rsi and the fields of INDICATOR_STATE.
+
+    Rows of kind `row` have the bars' figures, those of kind `state` what is kept of every symbol so far. Bars of a symbol arrive in
+    order of time; those of one batch are sorted by `order` on Spark, which spills, and pass a task as a stream: it holds the state
+    and a few thousand bars, however many a symbol has.
     """
     n = rsi_length
+    fields = ["day", "pv", "vol", "last", "n", "gain", "loss"]
+    kept = "day int, pv double, vol double, last double, n long, gain double, loss double"
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, pv, vol, last, count, gain, loss = state.get if state.exists else ("", 0.0, 0.0, float("nan"), 0, 0.0, 0.0)
-        rows = []
-        for bar in pd.concat(list(frames)).sort_values(list(order)).itertuples(index=False):
-            today = str(bar.ts.date())
+    def update(bars: pd.DataFrame, state: list) -> pd.DataFrame:
+        day, pv, vol, last, count, gain, loss = state
+        vwaps, rsis = [], []
+        for today, close, middle, volume in zip(bars["day"].tolist(), bars["close"].tolist(), ((bars["high"] + bars["low"] + bars["close"]) / 3).tolist(), bars["volume"].tolist(), strict=True):
             if today != day:
                 day, pv, vol = today, 0.0, 0.0
-            pv, vol = pv + (bar.high + bar.low + bar.close) / 3 * bar.tick_volume, vol + bar.tick_volume
+            pv, vol = pv + middle * volume, vol + volume
             if last == last:
-                up, down = max(bar.close - last, 0.0), max(last - bar.close, 0.0)
+                up, down = max(close - last, 0.0), max(last - close, 0.0)
                 count += 1
                 if count <= n:  # sums until the seed, then means
                     gain, loss = gain + up, loss + down
@@ -89,13 +94,38 @@ def running_indicators(bars_stream: DataFrame, rsi_length: int = 14, order: tupl
                         gain, loss = gain / n, loss / n
                 else:
                     gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
-            last = bar.close
-            rsi = None if count < n else 50.0 if gain == loss == 0 else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-            rows.append((key[0], bar.ts, pv / vol if vol else None, rsi))
-        state.update((day, pv, vol, last, count, gain, loss))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "vwap", "rsi"]).astype({"vwap": float, "rsi": float})
-
-    return bars_stream.groupBy("symbol").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+            last = close
+            vwaps.append(pv / vol if vol else None)
+            rsis.append(None if count < n else 50.0 if gain == loss == 0 else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss))
+        state[:] = day, pv, vol, last, count, gain, loss
+        return pd.DataFrame({"kind": "row", "symbol": bars["symbol"], "ts": bars["ts"], "vwap": pd.Series(vwaps, bars.index, float), "rsi": pd.Series(rsis, bars.index, float)}).reindex(columns=columns)
+
+    columns = ["kind", "symbol", "ts", "vwap", "rsi", *fields]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            for symbol, part in frame.groupby("symbol", sort=False, dropna=False):
+                symbol = None if pd.isna(symbol) else symbol
+                if state is None or symbol != now:
+                    if state is not None:
+                        yield pd.DataFrame([("state", now, None, None, None, *state)], columns=columns)
+                    now, state = symbol, [None, 0.0, 0.0, float("nan"), 0, 0.0, 0.0]
+                if part["held"].iloc[0]:
+                    state = [int(part["day"].iloc[0]), *part[fields[1:4]].iloc[0].tolist(), int(part["n"].iloc[0]), *part[fields[5:]].iloc[0].tolist()]
+                    part = part.iloc[1:]
+                if len(part):
+                    yield update(part, state)
+        if state is not None:
+            yield pd.DataFrame([("state", now, None, None, None, *state)], columns=columns)
+
+    by = [c for c in order if c != "ts"]
+    new = bars.select("symbol", F.lit(False).alias("held"), "ts", *by, "high", "low", "close", F.col("tick_volume").alias("volume"), F.unix_date(F.to_date("ts")).alias("day"))
+    new = new.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in (f.split() for f in kept.split(", ")) if name != "day"])
+    if states is not None:
+        new = new.unionByName(states.select("symbol", F.lit(True).alias("held"), *fields), allowMissingColumns=True)
+    sorted_ = new.repartition("symbol").sortWithinPartitions("symbol", F.desc("held"), *order)
+    return sorted_.mapInPandas(run, f"kind string, symbol string, ts timestamp, vwap double, rsi double, {kept}")
 
 
 def trailing_stops(prices: DataFrame, distance: float) -> DataFrame:

@@ -32,3 +32,15 @@ def signals_and_bars(signals_path: str, bars_path: str, hours: int, as_signals:
             held.unpersist()
 
     return write
+
+
+def rows_and_states(path: str, function: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: function(batch, states) gives rows of kind `row` and, a row a key, of kind `state`; both are written under
+    the batch's number, and the states are given to the next batch. A batch that is delivered again gets the states it had.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        states = batch.sparkSession.read.option("basePath", path).parquet(f"{path}/batch={number - 1}/kind=state") if number else None
+        _replaced(function(batch, states).withColumn("batch", F.lit(number)), "parquet", path, ["batch", "kind"])
+
+    return write
