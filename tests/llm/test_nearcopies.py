@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -71,3 +72,28 @@ def test_chain_is_one_group(spark, monkeypatch):
     rows = [(i, " ".join(words[12 * i : 12 * i + 120])) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in nearcopies.keep_first(docs).collect()} == brute_kept(rows) == {0}
+
+
+def test_no_link_is_lost_beyond_the_radius():
+    """Four of five shingles in common, 29 bits apart, and only over the set between them is the third one linked to the first."""
+    five = np.array([9744031708884459876, 14880294384975044028, 2048332701432296027, 15696892895590976931, 15251102396892235966], np.uint64)
+    sets = [np.sort(np.r_[five, np.uint64(77)]), np.sort(five), np.sort(five[:4])]
+    assert bin(nearcopies.set_fingerprint(sets[1]) ^ nearcopies.set_fingerprint(sets[2])).count("1") > nearcopies.RADIUS
+    assert sorted(nearcopies.links(np.arange(3), sets)) == [(0, 1), (1, 2)]
+
+
+def test_counts_give_up_no_link():
+    rng = np.random.default_rng(5)
+    for shared in (1, 4, 30, 400, 3000):
+        base = rng.integers(0, 1 << 63, shared, np.uint64) * np.uint64(2)
+        sets = [np.unique(np.r_[rng.permutation(base)[: int(len(base) * rng.uniform(0.7, 1))], rng.integers(0, 1 << 63, int(len(base) * rng.uniform(0, 0.2)), np.uint64)]) for _ in range(40)]
+        sets = [s for s in sets if len(s)] + [rng.integers(0, 1 << 63, max(30, shared), np.uint64) for _ in range(20)]
+        near = nearcopies.by_counts(sets, 0.8)
+        given_up = unlike = 0
+        for i, one in enumerate(sets):
+            found = set(near(i, np.ones(len(sets), bool)))
+            given_up += len(sets) - len(found)
+            like = [len(np.intersect1d(one, s)) / len(np.union1d(one, s)) >= 0.8 for s in sets]
+            unlike += len(sets) - sum(like)
+            assert found >= set(np.flatnonzero(like))
+        assert given_up > unlike / 2

@@ -3,9 +3,11 @@
 A pair at 0.8 differs in ten of 64 bits on average, so no choice of whole bit blocks is selective and op9's keys cannot
 bring such pairs together. Keys of MinHash minima (BANDS keys of ROWS minima each) do: a pair of similarity s shares one with
 chance 1 - (1 - s ** ROWS) ** BANDS, 0.99994 at 0.8 and more above. Texts that share a key, directly or over others, form
-a candidate group. Within it the SimHash fingerprints are compared bit-sliced, 64 at a time, and abandoned beyond RADIUS
-bits; what is left is decided on the shingle sets themselves, so no pair below the limit is ever linked. RADIUS is over
-four standard deviations from the mean distance of a pair at 0.8.
+a candidate group. Within it the SimHash fingerprints are compared bit-sliced, 64 at a time. RADIUS is over four standard
+deviations from the mean distance of a pair at 0.8, but a few pairs are beyond it (of 5 shingles 4 in common, one in a million).
+So of those beyond RADIUS bits only the ones are given up whose numbers of shingles by slice of the hash space prove that too
+few can be in common. What is left is decided on the shingle sets themselves, so in a group no pair below the limit is linked
+and none above it is lost.
 
 No group is one task's work however large it is. A large one is first held against its leader, row by row: texts linked to
 the leader need no other comparison unless some text that is not linked to it is near enough (Jaccard distance is a
@@ -34,7 +36,7 @@ from tidemark.llm.simhash import SEED, keep_winners, lanes, planes, within
 
 #: Words of a shingle, and the least similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits in which fingerprints of linked texts may differ.
+#: Bits within which fingerprints are held near without a look at the shingles' numbers. The result does not depend on it.
 RADIUS = 28
 #: Keys of a text, and minima that make up a key.
 BANDS, ROWS = 32, 6
@@ -108,21 +110,45 @@ def similarity_to(one: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.nda
 Near = Callable[[int, np.ndarray], np.ndarray]
 
 
-def by_bits(sets: list[np.ndarray]) -> Near:
-    """Fingerprints within RADIUS bits, compared bit-sliced."""
+def by_counts(sets: list[np.ndarray], similarity: float) -> Near:
+    """Sets of which enough shingles can be in common: what two sets do not share is at least the sum of the differences of their
+    numbers of shingles in each slice of the hash space, and at the limit at most a fixed part of both sizes."""
+    size = np.array([len(s) for s in sets], np.int64)
+    bits = int(np.clip(int(size.mean()).bit_length() - 2, 6, 10))  # few shingles a slice
+    slices = np.concatenate([(s >> np.uint64(64 - bits)).astype(np.int64) + (i << bits) for i, s in enumerate(sets)])
+    counts = np.bincount(slices, minlength=len(sets) << bits).astype(np.int32).reshape(len(sets), -1)
+
+    def near(i: int, live: np.ndarray) -> np.ndarray:
+        others = np.flatnonzero(live)
+        apart = np.abs(counts[others] - counts[i]).sum(axis=1)
+        return others[apart <= (1 - similarity) / (1 + similarity) * (size[others] + size[i]) + _SLACK]
+
+    return near
+
+
+def by_bits(sets: list[np.ndarray], similarity: float = SIMILARITY) -> Near:
+    """Fingerprints within RADIUS bits, compared bit-sliced, and of the others those that by_counts leaves."""
     prints = np.array([set_fingerprint(s) for s in sets], np.uint64)
     sliced = planes(prints)
     bit = np.arange(64, dtype=np.uint64)
+    counted: list[Near] = []  # made when first needed: most groups are within the radius
 
     def near(i: int, live: np.ndarray) -> np.ndarray:
         own = np.where(prints[i] >> bit & np.uint64(1), ~np.uint64(0), np.uint64(0))
         found = within(sliced, np.broadcast_to(own[:, None], sliced.shape), lanes(live, sliced.shape[1]), RADIUS)
-        return np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
+        close = np.unpackbits(found.view(np.uint8), bitorder="little")[: len(live)].astype(bool)
+        beyond = live & ~close
+        if not beyond.any():
+            return np.flatnonzero(close)
+        if not counted:
+            counted.append(by_counts(sets, similarity))
+        close[counted[0](i, beyond)] = True
+        return np.flatnonzero(close)
 
     return near
 
 
-def links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, sketch: Callable[[list[np.ndarray]], Near] = by_bits) -> Iterator[tuple[int, int]]:
+def links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, sketch: Callable[[list[np.ndarray]], Near] | None = None) -> Iterator[tuple[int, int]]:
     """Edges that connect exactly what is linked at the similarity among sorted sets.
 
     Breadth first: a node is only held against those not reached yet whose sizes, whose distances to the first node of the
@@ -131,7 +157,7 @@ def links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILAR
     n = len(sets)
     size, flat = np.array([len(s) for s in sets], np.int64), np.concatenate(sets) if n else np.zeros(0, np.uint64)
     start = np.r_[0, np.cumsum(size)]
-    near = sketch(sets)
+    near = sketch(sets) if sketch else by_bits(sets, similarity)
     open_ = size > 0
 
     def like(i: int, others: np.ndarray) -> np.ndarray:
@@ -169,7 +195,7 @@ def _groups(marked: DataFrame) -> DataFrame:
     return components(keyed.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v"))
 
 
-def verified_edges(docs: DataFrame, groups: DataFrame, text: str, similarity: float, shingle: int = SHINGLE, sketch: Callable[[list[np.ndarray]], Near] = by_bits) -> DataFrame:
+def verified_edges(docs: DataFrame, groups: DataFrame, text: str, similarity: float, shingle: int = SHINGLE, sketch: Callable[[list[np.ndarray]], Near] | None = None) -> DataFrame:
     """Edges (u, v) of the verified links inside candidate groups (node, mark, shingles, root); groups is used many times."""
     parts = lambda df: df.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("blocks"))
     texts = docs.select(F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
